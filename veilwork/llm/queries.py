@@ -1,0 +1,29 @@
+"""One query for each operator, over its whole table with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from veilwork.llm.debruijn import repeated_spans
+from veilwork.llm.suffix_dedup import repeated_passages
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur at two places or more of the documents."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of 50 words or more that repeat, by unitig of the documents' De Bruijn graph."""
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_suffix_array_dedup, op7_substring_dedup)}
+
+ORACLES: dict[str, str] = {}
