@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veilwork.llm.debruijn import repeated_spans
+from veilwork.llm.ngram_join import jaccard_join
 from veilwork.llm.suffix_dedup import repeated_passages
 
 
@@ -14,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose sets of word 3-grams have a Jaccard similarity of 0.6 or more."""
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that occur at two places or more of the documents."""
     return repeated_passages(_table(spark, sf_dir, "documents"))
@@ -24,6 +30,6 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_suffix_array_dedup, op7_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_suffix_array_dedup, op7_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
