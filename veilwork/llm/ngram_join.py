@@ -109,10 +109,6 @@ def ranks(scanned: DataFrame, parts: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.payload, np.uint8) for r in sorted(rows, key=lambda r: r.part)])
 
 
-def least_overlap(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    return threshold / (1 + threshold) * (a + b)
-
-
 def send_prefixes(n: int, threshold: float, rank, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sends each set to the regions in which a partner can be.
 
@@ -134,12 +130,14 @@ def send_prefixes(n: int, threshold: float, rank, parts: int) -> Callable[[Itera
         prev = np.append(U64(0), key[:-1]).astype(np.uint32)
         prev[ends - take] = 0
         doc = np.repeat(np.arange(len(take), dtype=np.uint32), take)
+        place = np.arange(ends[-1]) - np.repeat(ends - take, take)
+        place = place.astype(np.uint16 if take.max() <= 65536 else np.uint32)
         order, edges = spread(mix(key), parts)
-        key, prev, doc = key[order], prev[order], doc[order]
+        key, prev, doc, place = key[order], prev[order], doc[order], place[order]
 
         def piece(a: int, b: int) -> bytes:
             own, local = np.unique(doc[a:b], return_inverse=True)
-            return pack(key[a:b], prev[a:b], local.astype(np.uint16 if len(own) < 65536 else np.uint32), set_id[own], size[own].astype(np.int32))
+            return pack(key[a:b], prev[a:b], place[a:b], local.astype(np.uint16 if len(own) < 65536 else np.uint32), set_id[own], size[own].astype(np.int32))
 
         return packed_rows((p, piece(edges[p], edges[p + 1])) for p in range(parts) if edges[p + 1] > edges[p])
 
@@ -159,11 +157,14 @@ def send_prefixes(n: int, threshold: float, rank, parts: int) -> Callable[[Itera
     return send
 
 
-def region_pairs(key: np.ndarray, prev: np.ndarray, set_id: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
-    """Pairs of sets in one region whose sizes allow the threshold, as rows (less, greater) of set ids.
+def region_pairs(key: np.ndarray, prev: np.ndarray, place: np.ndarray, set_id: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """Pairs of sets in one region that can reach the threshold, as rows of set ids.
 
-    Two sets that have the same n-gram before this one in their windows meet in its region too and are left to that.
+    Two sets that have the same n-gram before this one in their windows meet in its region too and are left to that. Where
+    they meet first, they have in common this n-gram and at most those after it, so a pair goes on only if its sizes, and
+    the places of this n-gram in both, leave room for the least overlap.
     """
+    place = place.astype(np.int64)
     order = np.argsort(key, kind="stable")
     ranked = key[order]
     same = ranked[1:] == ranked[:-1]
@@ -171,18 +172,19 @@ def region_pairs(key: np.ndarray, prev: np.ndarray, set_id: np.ndarray, size: np
     keep[1:] |= same
     keep[:-1] |= same
     order = order[keep]
-    key, prev, set_id, size = key[order], prev[order], set_id[order], size[order]
+    key, prev, place, set_id, size = key[order], prev[order], place[order], set_id[order], size[order]
     order = np.lexsort((set_id, key))
-    key, prev, set_id, size = key[order], prev[order], set_id[order], size[order]
+    key, prev, place, set_id, size = key[order], prev[order], place[order], set_id[order], size[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (set_id[1:] != set_id[:-1])  # equal sets came from several batches
-    key, prev, set_id, size = key[fresh], prev[fresh], set_id[fresh], size[fresh]
+    key, prev, place, set_id, size = key[fresh], prev[fresh], place[fresh], set_id[fresh], size[fresh]
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(begin, len(key)))
 
     def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         good = ((prev[i] != prev[j]) | (prev[i] == 0)) & (small >= threshold * large - 1e-9)
+        good &= np.minimum(size[i] - place[i], size[j] - place[j]) >= threshold / (1 + threshold) * (small + large) - 1e-9
         return np.stack([set_id[i[good]], set_id[j[good]]], axis=1)
 
     for m in np.unique(count):
@@ -220,8 +222,8 @@ def candidates(docs: DataFrame, n: int, threshold: float, rank, parts: int) -> D
     def receive(payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         pieces = []
         for payload in payloads:
-            key, prev, local, set_id, size = unpack(payload)
-            pieces.append((key, prev, set_id[local], size[local]))
+            key, prev, place, local, set_id, size = unpack(payload)
+            pieces.append((key, prev, place, set_id[local], size[local]))
         if not pieces:
             return
         held, count = [], 0

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from veilwork.llm.debruijn import repeated_spans
 from veilwork.llm.ngram_join import jaccard_join
 from veilwork.llm.suffix_dedup import repeated_passages
+from veilwork.session import shipped
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

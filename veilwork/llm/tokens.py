@@ -153,3 +153,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         span *= 2
     rest = width - span
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def word_prefixes(data: np.ndarray, at: np.ndarray, words: Words, n: int) -> np.ndarray:
+    """Hash of the first n bytes of each word, or of the whole word if it is shorter."""
+    if not len(words.hashes):
+        return np.zeros(0, U64)
+    up, down = _BYTES.get(len(data))
+    sums = np.empty(len(data) + 1, U64)
+    sums[0] = 0
+    np.cumsum(LUT[data] * up, out=sums[1:])
+    base = np.repeat(at[:-1], np.diff(words.first))
+    a, b = base + words.start, base + words.end
+    b = np.minimum(b, a + n)
+    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U64))
