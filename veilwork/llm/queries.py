@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilwork.llm.debruijn import repeated_spans
 from veilwork.llm.ngram_join import jaccard_join
+from veilwork.llm.packing import packed
+from veilwork.llm.pii import find_pii
 from veilwork.llm.suffix_dedup import repeated_passages
+from veilwork.llm.toxicity import scored, train
 from veilwork.session import shipped
 
 
@@ -16,6 +19,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document, and whether it is toxic, by a classifier fitted on the labelled ones."""
+    docs = _table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose sets of word 3-grams have a Jaccard similarity of 0.6 or more."""
     return jaccard_join(_table(spark, sf_dir, "documents"))
@@ -26,11 +35,31 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and secrets in the documents."""
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of 50 words or more that repeat, by unitig of the documents' De Bruijn graph."""
     return repeated_spans(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_suffix_array_dedup, op7_substring_dedup)}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2,048 words filled with the documents."""
+    return packed(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op2_toxicity,
+        op3_ngram_jaccard_join,
+        op4_suffix_array_dedup,
+        op6_pii,
+        op7_substring_dedup,
+        op8_best_fit_packing,
+    )
+}
 
 ORACLES: dict[str, str] = {}
