@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilwork.llm.bpe import encoded
 from veilwork.llm.debruijn import repeated_spans
+from veilwork.llm.html_extract import extract_text
 from veilwork.llm.ngram_join import jaccard_join
 from veilwork.llm.packing import packed
 from veilwork.llm.pii import find_pii
@@ -19,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and main text of each page."""
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each document, and whether it is toxic, by a classifier fitted on the labelled ones."""
     docs = _table(spark, sf_dir, "documents")
@@ -35,6 +42,11 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document by a public vocabulary, and whether they decode to its text."""
+    return encoded(_table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and secrets in the documents."""
     return find_pii(_table(spark, sf_dir, "documents"))
@@ -53,9 +65,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_toxicity,
         op3_ngram_jaccard_join,
         op4_suffix_array_dedup,
+        op5_bpe,
         op6_pii,
         op7_substring_dedup,
         op8_best_fit_packing,
