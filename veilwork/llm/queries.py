@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilwork.llm.bpe import encoded
 from veilwork.llm.debruijn import repeated_spans
+from veilwork.llm.fingerprints import ORACLE as FINGERPRINTS
+from veilwork.llm.fingerprints import fingerprints
+from veilwork.llm.hash_forest import nearest
 from veilwork.llm.html_extract import extract_text
 from veilwork.llm.ngram_join import jaccard_join
 from veilwork.llm.packing import packed
@@ -62,6 +65,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors, by cosine, of every embedding."""
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document, the first with the same text, and how far it is equal to the first with its opening."""
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_pii,
         op7_substring_dedup,
         op8_best_fit_packing,
+        op9_nearest_neighbours,
+        op10_fingerprints,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_fingerprints": FINGERPRINTS}
