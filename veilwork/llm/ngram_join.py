@@ -20,8 +20,9 @@ NGRAM = 3
 THRESHOLD = 0.6
 #: Counters of the frequency sketch: its size is fixed, and its errors change the cost of the join, never its result.
 SKETCH_BITS = 22
-#: Most sets that are broadcast to leave texts without candidates out of the last shuffle; beyond it they stay in.
+#: Most places of sets that are broadcast, so that sets go to their regions at once; beyond it they go by a join.
 BROADCAST_SETS = 1 << 22
+LEAST_BITS = 64
 FLUSH_GRAMS = 1 << 21
 LEAF = 64
 PIVOTS = 8
@@ -71,11 +72,45 @@ def sets_of(batch: pa.RecordBatch, n: int, rank: np.ndarray | None = None) -> Se
     return Sets(ids[used], size[used], set_id[used].view(np.int64), hashes)
 
 
-SCAN = "doc_id long, set_id long, part int, payload binary"
+def parity_bits(found: Sets) -> list[bytes]:
+    """For each set its size, and bits that say whether an even or odd number of its n-grams fall on each.
+
+    There are at least twice as many bits as n-grams, a power of two. n-grams that two sets have in common cancel out in the
+    exclusive or of their bits, so the number of ones there is at most the number of n-grams that only one of them has.
+    """
+    width = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(2 * found.size)).astype(np.int64))
+    ends = np.cumsum(width)
+    begin, mask = np.repeat(ends - width, found.size), np.repeat(width - 1, found.size)
+    at = begin + (found.grams.astype(np.int64) & mask)
+    packed = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8)).tobytes()
+    edges = np.append(0, ends // 8).tolist()
+    return [np.int64(n).tobytes() + packed[a:b] for n, a, b in zip(found.size, edges[:-1], edges[1:])]
+
+
+def possible(bits: list[bytes], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets (indices) can reach the threshold by their parity bits; a pair that does reach it always can."""
+    size = np.array([np.frombuffer(b, np.int64, 1)[0] for b in bits])
+    rows = [np.frombuffer(b, np.uint8, offset=8) for b in bits]
+    width = np.array([len(r) for r in rows])
+    good = np.zeros(len(left), bool)
+    least = np.minimum(width[left], width[right])
+    for w in np.unique(least):
+        own = np.flatnonzero(least == w)
+        used, place = np.unique(np.append(left[own], right[own]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(rows[i].reshape(-1, w), axis=0) for i in used])
+        for k in range(0, len(own), step := max(1, (1 << 24) // int(w))):
+            part = own[k : k + step]
+            ones = np.bitwise_count(folded[place[k : k + len(part)]] ^ folded[place[len(own) + k : len(own) + k + len(part)]]).sum(1, dtype=np.int64)
+            both = size[left[part]] + size[right[part]]
+            good[part] = ones <= (1 - threshold) / (1 + threshold) * both + 1e-6
+    return good
+
+
+SCAN = "doc_id long, set_id long, bits binary, part int, payload binary"
 
 
 def scan(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """set_id of each document, and slices of a saturating count of n-grams by hash prefix."""
+    """set_id and parity bits of each document, and slices of a saturating count of n-grams by hash prefix."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -83,9 +118,9 @@ def scan(docs: DataFrame, n: int, parts: int) -> DataFrame:
             found = sets_of(batch, n)
             counts += np.bincount((found.grams >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             k = len(found.doc_id)
-            yield pa.RecordBatch.from_arrays([pa.array(found.doc_id), pa.array(found.set_id), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "set_id", "part", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.doc_id), pa.array(found.set_id), pa.array(parity_bits(found), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "set_id", "bits", "part", "payload"])
         slices = np.array_split(np.minimum(counts, 255).astype(np.uint8), parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array([s.tobytes() for s in slices], pa.binary())], ["doc_id", "set_id", "part", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()), pa.array([s.tobytes() for s in slices], pa.binary())], ["doc_id", "set_id", "bits", "part", "payload"])
 
     return docs.mapInArrow(send, SCAN)
 
@@ -303,36 +338,21 @@ def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresh
     return good, value
 
 
-def similar_sets(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, parts: int) -> DataFrame:
-    """(a, b, jaccard) of the candidate pairs that reach the threshold.
-
-    A set's pivot is the least of itself and its candidates; a pair is in the region of its lesser set's pivot, and sets
-    are replicated to the regions of their pairs.
-    """
-    spark = docs.sparkSession
+def with_regions(pairs: DataFrame, name: str) -> DataFrame:
+    """(a, b, region): a set's pivot is the least of itself and its candidates; a pair is in the region of its lesser set's."""
     pivot = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("pivot"))
-    placed = written(pairs.join(pivot, "a", "left").select("a", "b", F.coalesce("pivot", "a").alias("region")), "placed")
-    members = placed.select("region", F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = members.select("set_id").distinct()
-    few = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
-    known = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["set_id"].to_numpy(np.int64))) if few else None
+    return written(pairs.join(pivot, "a", "left").select("a", "b", F.coalesce("pivot", "a").alias("region")), name)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = known.value if known else None
-        for batch in chunks(batches):
-            found = sets_of(batch, n)
-            ends = np.append(0, np.cumsum(found.size))
-            use = np.unique(found.set_id, return_index=True)[1]
-            if seen is not None:
-                at = np.searchsorted(seen, found.set_id[use])
-                use = use[(at < len(seen)) & (seen[np.minimum(at, len(seen) - 1)] == found.set_id[use])] if len(seen) else use[:0]
-            values = [np.sort(found.grams[ends[i] : ends[i + 1]]).tobytes() for i in use.tolist()]
-            if values:
-                yield pa.RecordBatch.from_arrays([pa.array(found.set_id[use]), pa.array(values, pa.binary())], ["set_id", "grams"])
 
-    sets = docs.mapInArrow(send, "set_id long, grams binary").dropDuplicates(["set_id"])
-    routed = members.join(sets, "set_id").select("region", F.col("set_id").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    rows = routed.unionByName(placed.withColumn("grams", F.lit(None).cast("binary")))
+def members_of(placed: DataFrame) -> DataFrame:
+    """(region, set_id): sets are replicated to the regions of their pairs."""
+    return placed.select("region", F.explode(F.array("a", "b")).alias("set_id")).distinct()
+
+
+def meet(placed: DataFrame, values: DataFrame, solve: Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], parts: int) -> DataFrame:
+    """(a, b, jaccard) of the pairs that solve() lets through; values has (region, set_id, value)."""
+    routed = values.select("region", F.col("set_id").alias("a"), F.lit(None).cast("long").alias("b"), "value")
+    rows = routed.unionByName(placed.withColumn("value", F.lit(None).cast("binary")))
     schema = T.StructType.fromDDL("a long, b long, jaccard double")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,10 +361,9 @@ def similar_sets(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, pa
         def finish() -> pa.RecordBatch | None:
             if not a:
                 return None
-            ids = np.array(names)
-            order = np.argsort(ids)
-            left, right = (order[np.searchsorted(ids[order], np.array(x))] for x in (a, b))
-            good, value = verified(sets, left, right, threshold)
+            ids, one = np.unique(np.array(names), return_index=True)  # repeated rows of a document sent a set twice
+            left, right = (one[np.searchsorted(ids, np.array(x))] for x in (a, b))
+            good, value = solve(sets, left, right)
             if not good.any():
                 return None
             return pa.RecordBatch.from_arrays([pa.array(np.array(a)[good]), pa.array(np.array(b)[good]), pa.array(value[good])], schema.names)
@@ -357,7 +376,7 @@ def similar_sets(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, pa
                     region, names, sets, a, b = r, [], [], [], []
                 if g is not None:
                     names.append(x)
-                    sets.append(np.frombuffer(g, U64))
+                    sets.append(g)
                 else:
                     a.append(x)
                     b.append(y)
@@ -367,13 +386,65 @@ def similar_sets(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, pa
     return rows.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(join, schema)
 
 
+def likely_pairs(scanned: DataFrame, pairs: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """The candidate pairs that parity bits don't refute; nearly all that share a few n-grams by chance go here, and their
+    sets are never shuffled."""
+    placed = with_regions(pairs, "placed")
+    bits = scanned.where("bits IS NOT NULL").select("set_id", F.col("bits").alias("value"))
+    values = bits.join(members_of(placed), "set_id").dropDuplicates(["region", "set_id"])
+
+    def solve(sets: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return possible(sets, left, right, threshold), np.zeros(len(left))
+
+    return written(meet(placed, values, solve, parts).select("a", "b"), "likely")
+
+
+def similar_sets(docs: DataFrame, names: DataFrame, pairs: DataFrame, n: int, threshold: float, parts: int) -> DataFrame:
+    """(a, b, jaccard) of the pairs that reach the threshold. names: set_id and the document that names it."""
+    spark = docs.sparkSession
+    placed = with_regions(pairs, "likely-placed")
+    wanted = written(members_of(placed).join(names, "set_id").select("set_id", "region", "name"), "wanted")
+    few = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
+    known = None
+    if few:
+        table = wanted.select("name", "region").toArrow()
+        order = np.argsort(table["name"].to_numpy(), kind="stable")
+        known = spark.sparkContext.broadcast((table["name"].to_numpy()[order], table["region"].to_numpy()[order]))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            found = sets_of(batch, n)
+            ends = np.append(0, np.cumsum(found.size))
+            if known:
+                at, region = known.value
+                low, high = np.searchsorted(at, found.doc_id), np.searchsorted(at, found.doc_id, side="right")
+                times = high - low
+                use = np.repeat(np.arange(len(times)), times)
+                places = region[np.repeat(high - np.cumsum(times), times) + np.arange(times.sum())]
+            else:
+                use = np.unique(found.set_id, return_index=True)[1]
+                places = np.zeros(len(use), np.int64)
+            values = [np.sort(found.grams[ends[i] : ends[i + 1]]).tobytes() for i in use.tolist()]
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(found.set_id[use]), pa.array(values, pa.binary())], ["region", "set_id", "value"])
+
+    sets = docs.mapInArrow(send, "region long, set_id long, value binary")
+    if known is None:
+        sets = sets.drop("region").dropDuplicates(["set_id"]).join(wanted.drop("name"), "set_id").select("region", "set_id", "value")
+
+    def solve(values: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return verified([np.frombuffer(v, U64) for v in values], left, right, threshold)
+
+    return meet(placed, sets, solve, parts)
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
     """All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least `threshold`, exactly.
 
     Jaccard distance is a metric. Documents with equal sets are at distance 0 and are one point. Pivots create regions:
     first the singleton sets of n-grams (see send_prefixes), with boundary sets replicated to all regions in which a
     partner can be; then the least set of each group of candidates, and inside its region further pivots, with triangle
-    inequality windows (see verified). Pivots among documents alone can't divide unrelated texts, which are all at nearly
+    inequality windows (see verified), once parity bits have refuted pairs that only share a few n-grams. Pivots among documents alone can't divide unrelated texts, which are all at nearly
     1 from each other, so that every window would hold every document.
 
     Returns (doc_a, doc_b, jaccard). Each distinct set is named by the least doc_id that has it: doc_a and doc_b are such
@@ -394,7 +465,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM)
     named = scanned.where("part IS NULL").select("doc_id", "set_id").distinct()
     names = named.groupBy("set_id").agg(F.min("doc_id").alias("name"))
     pairs = written(candidates(docs, n, threshold, rank, parts), "pairs")
-    similar = similar_sets(docs, pairs, n, threshold, parts)
+    similar = similar_sets(docs, names, likely_pairs(scanned, pairs, threshold, parts), n, threshold, parts)
     left, right = names.select(F.col("set_id").alias("a"), F.col("name").alias("x")), names.select(F.col("set_id").alias("b"), F.col("name").alias("y"))
     across = similar.join(left, "a").join(right, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
     copies = named.join(names, "set_id").where("doc_id <> name").select(F.col("name").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
