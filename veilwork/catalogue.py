@@ -1,15 +1,431 @@
-"""Registered queries and their SQL."""
+"""Registered queries, one for each operator, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as C
 
+from veilwork.config import MaskConfig
+from veilwork.functions import sql as F
+from veilwork.functions.normalize import ce_years, composed, narrow, normalize, spaced, squeezed, zh_numbers
+from veilwork.functions.rules import FULL, LEAN, LEGACY, RULES, rules_of
+from veilwork.functions.vocabulary import ENTITIES, NER_SCORE
+from veilwork.operators.bank import conditional_amount, speaker_boost
+from veilwork.operators.quality import labelled_ratio
+from veilwork.operators.replace import non_empty, numbered_pairs
+from veilwork.operators.resolve import duplicate_log, without_duplicates
+from veilwork.operators.scan import RULE_STEP, changed, merged, ner_spans, scan
+from veilwork.plans import compare, oracle
+from veilwork.plans.masking import audit, detected, mask_turns
+from veilwork.session import shipped
+from veilwork.sources.turns import conversation_turns, transcripts, with_hits
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+LEAN_CONFIG, FULL_CONFIG, LEGACY_CONFIG = MaskConfig(profile=LEAN), MaskConfig(), MaskConfig(profile=LEGACY, threshold=0.50)
+#: Turns as source of the SQL plans.
+SOURCE = f"SELECT turn_id AS id, text AS t, * EXCLUDE (turn_id, text) FROM ({oracle.TURNS})"
+DOCUMENTS = "SELECT doc_id AS id, text AS t FROM documents"
+SPAN_COLUMNS = "id AS turn_id, CAST(s AS INT) AS start_at, CAST(e AS INT) AS end_at, entity, pattern, score, boost, word"
+
+
+def register(sql: str | None) -> Callable[[Query], Query]:
+    def keep(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLES[query.__name__] = sql
+        return query
+
+    return keep
+
+
+def _named(name: str, query: Query, sql: str | None) -> None:
+    query.__name__ = name
+    register(sql)(query)
+
+
+def _spans(rows: DataFrame, spans: F.Sql, key: str = "turn_id") -> DataFrame:
+    """A row for each span."""
+    made = rows.select(key, spans.column.alias("spans")).select(key, C.explode("spans").alias("x"))
+    return made.select(key, C.col("x.start").alias("start_at"), C.col("x.end").alias("end_at"), "x.entity", "x.pattern", "x.score", "x.boost", "x.word")
+
+
+def _normal(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", composed(C.col("text"))).withColumn("text", normalize(F.col("text")).column)
+
+
+# scans
+
+
+def _scan(entity: str) -> Query:
+    only = MaskConfig(entities=frozenset({entity}))
+    return lambda spark, sf_dir: _spans(_normal(transcripts(shipped(spark), sf_dir)), scan(F.col("text"), rules_of(FULL, True, only.entities)))
+
+
+for _entity in dict.fromkeys(r.entity for r in RULES[FULL]):
+    _only = MaskConfig(entities=frozenset({_entity}))
+    _named(f"scan_{_entity.lower()}", _scan(_entity), oracle.with_ctes({"source": SOURCE, "texts": oracle.normalised("SELECT * FROM source"), "raw": oracle.all_spans("texts", _only)}, f"SELECT {SPAN_COLUMNS} FROM raw"))
+
+
+def _scan_documents(entity: str) -> Query:
+    rules = rules_of(LEAN, True, frozenset({entity}))
+    return lambda spark, sf_dir: _spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan(F.col("text"), rules), "doc_id")
+
+
+for _entity in ("EMAIL_ADDRESS", "TW_CREDIT_CARD"):
+    _only = MaskConfig(profile=LEAN, entities=frozenset({_entity}))
+    _named(f"scan_documents_{_entity.lower()}", _scan_documents(_entity), oracle.with_ctes({"source": DOCUMENTS, "raw": oracle.all_spans("source", _only)}, f"SELECT {SPAN_COLUMNS.replace('turn_id', 'doc_id')} FROM raw"))
+
+
+# normalisation
+
+
+def _normalize(step: Callable[[F.Sql], F.Sql]) -> Query:
+    return lambda spark, sf_dir: transcripts(spark, sf_dir).select("turn_id", step(F.col("text")).column.alias("text"))
+
+
+def _step_sql(*steps: str) -> str:
+    return oracle.with_ctes({"source": SOURCE}, f"SELECT id AS turn_id, t AS text FROM ({oracle.normalised('SELECT id, t FROM source', steps)})")
+
+
+for _name, _step, _sql in (
+    ("fullwidth", narrow, ("fullwidth",)),
+    ("zh_numbers", zh_numbers, ("placed", "single", "runs")),
+    ("roc", ce_years, ("roc",)),
+    ("filler", squeezed, ("filler",)),
+    ("space", spaced, ("space",)),
+):
+    _named(f"normalize_{_name}", _normalize(_step), _step_sql(*_sql))
+
+
+@register("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def normalize_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shipped(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", composed(C.col("text")).alias("text"))
+
+
+@register(_step_sql(*oracle.STEPS))
+def normalize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normal(transcripts(shipped(spark), sf_dir)).select("turn_id", "text")
+
+
+# bank rules
+
+
+def _detected(spark: SparkSession, sf_dir: str, config: MaskConfig) -> DataFrame:
+    return _normal(transcripts(shipped(spark), sf_dir)).withColumn("spans", detected(F.col("text"), config).column)
+
+
+_RAW = {"source": SOURCE, "texts": oracle.normalised("SELECT * FROM source"), "raw": oracle.all_spans("texts", FULL_CONFIG)}
+_TALK = {"questions": f"SELECT id, s, e FROM ({oracle.places('texts', oracle.re2(oracle.QUESTIONS))})", "answers": oracle.answer_places("texts")}
+
+
+@register(oracle.with_ctes(_RAW | {"kept": oracle.conditional("raw")}, f"SELECT {SPAN_COLUMNS} FROM kept"))
+def cond_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts near an account or card, and all other spans."""
+    return _spans(_detected(spark, sf_dir, FULL_CONFIG), conditional_amount(F.col("spans")))
+
+
+@register(oracle.with_ctes(_RAW | _TALK | {"kept": oracle.boosted("raw", "texts")}, f"SELECT {SPAN_COLUMNS} FROM kept"))
+def speaker_boost_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores after questions and answers, each counted once."""
+    return _spans(_detected(spark, sf_dir, FULL_CONFIG), speaker_boost(F.col("text"), F.col("spans"), F.lit(False)))
+
+
+_LEGACY_RAW = _RAW | {"raw": oracle.all_spans("texts", LEGACY_CONFIG)}
+
+
+@register(oracle.with_ctes(_LEGACY_RAW | _TALK | {"kept": oracle.boosted("raw", "texts", cumulative=True)}, f"SELECT {SPAN_COLUMNS} FROM kept"))
+def speaker_boost_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores after questions and answers, each match counted."""
+    return _spans(_detected(spark, sf_dir, LEGACY_CONFIG), speaker_boost(F.col("text"), F.col("spans"), F.lit(False), cumulative=True))
+
+
+@register(oracle.with_ctes(_LEGACY_RAW, f"SELECT {SPAN_COLUMNS} FROM raw"))
+def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the first generation's rules that reach its threshold."""
+    return _spans(_detected(spark, sf_dir, LEGACY_CONFIG), F.col("spans"))
+
+
+_NO_BRANCHES = MaskConfig(branches=False)
+
+
+@register(oracle.with_ctes(_RAW | {"raw": oracle.all_spans("texts", _NO_BRANCHES)}, "SELECT entity, pattern, count(*) AS n_spans FROM raw GROUP BY ALL"))
+def requested_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by rule where branch codes aren't asked for."""
+    return _spans(_detected(spark, sf_dir, _NO_BRANCHES), F.col("spans")).groupBy("entity", "pattern").agg(C.count(C.lit(1)).alias("n_spans"))
+
+
+# duplicates, second sources, conflicts
+
+_SHIFT = 100
+_TWICE = _RAW | {"both_": f"SELECT * FROM raw UNION ALL ({oracle.all_spans('texts', MaskConfig(profile=LEGACY, threshold=0.0), _SHIFT)})"}
+
+
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of two generations of rules for each text: most places come twice."""
+    rows = _detected(spark, sf_dir, FULL_CONFIG).withColumn("more", detected(F.col("text"), MaskConfig(profile=LEGACY, threshold=0.0)).column)
+    shifted = F.transform(F.col("more"), lambda s: changed(s, seq=s["seq"] + _SHIFT * RULE_STEP))
+    return rows.withColumn("spans", F.concat(F.col("spans"), shifted).column)
+
+
+@register(oracle.with_ctes(_TWICE | {"kept": oracle.deduped("both_")}, f"SELECT {SPAN_COLUMNS} FROM kept"))
+def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One span of each place and type."""
+    return _spans(_twice(spark, sf_dir), without_duplicates(F.col("spans")))
+
+
+_BEST = "max(struct_pack(score := score, back := -seq)) OVER (PARTITION BY id, s, e, entity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_DUP_SQL = (
+    f"SELECT id AS turn_id, CAST(s AS INT) AS start_at, CAST(e AS INT) AS end_at, entity, CASE WHEN score > best.score THEN pattern ELSE other END AS winner, CASE WHEN score > best.score THEN other ELSE pattern END AS loser, "
+    f"CASE WHEN score = best.score THEN 'EXACT_DUP:first_wins' ELSE 'EXACT_DUP:higher_score_wins' END AS reason FROM (SELECT a.*, b.pattern AS other FROM (SELECT *, {_BEST} AS best FROM both_) a JOIN both_ b ON b.id = a.id AND b.s = a.s AND b.e = a.e AND b.entity = a.entity AND b.seq = -a.best.back)"
+)
+
+
+@register(oracle.with_ctes(_TWICE, _DUP_SQL))
+def dup_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each duplicate met: the best of its place and type so far."""
+    log = _twice(spark, sf_dir).select("turn_id", C.explode(duplicate_log(F.col("spans")).column).alias("x"))
+    return log.select("turn_id", C.col("x.winner.start").alias("start_at"), C.col("x.winner.end").alias("end_at"), C.col("x.winner.entity").alias("entity"), C.col("x.winner.pattern").alias("winner"), C.col("x.loser.pattern").alias("loser"), C.col("x.reason").alias("reason"))
+
+
+_PERSON = "王小明"
+_HITS_SQL = f"SELECT id, instr(t, '{_PERSON}') - 1 AS s, instr(t, '{_PERSON}') + 2 AS e, 'PERSON' AS tag FROM texts WHERE contains(t, '{_PERSON}') UNION ALL SELECT id, instr(t, '台北') - 1, instr(t, '台北') + 1, 'GPE' FROM texts WHERE contains(t, '台北') UNION ALL SELECT id, 0, 1, 'ORG' FROM texts WHERE length(t) > 0"
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    """A stand-in for a model: hits of one name, one place, and of a tag that has no entity type."""
+    places = C.array(*[C.when(C.instr("text", w) > 0, C.struct((C.instr("text", w) - 1).alias("start"), (C.instr("text", w) - 1 + len(w)).alias("end"), C.lit(t).alias("tag"))) for w, t in ((_PERSON, "PERSON"), ("台北", "GPE"))], C.struct(C.lit(0).alias("start"), C.lit(1).alias("end"), C.lit("ORG").alias("tag")))
+    return rows.select("turn_id", C.explode(C.filter(places, lambda x: x.isNotNull())).alias("h")).select("turn_id", "h.*")
+
+
+_NER = {"hits": _HITS_SQL, "ner": f"SELECT id, s, e, CASE tag WHEN 'PERSON' THEN 'PERSON' ELSE 'LOCATION' END AS entity, 'NER_' || tag AS pattern, {oracle.real(NER_SCORE)} AS score, 0E0 AS boost, CAST(NULL AS VARCHAR) AS word FROM hits WHERE tag <> 'ORG'"}
+
+
+@register(oracle.with_ctes({"source": SOURCE, "texts": oracle.normalised("SELECT * FROM source")} | _NER, f"SELECT {SPAN_COLUMNS} FROM ner"))
+def ner_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans from a model's hits."""
+    rows = _normal(transcripts(shipped(spark), sf_dir))
+    return _spans(with_hits(rows, _hits(rows)), ner_spans(F.col("ner_hits")))
+
+
+@register(oracle.with_ctes(_RAW | _NER, f"SELECT {SPAN_COLUMNS} FROM (SELECT id, s, e, entity, pattern, score, boost, word FROM ner UNION ALL SELECT id, s, e, entity, pattern, score, boost, word FROM raw r ANTI JOIN ner n ON r.id = n.id AND r.s = n.s AND r.e = n.e AND r.entity = n.entity)"))
+def merge_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of a second source that the first doesn't have."""
+    rows = _detected(spark, sf_dir, FULL_CONFIG)
+    return _spans(with_hits(rows, _hits(rows)), merged(ner_spans(F.col("ner_hits")), F.col("spans")))
+
+
+_FULL = oracle.pipeline(SOURCE, FULL_CONFIG)
+_LEAN = oracle.pipeline(SOURCE, LEAN_CONFIG)
+_LEGACY = oracle.pipeline(SOURCE, LEGACY_CONFIG)
+_LEAN_DOCUMENTS = oracle.pipeline(DOCUMENTS, LEAN_CONFIG)
+
+
+def _masked(spark: SparkSession, sf_dir: str, config: MaskConfig) -> DataFrame:
+    return mask_turns(transcripts(spark, sf_dir), config)
+
+
+def _entities(masked: DataFrame, key: str = "turn_id") -> DataFrame:
+    return _spans(masked, F.col("entities"), key)
+
+
+@register(oracle.with_ctes(_FULL, f"SELECT {SPAN_COLUMNS} FROM found"))
+def resolve_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans that are left when conflicts are decided."""
+    return _entities(_masked(spark, sf_dir, FULL_CONFIG))
+
+
+_LOG_SQL = (
+    "SELECT f.id AS turn_id, f.round, w.entity AS winner, CAST(w.s AS INT) AS winner_start, CAST(w.e AS INT) AS winner_end, w.pattern AS winner_pattern, l.entity AS loser, CAST(l.s AS INT) AS loser_start, CAST(l.e AS INT) AS loser_end, l.pattern AS loser_pattern, '[R' || f.round || '] ' || f.reason AS reason "
+    "FROM fold f JOIN ord w ON w.id = f.id AND w.rn = f.kept JOIN ord l ON l.id = f.id AND l.rn = f.loser WHERE f.loser IS NOT NULL"
+)
+
+
+@register(oracle.with_ctes(_FULL, _LOG_SQL))
+def conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each decision between two spans, with its round and reason."""
+    log = _masked(spark, sf_dir, FULL_CONFIG).select("turn_id", C.explode("conflict_log").alias("x")).where("x.reason LIKE '[R%'")
+    part = lambda w, f: C.col(f"x.{w}.{f}")
+    columns = {"round": C.regexp_extract("x.reason", r"^\[R(\d+)\]", 1).cast("int")}
+    for w in ("winner", "loser"):
+        columns |= {w: part(w, "entity"), f"{w}_start": part(w, "start"), f"{w}_end": part(w, "end"), f"{w}_pattern": part(w, "pattern")}
+    return log.select("turn_id", *[c.alias(n) for n, c in columns.items()], C.col("x.reason").alias("reason"))
+
+
+@register(oracle.with_ctes(_LEAN_DOCUMENTS, "SELECT entity AS entity_type, count(*) AS n_entities, count(DISTINCT id) AS n_docs FROM found GROUP BY entity"))
+def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensitive spans of the documents: their number, and that of documents, by entity type."""
+    rows = mask_turns(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), LEAN_CONFIG)
+    return rows.select("doc_id", C.explode("entities.entity").alias("entity_type")).groupBy("entity_type").agg(C.count(C.lit(1)).alias("n_entities"), C.countDistinct("doc_id").alias("n_docs"))
+
+
+# tokens and texts
+
+
+def _texts_sql(ctes: dict[str, str], config: MaskConfig) -> str:
+    return oracle.with_ctes(ctes | {"tokens": oracle.numbered("found", config, "id", "s")}, f"SELECT id AS turn_id, masked AS masked_text, n_entities FROM ({oracle.MASKED})")
+
+
+for _name, _ctes, _config in (("lean", _LEAN, LEAN_CONFIG), ("full", _FULL, FULL_CONFIG), ("legacy", _LEGACY, LEGACY_CONFIG)):
+    _named(f"masked_text_{_name}", lambda spark, sf_dir, c=_config: _masked(spark, sf_dir, c).select("turn_id", "masked_text", C.size("entities").cast("long").alias("n_entities")), _texts_sql(_ctes, _config))
+
+
+@register(oracle.with_ctes(_LEAN_DOCUMENTS | {"tokens": "SELECT *, base AS token FROM found"}, f"SELECT id AS doc_id, masked AS masked_text, n_entities FROM ({oracle.MASKED})"))
+def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with tokens of their entities' types."""
+    rows = mask_turns(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), LEAN_CONFIG)
+    return rows.select("doc_id", "masked_text", C.size("entities").cast("long").alias("n_entities"))
+
+
+# dialogues
+
+_RATIO = "avg(CASE WHEN speaker IN ('AGENT', 'CUSTOMER') THEN 1E0 ELSE 0E0 END) OVER (PARTITION BY session_id)"
+_DIALOGUE = oracle.pipeline(f"SELECT *, {_RATIO} >= 0.8E0 AS diarized FROM ({SOURCE})", FULL_CONFIG, "diarized")
+_DIALOGUE |= {"placed": "SELECT f.*, n.session_id, n.turn FROM found f JOIN norm n USING (id)", "tokens": oracle.numbered("placed", FULL_CONFIG, "session_id", "struct_pack(turn := turn, s := s)")}
+
+
+def _dialogues(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> DataFrame:
+    return mask_turns(transcripts(spark, sf_dir), FULL_CONFIG, dialogues=True, snapshot=snapshot)
+
+
+_TAG = (
+    "CASE WHEN asr_confidence < 0.7E0 THEN 'LOW_AUDIO_QUALITY' WHEN NOT diarized THEN CASE WHEN regexp_matches(original, {questions}) THEN 'FALLBACK_MODE' ELSE 'NO_DIARIZATION' END "
+    "WHEN n_entities / greatest(length(original), 1) * 100 > 3E0 THEN 'DEGRADED_MASKING' ELSE 'USABLE' END"
+).format(questions=oracle.re2(oracle.QUESTIONS))
+_TAGGED = f"SELECT m.*, s.t AS original, m.n_entities FROM ({oracle.MASKED}) m JOIN source s USING (id)"
+
+
+@register(oracle.with_ctes(_DIALOGUE, f"SELECT session_id, turn, masked AS masked_text, diarized AS diarization_available, usability_tag, usability_tag = 'FALLBACK_MODE' AS fallback_mode FROM (SELECT *, {_TAG} AS usability_tag FROM ({_TAGGED}))"))
+def mask_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls masked turn by turn, with one numbering through each, and how usable each turn is."""
+    return _dialogues(spark, sf_dir).select("session_id", "turn", "masked_text", "diarization_available", "usability_tag", "fallback_mode")
+
+
+@register(oracle.with_ctes(_DIALOGUE, f"SELECT usability_tag, count(*) AS n_turns, count(DISTINCT session_id) AS n_sessions FROM (SELECT *, {_TAG} AS usability_tag FROM ({_TAGGED})) GROUP BY usability_tag"))
+def usability_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and calls by usability."""
+    return _dialogues(spark, sf_dir).groupBy("usability_tag").agg(C.count(C.lit(1)).alias("n_turns"), C.countDistinct("session_id").alias("n_sessions"))
+
+
+_CONVERSATIONS = "SELECT conv_id AS session_id, CAST(turn AS INT) AS turn, CASE role WHEN 'user' THEN 'CUSTOMER' WHEN 'assistant' THEN 'AGENT' END AS speaker FROM conversations"
+
+
+@register(f"SELECT session_id, {_RATIO.replace(' OVER (PARTITION BY session_id)', '')} AS ratio, {_RATIO.replace(' OVER (PARTITION BY session_id)', '')} >= 0.8E0 AS diarized FROM ({_CONVERSATIONS}) GROUP BY session_id")
+def labeled_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of turns with a known speaker, by conversation."""
+    rows = conversation_turns(spark, sf_dir).withColumn("ratio", labelled_ratio(C.col("speaker")))
+    return rows.groupBy("session_id").agg(C.max("ratio").alias("ratio")).withColumn("diarized", C.col("ratio") >= 0.8)
+
+
+@register(oracle.with_ctes(_DIALOGUE, "SELECT session_id, turn, entity, value, token, CAST(s AS INT) AS start_at FROM tokens"))
+def pseudonym_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token of each entity of each call."""
+    return _dialogues(spark, sf_dir).select("session_id", "turn", C.explode("entities").alias("x")).select("session_id", "turn", "x.entity", "x.value", "x.token", C.col("x.start").alias("start_at"))
+
+
+_KINDS = f"entity IN ({', '.join(map(oracle.q, sorted(FULL_CONFIG.numbered)))})"
+
+
+@register(oracle.with_ctes(_DIALOGUE, f"SELECT DISTINCT session_id, entity, value, token FROM tokens WHERE {_KINDS}"))
+def pseudonym_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and tokens of each call, by type."""
+    pairs = _dialogues(spark, sf_dir).select("session_id", C.explode(numbered_pairs(F.col("entities"), FULL_CONFIG.numbered).column).alias("p"))
+    return pairs.select("session_id", "p.entity", "p.value", "p.token").distinct()
+
+
+@register(oracle.with_ctes(_DIALOGUE, f"SELECT n.session_id, n.turn, k.entity, k.value, k.token FROM norm n JOIN (SELECT session_id, entity, value, token, min(turn) AS turn FROM tokens WHERE {_KINDS} GROUP BY ALL) k ON k.session_id = n.session_id AND k.turn <= n.turn"))
+def pseudonym_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and tokens of each call as of each turn."""
+    maps = _dialogues(spark, sf_dir, snapshot=True).select("session_id", "turn", C.explode(non_empty(F.col("pseudonym_map")).column).alias("entity", "inner"))
+    return maps.select("session_id", "turn", "entity", C.explode("inner").alias("value", "token"))
+
+
+@register(
+    oracle.with_ctes(
+        _DIALOGUE,
+        "SELECT CAST(k.session_id AS VARCHAR) AS session_id, 'Step1-5' AS step, k.recognizer AS rule_triggered, k.entity AS entity_type, CASE WHEN k.pattern IN ('MOBILE', 'LANDLINE') THEN k.pattern WHEN k.pattern = 'AMOUNT_TXN_VERB' THEN 'AMOUNT_TXN' WHEN k.pattern LIKE 'ADDR\\_%' ESCAPE '\\' THEN k.pattern ELSE '' END AS entity_subtype, "
+        + oracle.cases("k.entity", {e.name: e.description for e in ENTITIES.values()}, "k.entity")
+        + f" AS original_type_desc, CAST(k.s AS INT) AS \"start\", CAST(k.e AS INT) AS \"end\", printf('%.3f', k.score) AS score, k.token AS token_applied, CASE WHEN EXISTS (SELECT 1 FROM won w WHERE w.id = k.id AND w.rn = k.rn) THEN 'Y' ELSE 'N' END AS conflict_resolved, CASE WHEN d.diarized THEN 'Y' ELSE 'N' END AS diarization_available, d.usability_tag FROM tokens k JOIN (SELECT *, {_TAG} AS usability_tag FROM ({_TAGGED})) d USING (id)",
+    )
+)
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of all calls, without the time at which it was written."""
+    return audit(_dialogues(spark, sf_dir), stamped=False)
+
+
+# reports
+
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.case_report(_masked(spark, sf_dir, LEAN_CONFIG), _masked(spark, sf_dir, FULL_CONFIG))
+
+
+def _side(config: MaskConfig, ctes: dict[str, str]) -> str:
+    """One row for each case: masked text, entities, conflicts, and sorted distinct (entity, value)."""
+    inner = ctes | {"tokens": oracle.numbered("found", config, "id", "s")}
+    pairs = "list_sort(list_distinct(list(struct_pack(entity := entity, value := value))))"
+    return "(" + oracle.with_ctes(inner, f"SELECT m.id, m.masked, m.n_entities, coalesce(f.found, []) AS found, coalesce(c.n, 0) AS n FROM ({oracle.MASKED}) m LEFT JOIN (SELECT id, {pairs} AS found FROM found GROUP BY id) f USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM fold WHERE loser IS NOT NULL GROUP BY id) c USING (id)") + ")"
+
+
+_BOTH = f"SELECT a.id AS turn_id, a.masked AS masked_a, b.masked AS masked_b, a.masked = b.masked AS same, a.found AS found_a, b.found AS found_b, CAST(a.n_entities AS INT) AS entities_a, CAST(b.n_entities AS INT) AS entities_b, list_filter(a.found, lambda p: p.entity IN ('PERSON', 'LOCATION')) AS ner_a, list_filter(b.found, lambda p: p.entity IN ('PERSON', 'LOCATION')) AS ner_b FROM {_side(LEAN_CONFIG, _LEAN)} a JOIN {_side(FULL_CONFIG, _FULL)} b USING (id)"
+_ONLY = "len(list_filter({x}, lambda p: NOT list_contains({y}, p)))"
+
+
+@register(f"SELECT turn_id, masked_a, masked_b, same, entities_a, entities_b, CAST({_ONLY.format(x='found_a', y='found_b')} AS INT) AS n_only_a, CAST({_ONLY.format(x='found_b', y='found_a')} AS INT) AS n_only_b, ner_a <> ner_b AS ner_differs FROM ({_BOTH})")
+def compare_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lean and full masking side by side."""
+    return _report(spark, sf_dir).select("turn_id", "masked_a", "masked_b", "same", "entities_a", "entities_b", C.size("only_a").alias("n_only_a"), C.size("only_b").alias("n_only_b"), "ner_differs")
+
+
+@register(f"SELECT count(*) AS cases, count(*) FILTER (same) AS same, count(*) FILTER (NOT same) AS different, count(*) FILTER (ner_a <> ner_b) AS ner_differs FROM ({_BOTH})")
+def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cases lean and full masking agree on."""
+    return compare.summary(_report(spark, sf_dir))
+
+
+_SIDES = " UNION ALL ".join(f"SELECT '{x}' AS side, unnest(list_filter(ner_{x}, lambda p: NOT list_contains(ner_{y}, p))) AS p FROM b" for x, y in (("a", "b"), ("b", "a")))
+
+
+@register(f"WITH b AS ({_BOTH}) SELECT side, p.entity AS entity, p.value AS value, count(*) AS cases FROM ({_SIDES}) GROUP BY ALL")
+def compare_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons and places that only one of lean and full masking finds."""
+    return compare.divergences(_report(spark, sf_dir))
+
+
+# guards and dimensions
+
+_EDGES = [(1, None), (2, ""), (3, "  "), (4, "　\t"), (5, "我電話0912345678"), (6, "\n")]
+
+
+@register("SELECT * FROM (VALUES (1, NULL, 'USABLE', 0), (2, '', 'USABLE', 0), (3, '  ', 'USABLE', 0), (4, '　\t', 'USABLE', 0), (5, '我電話[PHONE]', 'NO_DIARIZATION', 1), (6, chr(10), 'USABLE', 0)) v(turn_id, masked_text, usability_tag, n_entities)".replace("\\t", "\t"))
+def blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and blank texts pass as they are."""
+    rows = mask_turns(spark.createDataFrame(_EDGES, "turn_id int, text string"))
+    return rows.select("turn_id", "masked_text", "usability_tag", C.size("entities").alias("n_entities"))
+
+
+@register("SELECT * FROM (VALUES (1, 'PERSON', '王小明', '[NAME_1]'), (2, 'TXN_REF', '1', '[TXN_REF_1]')) v(id, entity, value, token)")
+def empty_map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudonym maps without the types that have no values."""
+    rows = spark.createDataFrame([(1, {"PERSON": {"王小明": "[NAME_1]"}, "ATM_REF": {}}), (2, {"TXN_REF": {"1": "[TXN_REF_1]"}}), (3, {"PERSON": {}})], "id int, m map<string,map<string,string>>")
+    inner = rows.select("id", C.explode(non_empty(F.col("m")).column).alias("entity", "inner"))
+    return inner.select("id", "entity", C.explode("inner").alias("value", "token"))
+
+
+@register("SELECT * FROM (VALUES " + ", ".join(f"({oracle.q(e.name)}, {oracle.q(e.token)}, {e.priority}, {e.risk}, {oracle.q(e.description)}, {e.numbered})" for e in ENTITIES.values()) + ") v(entity, token, priority, risk, description, numbered)")
+def entity_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity types as a table, for joins in users' SQL."""
+    return spark.createDataFrame([(e.name, e.token, e.priority, e.risk, e.description, e.numbered) for e in ENTITIES.values()], "entity string, token string, priority int, risk int, description string, numbered boolean")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -99,6 +99,19 @@ def ranked(spans: Sql, legacy: bool = False) -> Sql:
     return F.array_sort(F.transform(spans, one), before)
 
 
+def one_decimal(x: Sql) -> Sql:
+    """x with one decimal, by its exact binary value and half to even; for numbers of 16 to 500."""
+
+    def whole(n: Sql) -> Sql:
+        return let(F.struct(q=Sql(f"({n} * 10 div {1 << 48})"), r=Sql(f"({n} * 10 % {1 << 48})")), up)
+
+    def up(d: Sql) -> Sql:
+        q, r, half = d["q"], d["r"], 1 << 47
+        return let(q + F.when((r > half) | ((r == half) & (Sql(f"({q} % 2)") == 1)), 1).otherwise(0), lambda v: F.concat(Sql(f"({v} div 10)").cast("string"), ".", Sql(f"({v} % 10)").cast("string")))
+
+    return let((x * float(1 << 48)).cast("bigint"), whole)
+
+
 def decision(a: Sql, b: Sql) -> Sql:
     """struct<a_wins, reason> for two spans that overlap; b came before a. A full tie goes to a."""
     la, lb = a["end"] - a["start"], b["end"] - b["start"]
@@ -106,7 +119,7 @@ def decision(a: Sql, b: Sql) -> Sql:
     b_holds = (lb > la) & (b["start"] <= a["start"]) & (b["end"] >= a["end"])
     said = lambda kind, sign, x, y: F.concat(kind, F.greatest(x, y).cast("string"), sign, F.least(x, y).cast("string"))
     a_prio = a["prio"] >= b["prio"]
-    by_prio = F.format_string("PRIORITY_SCORE:%.1f>=%.1f", F.when(a_prio, a["prio"]).otherwise(b["prio"]), F.when(a_prio, b["prio"]).otherwise(a["prio"]))
+    by_prio = F.concat("PRIORITY_SCORE:", one_decimal(F.when(a_prio, a["prio"]).otherwise(b["prio"])), ">=", one_decimal(F.when(a_prio, b["prio"]).otherwise(a["prio"])))
     wins = F.when(a_holds, F.lit(True)).when(b_holds, F.lit(False)).when(a["risk"] != b["risk"], a["risk"] > b["risk"]).when(la != lb, la > lb).otherwise(a_prio)
     reason = F.when(a_holds | b_holds, F.lit("CONTAINS:longer_wins")).when(a["risk"] != b["risk"], said("RISK_LEVEL:", ">", a["risk"], b["risk"])).when(la != lb, said("SPAN_LENGTH:", ">", la, lb)).otherwise(by_prio)
     same = (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["entity"] != b["entity"])
