@@ -9,6 +9,7 @@ from pyspark.sql import functions as C
 
 from veilwork.config import MaskConfig
 from veilwork.functions import sql as F
+from veilwork.functions.columns import exploded
 from veilwork.functions.normalize import ce_years, composed, narrow, normalize, spaced, squeezed, zh_numbers
 from veilwork.functions.rules import FULL, LEAN, LEGACY, RULES, rules_of
 from veilwork.functions.vocabulary import ENTITIES, NER_SCORE
@@ -50,7 +51,7 @@ def _named(name: str, query: Query, sql: str | None) -> None:
 
 def _spans(rows: DataFrame, spans: F.Sql, key: str = "turn_id") -> DataFrame:
     """A row for each span."""
-    made = rows.select(key, spans.column.alias("spans")).select(key, C.explode("spans").alias("x"))
+    made = exploded(rows, key, x=spans.column)
     return made.select(key, C.col("x.start").alias("start_at"), C.col("x.end").alias("end_at"), "x.entity", "x.pattern", "x.score", "x.boost", "x.word")
 
 
@@ -188,7 +189,7 @@ _DUP_SQL = (
 @register(oracle.with_ctes(_TWICE, _DUP_SQL))
 def dup_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each duplicate met: the best of its place and type so far."""
-    log = _twice(spark, sf_dir).select("turn_id", C.explode(duplicate_log(F.col("spans")).column).alias("x"))
+    log = exploded(_twice(spark, sf_dir), "turn_id", x=duplicate_log(F.col("spans")).column)
     return log.select("turn_id", C.col("x.winner.start").alias("start_at"), C.col("x.winner.end").alias("end_at"), C.col("x.winner.entity").alias("entity"), C.col("x.winner.pattern").alias("winner"), C.col("x.loser.pattern").alias("loser"), C.col("x.reason").alias("reason"))
 
 
@@ -199,7 +200,7 @@ _HITS_SQL = f"SELECT id, instr(t, '{_PERSON}') - 1 AS s, instr(t, '{_PERSON}') +
 def _hits(rows: DataFrame) -> DataFrame:
     """A stand-in for a model: hits of one name, one place, and of a tag that has no entity type."""
     places = C.array(*[C.when(C.instr("text", w) > 0, C.struct((C.instr("text", w) - 1).alias("start"), (C.instr("text", w) - 1 + len(w)).alias("end"), C.lit(t).alias("tag"))) for w, t in ((_PERSON, "PERSON"), ("台北", "GPE"))], C.struct(C.lit(0).alias("start"), C.lit(1).alias("end"), C.lit("ORG").alias("tag")))
-    return rows.select("turn_id", C.explode(C.filter(places, lambda x: x.isNotNull())).alias("h")).select("turn_id", "h.*")
+    return exploded(rows, "turn_id", h=C.filter(places, lambda x: x.isNotNull())).select("turn_id", "h.*")
 
 
 _NER = {"hits": _HITS_SQL, "ner": f"SELECT id, s, e, CASE tag WHEN 'PERSON' THEN 'PERSON' ELSE 'LOCATION' END AS entity, 'NER_' || tag AS pattern, {oracle.real(NER_SCORE)} AS score, 0E0 AS boost, CAST(NULL AS VARCHAR) AS word FROM hits WHERE tag <> 'ORG'"}
@@ -248,7 +249,7 @@ _LOG_SQL = (
 @register(oracle.with_ctes(_FULL, _LOG_SQL))
 def conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each decision between two spans, with its round and reason."""
-    log = _masked(spark, sf_dir, FULL_CONFIG).select("turn_id", C.explode("conflict_log").alias("x")).where("x.reason LIKE '[R%'")
+    log = exploded(_masked(spark, sf_dir, FULL_CONFIG), "turn_id", x=C.col("conflict_log")).where("x.reason LIKE '[R%'")
     part = lambda w, f: C.col(f"x.{w}.{f}")
     columns = {"round": C.regexp_extract("x.reason", r"^\[R(\d+)\]", 1).cast("int")}
     for w in ("winner", "loser"):
@@ -260,7 +261,7 @@ def conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensitive spans of the documents: their number, and that of documents, by entity type."""
     rows = mask_turns(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), LEAN_CONFIG)
-    return rows.select("doc_id", C.explode("entities.entity").alias("entity_type")).groupBy("entity_type").agg(C.count(C.lit(1)).alias("n_entities"), C.countDistinct("doc_id").alias("n_docs"))
+    return exploded(rows, "doc_id", entity_type=C.col("entities.entity")).groupBy("entity_type").agg(C.count(C.lit(1)).alias("n_entities"), C.countDistinct("doc_id").alias("n_docs"))
 
 
 # tokens and texts
@@ -324,7 +325,7 @@ def labeled_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(oracle.with_ctes(_DIALOGUE, "SELECT session_id, turn, entity, value, token, CAST(s AS INT) AS start_at FROM tokens"))
 def pseudonym_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token of each entity of each call."""
-    return _dialogues(spark, sf_dir).select("session_id", "turn", C.explode("entities").alias("x")).select("session_id", "turn", "x.entity", "x.value", "x.token", C.col("x.start").alias("start_at"))
+    return exploded(_dialogues(spark, sf_dir), "session_id", "turn", x=C.col("entities")).select("session_id", "turn", "x.entity", "x.value", "x.token", C.col("x.start").alias("start_at"))
 
 
 _KINDS = f"entity IN ({', '.join(map(oracle.q, sorted(FULL_CONFIG.numbered)))})"
@@ -333,15 +334,16 @@ _KINDS = f"entity IN ({', '.join(map(oracle.q, sorted(FULL_CONFIG.numbered)))})"
 @register(oracle.with_ctes(_DIALOGUE, f"SELECT DISTINCT session_id, entity, value, token FROM tokens WHERE {_KINDS}"))
 def pseudonym_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and tokens of each call, by type."""
-    pairs = _dialogues(spark, sf_dir).select("session_id", C.explode(numbered_pairs(F.col("entities"), FULL_CONFIG.numbered).column).alias("p"))
+    pairs = exploded(_dialogues(spark, sf_dir), "session_id", p=numbered_pairs(F.col("entities"), FULL_CONFIG.numbered).column)
     return pairs.select("session_id", "p.entity", "p.value", "p.token").distinct()
 
 
 @register(oracle.with_ctes(_DIALOGUE, f"SELECT n.session_id, n.turn, k.entity, k.value, k.token FROM norm n JOIN (SELECT session_id, entity, value, token, min(turn) AS turn FROM tokens WHERE {_KINDS} GROUP BY ALL) k ON k.session_id = n.session_id AND k.turn <= n.turn"))
 def pseudonym_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and tokens of each call as of each turn."""
-    maps = _dialogues(spark, sf_dir, snapshot=True).select("session_id", "turn", C.explode(non_empty(F.col("pseudonym_map")).column).alias("entity", "inner"))
-    return maps.select("session_id", "turn", "entity", C.explode("inner").alias("value", "token"))
+    maps = exploded(_dialogues(spark, sf_dir, snapshot=True), "session_id", "turn", m=C.map_entries(non_empty(F.col("pseudonym_map")).column))
+    pairs = exploded(maps, "session_id", "turn", C.col("m.key").alias("entity"), p=C.map_entries("m.value"))
+    return pairs.select("session_id", "turn", "entity", C.col("p.key").alias("value"), C.col("p.value").alias("token"))
 
 
 @register(

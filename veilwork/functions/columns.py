@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as C
+
 from veilwork.functions import sql as F
 from veilwork.functions.sql import Sql, let
 
@@ -44,3 +47,13 @@ def map_matches(text: Sql, pattern: str, change: Callable[[Sql], Sql]) -> Sql:
         return F.array_join(F.transform(b["gaps"], lambda gap, i: F.concat(gap, F.coalesce(let(F.get(b["hits"], i), change), ""))), "")
 
     return let(text, lambda t: F.when(t.rlike(pattern), let(_pieces(t, pattern), join)).otherwise(t))
+
+
+def exploded(rows: DataFrame, *kept: str | Column, **values: Column) -> DataFrame:
+    """kept, and a row for each element of an array, named by its keyword.
+
+    Not by explode(): that lets Spark infer a filter on the array's size, which is pushed down with all that the array is
+    made of, so that the whole scan is worked out twice.
+    """
+    (name, value), = values.items()
+    return rows.select(*kept, C.explode_outer(value).alias(name)).where(C.col(name).isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as C
 
 from veilwork.functions import sql as F
+from veilwork.functions.columns import exploded
 from veilwork.functions.sql import Sql
 
 NER_TYPES = ("PERSON", "LOCATION")
@@ -39,5 +40,5 @@ def summary(report: DataFrame) -> DataFrame:
 
 def divergences(report: DataFrame) -> DataFrame:
     """All persons and places that only one run has found, over all cases, with the number of cases of each."""
-    side = lambda x: report.select(C.lit(x).alias("side"), C.explode(f"ner_only_{x}").alias("p")).select("side", "p.entity", "p.value")
+    side = lambda x: exploded(report, C.lit(x).alias("side"), p=C.col(f"ner_only_{x}")).select("side", "p.entity", "p.value")
     return side("a").unionByName(side("b")).groupBy("side", "entity", "value").agg(C.count(C.lit(1)).alias("cases"))

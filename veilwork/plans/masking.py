@@ -103,7 +103,7 @@ def mask_dialogue(spark: SparkSession, turns: list[dict], session_id: str = "",
 
 def audit(masked: DataFrame, step: str = "Step1-5", stamped: bool = True) -> DataFrame:
     """A row for each entity of masked turns, with the reasons for which it was masked."""
-    rows = masked.select(_column(masked, "session_id", "string").alias("session_id"), "diarization_available", "usability_tag", "conflict_log", C.posexplode("entities").alias("at", "s"))
+    rows = masked.select(_column(masked, "session_id", "string").alias("session_id"), "diarization_available", "usability_tag", "conflict_log", C.explode_outer("entities").alias("s")).where("s IS NOT NULL")
     s = lambda f: C.col(f"s.{f}")
     subtype = C.when(s("pattern").isin("MOBILE", "LANDLINE"), s("pattern")).when(s("pattern") == "AMOUNT_TXN_VERB", C.lit("AMOUNT_TXN")).when(s("pattern").startswith("ADDR_"), s("pattern")).otherwise(C.lit(""))
     won = C.exists("conflict_log", lambda e: (e["winner"]["start"] == s("start")) & (e["winner"]["end"] == s("end")) & (e["winner"]["entity"] == s("entity")))

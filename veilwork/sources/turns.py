@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 ROLES = {"user": "CUSTOMER", "assistant": "AGENT"}
 
-#: Calls made of orders: fourteen kinds of turns, a session for each customer. The text reads alike in Spark and DuckDB.
+#: Calls made of orders: eighteen kinds of turns, a session for each customer. The text reads alike in Spark and DuckDB.
 TRANSCRIPTS = """
 SELECT o_custkey AS session_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS turn, o_orderkey AS turn_id,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'AGENT' ELSE 'CUSTOMER' END AS speaker,
   CASE WHEN o_orderkey % 17 = 0 THEN 0.55E0 WHEN o_orderkey % 3 = 0 THEN NULL ELSE 0.9E0 END AS asr_confidence,
-  CASE o_orderkey % 14
+  CASE o_orderkey % 18
     WHEN 0 THEN '我叫王小明，卡號是4' || lpad(CAST((o_orderkey * 7919) % 1000000000000000 AS STRING), 15, '0')
     WHEN 1 THEN '我電話09' || lpad(CAST(o_custkey % 100000000 AS STRING), 8, '0')
     WHEN 2 THEN '住在台北市忠孝東路' || CAST(o_orderkey % 300 + 1 AS STRING) || '號'
@@ -26,6 +26,10 @@ SELECT o_custkey AS session_id, CAST(row_number() OVER (PARTITION BY o_custkey O
     WHEN 10 THEN '母親生日是' || lpad(CAST(o_orderkey AS STRING), 8, '0') || '，有效期限0' || CAST(o_orderkey % 9 + 1 AS STRING) || '25'
     WHEN 11 THEN '我家住在好市多隔壁的SEVEN樓上，員工編號EMP' || lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')
     WHEN 12 THEN '我的Email是u' || CAST(o_custkey AS STRING) || '@example.com　謝謝  ＡＢ１２'
+    WHEN 13 THEN '信用卡背面三碼是' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || '，到期0' || CAST(o_orderkey % 9 + 1 AS STRING) || '/27'
+    WHEN 14 THEN '網銀密碼' || lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0') || '，幫我確認，是' || CAST(o_orderkey AS STRING) || '00000'
+    WHEN 15 THEN '分行代碼' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || '，住在臺中市臺灣大道一段９９號，電話04' || lpad(CAST(o_custkey AS STRING), 8, '2')
+    WHEN 16 THEN '護照AB' || lpad(CAST(o_orderkey AS STRING), 8, '1') || '，保單P' || lpad(CAST(o_custkey AS STRING), 7, '3') || '，活動AB1234，生於1985/05/01，付NT$1,200'
     ELSE '生日是民國七十四年五月一日，卡號末四碼是三三三五'
   END AS text
 FROM {orders}
