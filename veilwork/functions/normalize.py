@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import coalesce, pandas_udf, when
+from pyspark.sql.types import StringType
 
 from veilwork.functions import sql as F
 from veilwork.functions.columns import map_matches
@@ -23,7 +24,7 @@ ERA = 1911
 COMPOSED = r"^[\x00-˿‐-‧‰-⁞、-゘゛-ヿㄅ-ㄯ㐀-䶿一-鿿가-힣＀-￯\x{1f000}-\x{1faff}]*$"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -55,7 +56,7 @@ def place_value(number: Sql) -> Sql:
 def zh_numbers(text: Sql) -> Sql:
     """Numerals with place values, then single ones before 月 日 號 點, then runs of two or more, digit by digit."""
     every = f"[{NUMERALS}{''.join(PLACE_VALUES)}]*"
-    text = map_matches(text, f"{every}[{''.join(PLACE_VALUES)}]{every}", place_value)
+    text = map_matches(text, f"(?<!{every[:-1]}){every}[{''.join(PLACE_VALUES)}]{every}", place_value)
     plain = lambda m: F.translate(m, NUMERALS, VALUES)
     text = map_matches(text, f"[{NUMERALS}](?=[月日號點])", plain)
     return map_matches(text, f"[{NUMERALS}]{{2,}}", plain)

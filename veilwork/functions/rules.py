@@ -29,6 +29,9 @@ def any_of(words: tuple[str, ...]) -> str:
 
 
 NUMBER = rf"\d+(?:,{digits(3)})*"
+#: Where a long run of characters can't be matched, a pattern is tried at its beginning only (or where a match ended), so that
+#: the time stays in proportion to the text; no match begins inside such a run that wouldn't at its beginning.
+_LOCAL = "[0-9A-Za-z%+._-]"
 _MONTH = "(?:0[1-9]|1[0-2])"
 
 
@@ -64,6 +67,7 @@ def _patterns() -> list[Rule]:
     amount = w["amount"]
     verbs = any_of(VERBS)
     money = rf"({NUMBER}(?:元|塊|NTD|NT)?)"
+    mail = rf"{_LOCAL}+@[0-9A-Za-z.-]+[.][A-Za-z]{{2,}}"
     street = f"(?:{HAN}?段)?" + "".join(f"(?:{digits(1, n)}{unit})?" for n, unit in ((4, "巷"), (4, "弄"), (4, "號"), (3, "樓")))
     return [
         Rule("TW_PHONE", "MOBILE", "09" + digits(8), 0.85, w["phone"]),
@@ -81,11 +85,11 @@ def _patterns() -> list[Rule]:
         Rule("TXN_REF", "TXN_ALPHA", capitals(1, 3) + digits(8, 15), 0.60, w["txn"]),
         Rule("POLICY_NO", "POLICY_ALPHA", capitals(1, 1) + digits(6, 12), 0.60, w["policy"]),
         Rule("POLICY_NO", "POLICY_NUM", "P" + digits(6, 10), 0.75, w["policy"]),
-        Rule("AMOUNT", "AMOUNT_YUAN", NUMBER + "元", 0.80, amount),
-        Rule("AMOUNT", "AMOUNT_KUAI", NUMBER + "塊", 0.75, amount),
+        Rule("AMOUNT", "AMOUNT_YUAN", rf"(?<!\d){NUMBER}元", 0.80, amount, re2=NUMBER + "元"),
+        Rule("AMOUNT", "AMOUNT_KUAI", rf"(?<!\d){NUMBER}塊", 0.75, amount, re2=NUMBER + "塊"),
         Rule("AMOUNT", "AMOUNT_NT", r"NT[$]?\s*" + NUMBER, 0.80, amount),
         Rule("AMOUNT", "AMOUNT_NUM", NUMBER, 0.40, amount),
-        Rule("AMOUNT_TXN", "AMOUNT_TXN_VERB", f"{verbs}.{{0,20}}?{money}|{money}.{{0,10}}?{verbs}", 0.82, kind="group", recognizer="VerbAmountRule", note="(verb)"),
+        Rule("AMOUNT_TXN", "AMOUNT_TXN_VERB", rf"{verbs}.{{0,20}}?{money}|(?<!\d){money}.{{0,10}}?{verbs}", 0.82, kind="group", recognizer="VerbAmountRule", note="(verb)", re2=f"{verbs}.{{0,20}}?{money}|{money}.{{0,10}}?{verbs}"),
         Rule("OTP", "OTP_6", digits(6), 0.50, w["otp"]),
         Rule("CVV", "CVV_3", digits(3), 0.30, w["cvv"], needed=True),
         Rule("EXPIRY", "EXPIRY_MMYY", _MONTH + digits(2), 0.45, w["expiry"]),
@@ -101,7 +105,7 @@ def _patterns() -> list[Rule]:
         Rule("BRANCH", "BRANCH_NUM", digits(3, 4), 0.35, w["branch"], needed=True),
         Rule("BRANCH", "BRANCH_ALPHA", capitals(2, 4) + digits(2, 4), 0.55, w["branch"], needed=True),
         Rule("VERIFICATION_ANSWER", "VERIFICATION_TRIGGER", any_of(SECURITY_WORDS), 0.75, kind="after", recognizer="VerificationRule", then=digits(6, 8), note="X"),
-        Rule("EMAIL_ADDRESS", "EMAIL", r"[0-9A-Za-z%+._-]+@[0-9A-Za-z.-]+[.][A-Za-z]{2,}", 0.85, w["email"]),
+        Rule("EMAIL_ADDRESS", "EMAIL", rf"(?:\G|(?<!{_LOCAL})){mail}", 0.85, w["email"], re2=mail),
     ]
 
 
