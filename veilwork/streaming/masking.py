@@ -2,66 +2,71 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as C
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Window as W
+from pyspark.sql.streaming import DataStreamWriter
 
 from veilwork.config import MaskConfig
 from veilwork.functions import sql as F
-from veilwork.operators.replace import ENTITY, numbered_token, replaced
+from veilwork.functions.columns import exploded
+from veilwork.operators.replace import ENTITY, base_token, numbered_token, replaced
 from veilwork.plans.masking import mask_turns
-from veilwork.session import shipped
 
-STATE = "numbers string"
-#: A call without turns for so long is over.
-TIMEOUT_MS = 30 * 60 * 1000
+KNOWN = "session_id string, entity string, value string, number int, batch_id long"
+KEY = ["session_id", "entity", "value"]
 
 
-def mask_stream(turns: DataFrame, config: MaskConfig = MaskConfig()) -> DataFrame:
-    """Turns (session_id, turn, text; as far as they are there speaker, asr_confidence, diarized) of a stream, masked.
+def _exists(rows: DataFrame, folder: str) -> bool:
+    at = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).exists(at)
 
-    Each turn is detected by the same plan as in batch, then its values are numbered with its call's state, and its text is
-    put together. Whether a call is diarized needs the whole call, so a stream takes it from the column diarized.
-    Gives session_id, turn, masked_text, usability_tag, diarization_available and entities.
+
+def numbered_batch(masked: DataFrame, batch_id: int, folder: str, numbered: frozenset[str]) -> DataFrame:
+    """A batch of masked turns with the tokens of their calls: values that earlier batches numbered keep their number, new
+    ones go on from the highest, in the order of turns and places.
+
+    What a batch numbers is written under folder/batch_id=N before its turns go out; a batch that is run again reads only
+    the earlier ones and overwrites its own, so it comes to the same numbers.
     """
-    shipped(turns.sparkSession)
-    masked = mask_turns(turns, config)
-    payload = C.to_json(C.struct("normalized_text", "usability_tag", "diarization_available", "entities"), {"ignoreNullFields": "false"})
-    kind = masked.select("normalized_text", "usability_tag", "diarization_available", "entities").schema
-    values = C.to_json(C.transform("entities", lambda s: C.struct(s["entity"].alias("entity"), s["value"].alias("value"))))
-    rows = masked.select(C.col("session_id").cast("string").alias("session_id"), C.col("turn").cast("int").alias("turn"), payload.alias("payload"), values.alias("values"))
-    per_turn = rows.groupBy("session_id").applyInPandasWithState(_turns_of(config.numbered if not config.lean else frozenset()), "session_id string, turn int, payload string, numbers string", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-    opened = per_turn.select("session_id", "turn", C.from_json("payload", kind).alias("p"), C.from_json("numbers", "array<int>").alias("numbers"))
-    numbered = F.transform(F.col("p.entities"), lambda s, i: F.struct(**{f: s[f] for f in ENTITY if f != "token"}, token=F.when(F.get(F.col("numbers"), i) > 0, numbered_token(s["token"], F.get(F.col("numbers"), i))).otherwise(s["token"])))
-    ready = opened.select("session_id", "turn", C.col("p.normalized_text").alias("normalized_text"), C.col("p.usability_tag").alias("usability_tag"), C.col("p.diarization_available").alias("diarization_available"), numbered.column.alias("entities"))
-    return ready.select("session_id", "turn", replaced(F.col("normalized_text"), F.col("entities")).column.alias("masked_text"), "usability_tag", "diarization_available", "entities")
+    spark = masked.sparkSession
+    rows = masked.withColumn("session_id", C.col("session_id").cast("string"))
+    found = exploded(rows, "session_id", "turn", s=C.col("entities")).where(C.col("s.entity").isin(*sorted(numbered)))
+    values = found.groupBy("session_id", C.col("s.entity").alias("entity"), C.col("s.value").alias("value")).agg(C.min(C.struct("turn", C.col("s.start"))).alias("first"))
+    known = spark.read.schema(KNOWN).parquet(folder).where(C.col("batch_id") < batch_id).drop("batch_id") if _exists(rows, folder) else spark.createDataFrame([], KNOWN).drop("batch_id")
+    top = known.groupBy("session_id", "entity").agg(C.max("number").alias("top"))
+    place = C.row_number().over(W.partitionBy("session_id", "entity").orderBy("first"))
+    fresh = values.join(known, KEY, "left_anti").join(top, ["session_id", "entity"], "left").select(*KEY, (C.coalesce("top", C.lit(0)) + place).cast("int").alias("number"))
+    fresh.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+    numbers = known.unionByName(spark.read.schema("session_id string, entity string, value string, number int").parquet(f"{folder}/batch_id={batch_id}"))
+    wanted = values.join(numbers, KEY).groupBy("session_id").agg(C.collect_list(C.struct("entity", "value", "number")).alias("_numbers"))
+
+    def renamed(s: F.Sql) -> F.Sql:
+        number = F.filter(F.col("_numbers"), lambda n: (n["entity"] == s["entity"]) & (n["value"] == s["value"]))
+        token = F.let(F.get(number, 0), lambda n: F.when(n.isNull(), base_token(s["entity"])).otherwise(numbered_token(base_token(s["entity"]), n["number"])))
+        return F.struct(**{f: s[f] for f in ENTITY if f != "token"}, token=token)
 
+    done = rows.join(wanted, "session_id", "left").withColumn("entities", F.transform(F.col("entities"), renamed).column).drop("_numbers", "pseudonym_map")
+    return done.withColumn("masked_text", replaced(F.col("normalized_text"), F.col("entities")).column)
 
-def _turns_of(tracked: frozenset[str]):
-    """A state function that gives each turn the numbers of its entities, 0 where the type isn't numbered.
 
-    The state of a call is what it has numbered so far. A turn that comes after later ones is numbered after them.
+def mask_stream(turns: DataFrame, folder: str, sink: Callable[[DataFrame, int], None], config: MaskConfig = MaskConfig()) -> DataStreamWriter:
+    """A writer that masks each batch of a stream of turns (session_id, turn, text; as far as they are there speaker,
+    asr_confidence, diarized) and gives it to sink(batch, batch_id).
+
+    Detection is the plan of batch masking. Numbers are kept as a table under folder, which all executors share. Whether a
+    call is diarized needs all of it, so a stream takes that from the column diarized. A turn that comes after later ones is
+    numbered after them.
     """
+    masked = mask_turns(turns, config)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            sink(kept if config.lean else numbered_batch(kept, batch_id, folder, config.numbered), batch_id)
+        finally:
+            kept.unpersist()
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known: dict[str, dict[str, int]] = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(parts)).sort_values("turn", kind="stable")
-        numbers = []
-        for values in rows["values"]:
-            own = []
-            for pair in json.loads(values) if values else []:
-                seen = known.setdefault(pair["entity"], {}) if pair["entity"] in tracked else None
-                own.append(0 if seen is None else seen.setdefault(pair["value"], len(seen) + 1))
-            numbers.append(json.dumps(own))
-        state.update((json.dumps(known),))
-        state.setTimeoutDuration(TIMEOUT_MS)
-        yield pd.DataFrame({"session_id": key[0], "turn": rows["turn"].to_numpy(), "payload": rows["payload"].to_numpy(), "numbers": numbers})
-
-    return step
+    return masked.writeStream.foreachBatch(each)
