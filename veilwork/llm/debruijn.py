@@ -154,9 +154,10 @@ def without_copies(docs: DataFrame, k: int = SPAN_WORDS) -> DataFrame:
     """
     spans = repeated_spans(docs, k).where("is_copy")
     cuts = spans.groupBy(F.col("doc_id").alias("cut_id_")).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts_"))
-    joined = docs.join(cuts, docs["doc_id"].cast("long") == cuts["cut_id_"], "left")
     schema = docs.schema
     names = schema.names
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of docs can't clash with those of the cuts
+    joined = numbered.join(cuts, F.col(f"c{names.index('doc_id')}").cast("long") == F.col("cut_id_"), "left").drop("cut_id_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,4 +185,4 @@ def without_copies(docs: DataFrame, k: int = SPAN_WORDS) -> DataFrame:
                     columns[j] = pc.if_else(pa.array(changed), pc.utf8_length(columns[i]).cast(columns[j].type), columns[j])
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*[docs[c] for c in names], cuts["cuts_"]).mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema)
