@@ -123,16 +123,27 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, counts: np.ndarray, fairness
     if not 0 < toxic[~held].sum() < (~held).sum() or not 0 < toxic[held].sum() < held.sum():
         held[:] = False
     train = np.flatnonzero(~held)
-    size = np.array([len(found[i]) for i in train])
-    keys, column = np.unique(np.concatenate([found[i] for i in train]), return_inverse=True)
-    row = np.repeat(np.arange(len(train)), size)
     y = toxic[train]
-    df = np.bincount(column, minlength=len(keys))
+    least = min(MIN_DOCUMENTS, max(1, len(train) // 20))
+    identity = np.unique(np.concatenate([_term(t) for group in IDENTITY_TERMS for t in group]))
+    # most features are in one document: they are left out before anything is kept for each place of a feature
+    ranked = np.concatenate([found[i] for i in train])
+    ranked.sort()
+    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
+    df = np.diff(np.append(begin, len(ranked)))
+    keys = ranked[begin]
+    frequent = (df >= least) | np.isin(keys, identity)
+    keys, df = keys[frequent], df[frequent]
+    del ranked, begin, frequent
+    columns = []
+    for i in train:
+        at = np.minimum(np.searchsorted(keys, found[i]), max(len(keys) - 1, 0)).astype(np.int32)
+        columns.append(at[keys[at] == found[i]] if len(keys) else at[:0])
+    row, column = np.repeat(np.arange(len(train)), [len(c) for c in columns]), np.concatenate(columns)
     pos = np.bincount(column, weights=y[row], minlength=len(keys))
     share = y.mean()
-    z = np.where(df >= min(MIN_DOCUMENTS, max(1, len(train) // 20)), np.abs(pos - df * share) / np.sqrt(df * share * (1 - share)), 0)
-    identity = np.unique(np.concatenate([_term(t) for group in IDENTITY_TERMS for t in group]))
-    z[np.isin(keys, identity) & (df > 0)] += 1e6
+    z = np.where(df >= least, np.abs(pos - df * share) / np.sqrt(df * share * (1 - share)), 0)
+    z[np.isin(keys, identity)] += 1e6
     use = np.sort(np.argsort(-z, kind="stable")[: min(MAX_FEATURES, int((z > 0).sum()))])
     place = np.full(len(keys), -1)
     place[use] = np.arange(len(use))
