@@ -63,7 +63,7 @@ RULES = (
     Rule("SECRET", re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?([^\s\"']{6,})", re.A | re.I), 0.8),
 )
 #: Texts without any of these have no span of any rule.
-HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
+HINT = r"[0-9@]|AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
 
 
 def find(text: str) -> list[tuple[int, int, str, float]]:
