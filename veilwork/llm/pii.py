@@ -30,6 +30,26 @@ def mod97(text: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+#: Characters of an account number by country.
+ACCOUNT_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def account_lengths(text: str) -> list[int]:
+    """Where an account number may end, as a following word may look like one more group: at each space and at the end of
+    the text; at the country's length first, then the longest."""
+    ends = [i for i, c in enumerate(text) if c == " "] + [len(text)]
+    return sorted(ends, key=lambda n: (n - text.count(" ", 0, n) != ACCOUNT_LENGTHS.get(text[:2]), -n))
+
+
 def octets(text: str) -> bool:
     return all(int(x) < 256 and (x == "0" or x[0] != "0") for x in text.split("."))
 
@@ -41,8 +61,8 @@ def social(text: str) -> bool:
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of span: `pattern` proposes it (its last group, if it has one), `valid` confirms it, and a word of `context`
-    within WINDOW characters adds CONTEXT to `score`, up to 1."""
+    """A kind of span: `pattern` proposes it (its last group, if it has one), `valid` confirms it, at the first of `lengths`
+    that it can, and a word of `context` within WINDOW characters adds CONTEXT to `score`, up to 1."""
 
     kind: str
     pattern: re.Pattern[str]
@@ -50,12 +70,13 @@ class Rule:
     valid: Callable[[str], bool] | None = None
     context: tuple[str, ...] = ()
     needs: str = ""
+    lengths: Callable[[str], list[int]] | None = None
 
 
 RULES = (
     Rule("EMAIL", re.compile(r"(?<![\w.+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", re.A), 0.8, context=("mail", "contact", "correo", "courriel"), needs="@"),
-    Rule("CREDIT_CARD", re.compile(r"(?<![\d.,+-])(?<!\d[ ])[2-6]\d{3}(?:([ -]?)\d{4}\1\d{4}\1\d{1,7}|[ -]?\d{6}[ -]?\d{5})(?![\d])", re.A), 0.7, luhn, ("card", "visa", "credit", "carte", "karte", "tarjeta")),
-    Rule("IBAN", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A), 0.7, mod97, ("iban", "account", "konto", "compte", "cuenta", "bank")),
+    Rule("IBAN", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A), 0.7, mod97, ("iban", "account", "konto", "compte", "cuenta", "bank"), lengths=account_lengths),
+    Rule("CREDIT_CARD", re.compile(r"(?<![\d.+-])[2-6]\d{3}(?:([ -]?)\d{4}\1\d{4}\1\d{1,7}|[ -]?\d{6}[ -]?\d{4,5})(?![\d])", re.A), 0.7, luhn, ("card", "visa", "credit", "carte", "karte", "tarjeta")),
     Rule("PHONE", re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])", re.A), 0.6, context=("phone", "call", "tel", "mobile", "fax")),
     Rule("IP_ADDRESS", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", re.A), 0.6, octets, ("ip", "host", "server", "address")),
     Rule("SSN", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A), 0.5, social, ("ssn", "social", "security")),
@@ -66,18 +87,31 @@ RULES = (
 HINT = r"[0-9@]|AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
 
 
+def confirmed(rule: Rule, text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Places of a rule's spans that don't meet those taken. What isn't confirmed takes no characters: the next proposal may
+    begin inside it."""
+    at, group = 0, 1 if rule.kind == "SECRET" else 0
+    while m := rule.pattern.search(text, at):
+        a, b = m.span(group)
+        for n in rule.lengths(text[a:b]) if rule.lengths else [b - a]:
+            if (not rule.valid or rule.valid(text[a : a + n])) and all(a + n <= x or y <= a for x, y in taken):
+                yield a, a + n
+                at = a + n if group == 0 else m.end()
+                break
+        else:
+            at = m.start() + 1
+
+
 def find(text: str) -> list[tuple[int, int, str, float]]:
     """Spans (start, end, kind, score) of a text, disjoint and in order; of spans that overlap, the best score stays, then
     the longest, then the first, then the rule that comes first."""
-    found = []
+    found, accounts = [], []
     for i, rule in enumerate(RULES):
         if rule.needs and rule.needs not in text:
             continue
-        for m in rule.pattern.finditer(text):
-            group = 1 if rule.kind == "SECRET" else 0
-            a, b = m.span(group)
-            if rule.valid and not rule.valid(text[a:b]):
-                continue
+        for a, b in confirmed(rule, text, accounts if rule.kind == "CREDIT_CARD" else []):
+            if rule.kind == "IBAN":
+                accounts.append((a, b))  # their digits are no card's
             score = rule.score
             if rule.context:
                 around = text[max(0, a - WINDOW) : a].lower() + " " + text[b : b + WINDOW].lower()
