@@ -85,6 +85,38 @@ def test_html_links_lose_and_deep_pages_end():
     assert len(html_extract.extract("<a \"" * 20_000)[1]) > 0
 
 
+BODY = "<h1>Heading</h1><p>First paragraph, with commas, and enough text to count as the body.</p><p>Second one, long enough to count as well, and more.</p>"
+LINES = ["Heading", "First paragraph, with commas, and enough text to count as the body.", "Second one, long enough to count as well, and more."]
+ASIDE = "<div class='sidebar'><p>Buy this, buy that, buy everything that we have in stock.</p></div>"
+SAID = "<div id='comments'>" + "<p>Somebody says this, and that, and a lot more than the article has.</p>" * 9 + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form id='aspnetForm'><div>{BODY}</div>{ASIDE}</form></body>",
+        f"<body><form id='aspnetForm'><div>{BODY}</div>{SAID}</form><p>Some rights reserved by us.</p></body>",
+        f"<body><div class='layout has-sidebar'><div>{BODY}</div>{ASIDE}</div></body>",
+        f"<body><div class='wrapper with-nav'><div>{BODY}</div>{ASIDE}</div></body>",
+        f"<body><div class='wrapper banner'><form><div>{BODY}</div></form>{SAID}</div></body>",
+        f"<body><div class='widget'><div class='social'><div>{BODY}</div></div></div><p>Some rights reserved by us.</p></body>",
+        f"<body><header><h1>Site</h1></header><div class='wrapper banner'><div>{BODY}</div>{ASIDE}</div></body>",
+        f"<body><div>{BODY}</div>{SAID}<form><p>Tell us your name, and what you think of it.</p></form></body>",
+    ],
+)
+def test_html_bodies_in_forms_and_bad_names(page):
+    assert html_extract.extract(page)[1].split("\n") == LINES
+
+
+def test_html_short_articles_stay_alone():
+    assert html_extract.extract(f"<div class='ad'>A longer piece of text that sells something, and more.</div><article><h1>Short</h1><p>Brief.</article>{SAID}")[1] == "Short\nBrief."
+
+
+def test_html_only_doubtful_text():
+    assert html_extract.extract("<form><p>Sign in</p></form>")[1] == "Sign in"
+    assert html_extract.extract("<div class='widget'><a href='x'>only a link</a></div>")[1] == "only a link"
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "<p>a</p>", "x"), (2, "", "x")], "page_id long, html string, text string")
     assert sorted(map(str, html_extract.extract_text(rows).collect())) == sorted(["Row(page_id=1, title=None, text=None, n_chars=0)", *["Row(page_id=2, title=None, text='', n_chars=0)"] * 2, "Row(page_id=None, title=None, text='a', n_chars=1)"])

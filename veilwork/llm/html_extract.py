@@ -20,18 +20,21 @@ BLOCK = frozenset(
     "address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements of which nothing is kept.
-DROPPED = frozenset("head nav aside footer form button select option svg math iframe object noscript template dialog menu canvas audio video".split())
+#: Elements of which nothing is kept. Forms and bad names are judged by dropped_nodes.
+DROPPED = frozenset("head nav aside footer button select option svg math iframe object noscript template dialog menu canvas audio video".split())
 #: An open element of the second set ends when one of the first begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: What an implied end doesn't go beyond.
 BARRIER = frozenset("table ul ol dl div section article body html".split())
 PARAGRAPHS = frozenset("p pre td blockquote dd".split())
-BASE = {"article": 8, "main": 8, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3} | dict.fromkeys("address ol ul dl dd dt li".split(), -3) | dict.fromkeys("h1 h2 h3 h4 h5 h6 th header".split(), -5)
+BASE = {"article": 8, "main": 8, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3} | dict.fromkeys("address ol ul dl dd dt li form".split(), -3) | dict.fromkeys("h1 h2 h3 h4 h5 h6 th header".split(), -5)
 GOOD_NAME = re.compile(r"article|body|content|entry|main|page|post|text|blog|story", re.I)
-BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|footer|menu|nav\w*|pagination|pager|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])", re.I)
+BAD_NAME = re.compile(r"(?:^|(?<!\bhas)(?<!\bwith)(?<!\bno)[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|footer|menu|nav\w*|pagination|pager|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])", re.I)
 
 LEAST_PARAGRAPH = 25
+#: Characters outside forms and bad names that are too few for a page without h1.
+LITTLE = 200
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEVELS = 5
 SIBLING_SHARE = 0.2
 LEAST_SIBLING = 10.0
@@ -156,16 +159,54 @@ def parse(page: str) -> Tree:
     return tree
 
 
-def dropped_nodes(tree: Tree) -> list[bool]:
-    """Elements that are no content by tag or by class and id, with all that is inside them."""
-    out = [False] * len(tree.tag)
-    for i in range(1, len(out)):
-        kind, name = tree.tag[i], tree.name[i]
-        out[i] = out[tree.parent[i]] or kind in DROPPED or bool(name and kind not in ("html", "body", "article", "main") and BAD_NAME.search(name) and not GOOD_NAME.search(name))
-    return out
+def dropped_nodes(tree: Tree, doubtful: bool = True) -> list[bool]:
+    """Elements that are no content by tag, or doubtful by class and id or as a form, with all that is inside them.
 
+    A doubtful element stays if it holds more plain text (no links, no headings) than there is outside of all of them and,
+    unless it is a form, has the page's h1 (no site header's) or leaves too little outside: none where an h1, article or
+    main stays, else fewer characters than LITTLE. Without `doubtful` all of them stay.
+    """
+    n = len(tree.tag)
+    gone, doubt = [False] * n, [False] * n
+    inlink, nearest, header = [False] * n, [0] * n, [False] * n
+    for i in range(1, n):
+        kind, name, up = tree.tag[i], tree.name[i], tree.parent[i]
+        gone[i] = gone[up] or kind in DROPPED
+        doubt[i] = kind == "form" or bool(name and kind not in ("html", "body", "article", "main") and BAD_NAME.search(name) and not GOOD_NAME.search(name))
+        inlink[i] = inlink[up] or kind == "a" or kind in HEADINGS
+        nearest[i] = i if doubt[i] else nearest[up]
+        header[i] = header[up] or kind == "header"
+    if not doubtful or not any(doubt):
+        return gone
+    own, inside, title = [0] * n, [0] * n, [False] * n
+    for owner, text in zip(tree.owner, tree.text):
+        if not gone[owner] and not inlink[owner]:
+            own[nearest[owner]] += len(_SPACE.sub(" ", text).strip())
+    marks = [i for i in range(1, n) if tree.tag[i] in ("h1", "article", "main") and not gone[i] and not header[i]]
+    first = next((i for i in marks if tree.tag[i] == "h1"), 0)
+    title[first] = first > 0
+    for i in range(n - 1, 0, -1):
+        inside[i] += own[i]
+        inside[tree.parent[i]] += inside[i]
+        title[tree.parent[i]] |= title[i]
+    stays, left = [not x for x in doubt], own[0]
+    marked = {nearest[i] for i in marks}
+    least = 1 if 0 in marked else LITTLE
+    outer = lambda i: nearest[tree.parent[i]]
+    chain = [True] * n
+    for i in range(1, n):
+        chain[i] = chain[tree.parent[i]] and (not doubt[i] or tree.tag[i] == "form")
+    for i in sorted((i for i in range(1, n) if doubt[i]), key=lambda i: (not (title[i] or chain[i]), i)):
+        if stays[outer(i)] and inside[i] > left and (title[i] or tree.tag[i] == "form" or left < least):
+            stays[i] = True
+            left += own[i]
+            least = 1 if i in marked else least
+    for i in range(1, n):
+        gone[i] = gone[tree.parent[i]] or gone[i] or not stays[i]
+    return gone
 
-def best_nodes(tree: Tree) -> list[int]:
+
+def best_nodes(tree: Tree, gone: list[bool]) -> list[int]:
     """The best container and the siblings that belong to it, in order; none where no paragraph has points.
 
     A paragraph of LEAST_PARAGRAPH characters or more has 1 point, 1 for each comma and 1 for each 100 characters up to 3.
@@ -175,7 +216,6 @@ def best_nodes(tree: Tree) -> list[int]:
     with few links and many characters or a sentence's end.
     """
     n = len(tree.tag)
-    gone = dropped_nodes(tree)
     size, commas, linked, blocks = [0] * n, [0] * n, [0] * n, [0] * n
     inlink = [False] * n
     for i in range(1, n):
@@ -261,11 +301,15 @@ def lines_of(tree: Tree, nodes: list[int], gone: list[bool]) -> str:
 
 
 def extract(page: str) -> tuple[str | None, str]:
-    """Title and main text of a page; without any paragraph of points, all text that isn't in a dropped element."""
+    """Title and main text of a page; without any paragraph of points, all text that isn't in a dropped element, and if
+    there is none, that of the doubtful ones."""
     tree = parse(page)
-    nodes = best_nodes(tree) or [0]
     title = None if tree.title is None else _SPACE.sub(" ", tree.title).strip() or None
-    return title, lines_of(tree, nodes, dropped_nodes(tree))
+    for doubtful in (True, False):
+        gone = dropped_nodes(tree, doubtful)
+        if text := lines_of(tree, best_nodes(tree, gone) or [0], gone):
+            break
+    return title, text
 
 
 def extract_text(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
