@@ -178,6 +178,19 @@ def test_jaccard_join(docs, most, monkeypatch):
     assert got == jaccard_pairs(known()) and len(got) > 5
 
 
+def test_every_pair_of_documents(spark, none):
+    rng = random.Random(8)
+    one = [f"w{rng.randrange(900)}" for _ in range(80)]
+    two, three = [*one[:78], "x", "y"], [*one[:70], *"abcdefgh"]
+    texts = [" ".join(w) for w in (two, one, one, three, two, one, ["alone", "is", "this", "one"], two)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(w, w[1:], w[2:])) for w in map(words, texts)]
+    want = sorted((i, j, round(v, 9)) for i, j in combinations(range(len(sets)), 2) if (v := len(sets[i] & sets[j]) / len(sets[i] | sets[j])) >= 0.6)
+    got = sorted((r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngram_join.every_pair(ngram_join.jaccard_join(rows)).collect())
+    assert got == want and len(got) == 21
+    assert ngram_join.every_pair(ngram_join.jaccard_join(none)).count() == 0
+
+
 def test_one_of_each_group(docs, none):
     group = {i: i for i, _ in known()}
     for a, b, _ in jaccard_pairs(known()):

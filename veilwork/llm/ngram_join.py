@@ -449,7 +449,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM)
 
     Returns (doc_a, doc_b, jaccard). Each distinct set is named by the least doc_id that has it: doc_a and doc_b are such
     documents, doc_a < doc_b, for pairs of different sets; and each other document of a set is doc_b with that set's name
-    as doc_a and 1.0. So all pairs follow from the rows, and thousands of copies give thousands of rows, not millions.
+    as doc_a and 1.0. So all pairs follow from the rows (see every_pair), and thousands of copies give thousands of rows, not millions.
 
     A text of fewer than n words has one n-gram, of all its words; null and empty texts and texts without words, and rows
     without doc_id, are in no pair. Repeated rows of one doc_id and text are one document. An empty table gives an empty
@@ -472,6 +472,19 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM)
     return across.unionByName(copies)
 
 
+def every_pair(pairs: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of all pairs of documents, doc_a < doc_b, from the rows of jaccard_join.
+
+    Documents of one set are each paired with each other, and with each document of each similar set. The result is as large
+    as the number of pairs: 1,000 copies have 499,500.
+    """
+    copies = pairs.where("jaccard = 1")
+    members = copies.selectExpr("doc_a AS name", "doc_b AS doc").unionByName(pairs.selectExpr("explode(array(doc_a, doc_b)) AS name").distinct().join(copies.selectExpr("doc_b AS name"), "name", "left_anti").selectExpr("name", "name AS doc"))
+    left, right = members.selectExpr("name AS x", "doc AS a"), members.selectExpr("name AS y", "doc AS b")
+    sets = pairs.where("jaccard < 1").selectExpr("doc_a AS x", "doc_b AS y", "jaccard").unionByName(copies.selectExpr("doc_a AS x", "doc_a AS y", "jaccard").distinct())
+    return sets.join(left, "x").join(right, "y").where("x <> y OR a < b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of nodes that pairs (a, b) connect; root is the least node of the group.
 
