@@ -1,4 +1,4 @@
-"""Repeated passages by a sparse suffix array."""
+"""Repeated passages by sorted hashes of windows, in place of a suffix array."""
 
 from __future__ import annotations
 
@@ -14,11 +14,9 @@ from veilwork.llm.spans import PLACES, SPAN_WORDS, find_repeats, gather_runs, me
 def repeated_passages(docs: DataFrame, min_words: int = SPAN_WORDS) -> DataFrame:
     """Every passage of at least `min_words` words that occurs at two places or more.
 
-    A suffix is retained where the hash of its first words is least among all positions of some stretch of `min_words`
-    words, so equal stretches retain suffixes at equal positions. A retained suffix travels, to the partition that its
-    minimiser selects, with fingerprints of the stretches around it, one for each shift to the left and the rest to the
-    right. There the suffixes are sorted at each shift and neighbours compared, which finds all equal stretches; matches
-    are then extended left and right by joining stretches that overlap in their document.
+    No suffix is kept or sorted. The hash of every stretch of `min_words` words is sent to the partition that the stretch's
+    minimiser selects, in runs of neighbours with an equal minimiser, so equal stretches meet. There all hashes are sorted
+    and neighbours compared, which finds all equal stretches; those that overlap in their document are joined into spans.
 
     Returns (doc_id, start_word, end_word, n_words, is_copy, source_doc_id): maximal spans of words (see
     tokens.split_words; end is exclusive). Stretches of which the same words occur at a smaller (doc_id, word) have
