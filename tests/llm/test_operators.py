@@ -330,6 +330,16 @@ def test_bpe_table(docs, none, library):
     assert back == texts
 
 
+def test_bpe_batches_like_the_transducer(merges):
+    texts = [t for t in [*TEXTS, *(t for _, t, *_ in corpus() if t is not None)] if len(t) <= bpe.FEED]
+    tokens, count = bpe.encode_batch(merges, pa.array(texts), bpe.regex.compile(bpe.PIECES))
+    ends = np.append(0, np.cumsum(count))
+    for text, a, b in zip(texts, ends, ends[1:]):
+        coder, machine = bpe.Encoder(merges), bpe.Decoder(merges)
+        assert tokens[a:b].tolist() == coder.feed(text) + coder.finish()
+        assert machine.feed(tokens[a:b].tolist()) + machine.finish() == text
+
+
 # 6
 
 
