@@ -171,13 +171,77 @@ def jaccard_pairs(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most", [1 << 22, 0])
+@pytest.mark.parametrize("most", [1 << 18, 0])
 def test_jaccard_join(docs, most, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_SETS", most)
     got = sorted((r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngram_join.jaccard_join(docs).collect())
     assert got == jaccard_pairs(known()) and len(got) > 5
 
 
+def jaccard_rows(rows):
+    """(doc_id, class_id, n_copies, n_links) by comparing all sets."""
+    pairs = jaccard_pairs(rows)
+    group = {i: i for i, _ in rows}
+    for a, b, _ in pairs:
+        x, y = group[a], group[b]
+        group = {k: min(x, y) if v in (x, y) else v for k, v in group.items()}
+    name = {i: i for i in group} | {b: a for a, b, v in pairs if v == 1}
+    same, links = {}, {}
+    for i in group:
+        same[name[i]] = same.get(name[i], 0) + 1
+    for a, b, v in pairs:
+        if v < 1:
+            links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    return sorted((i, group[i], same[name[i]] - 1, links.get(name[i], 0)) for i in group)
+
+
+@pytest.mark.parametrize("large,hot", [(4096, 1 / 16384), (3, 1 / 16384), (3, 1e-9)])
+def test_jaccard_classes(docs, none, large, hot, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", large)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", hot)
+    monkeypatch.setattr(ngram_join, "MOST_PAIRS", large)
+    every = known() + [(i, "") for i in {r[0] for r in corpus()} - {i for i, _ in known()} - {None}]
+    assert sorted(tuple(r) for r in ngram_join.jaccard_classes(docs).collect()) == jaccard_rows(every)
+    assert ngram_join.jaccard_classes(none).count() == 0
+
+
+def test_classes_of_one_document_with_two_texts_and_pairs_at_the_threshold(spark):
+    a = [f"w{i}" for i in range(10)]  # 8 n-grams
+    at, below = a[:8] + ["x", "y"], a[:7] + ["x", "y", "z"]  # 6 of 10 are common, and 5 of 11
+    rows = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(at)), (3, " ".join(below)), (3, "other words here now"), (7, "other words here now")], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in ngram_join.jaccard_classes(rows).collect()}
+    assert got == {1: (1, 0, 1), 2: (1, 0, 1), 3: (3, 1, 0), 7: (3, 1, 0)}
+
+
+@settings(deadline=None, max_examples=30)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=25), min_size=2, max_size=40), st.integers(1, 6))
+def test_pivots_and_windows_lose_no_pair(sets, leaf):
+    grams = [np.array(sorted(s), np.uint64) for s in sets]
+    pairs = np.array(list(combinations(range(len(sets)), 2)))
+    before = ngram_join.LEAF
+    ngram_join.LEAF = leaf
+    try:
+        good, value = ngram_join.verified(grams, pairs[:, 0], pairs[:, 1], 0.6)
+    finally:
+        ngram_join.LEAF = before
+    for (i, j), ok, v in zip(pairs.tolist(), good, value):
+        near = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        assert ok == (near >= 0.6) and (not ok or abs(v - near) < 1e-9)
+
+
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=1, max_size=30))
+def test_spanning_edges_connect_the_same(pairs):
+    def groups(edges):
+        root = {x: x for e in pairs for x in e}
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+        return root
+
+    node, least = ngram_join.spanning(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert groups(zip(node.tolist(), least.tolist())) == groups(pairs)
+
+
 def test_every_pair_of_documents(spark, none):
     rng = random.Random(8)
     one = [f"w{rng.randrange(900)}" for _ in range(80)]
@@ -209,7 +273,7 @@ def test_parity_bits_never_refute_a_similar_pair(sets):
     grams = [np.array(sorted(int.from_bytes(bytes([x]) * 8, "big") * 2654435761 % (1 << 64) for x in s), np.uint64) for s in sets]
     bits = ngram_join.parity_bits(ngram_join.Sets(np.arange(len(sets)), np.array([len(g) for g in grams]), np.arange(len(sets)), np.concatenate(grams)))
     pairs = np.array(list(combinations(range(len(sets)), 2)))
-    good = ngram_join.possible(bits, pairs[:, 0], pairs[:, 1], 0.6)
+    good = ngram_join.Parity(bits).possible(pairs[:, 0], pairs[:, 1], 0.6)
     for (i, j), ok in zip(pairs.tolist(), good):
         assert ok or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.6
 

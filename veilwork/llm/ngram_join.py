@@ -20,10 +20,15 @@ NGRAM = 3
 THRESHOLD = 0.6
 #: Counters of the frequency sketch: its size is fixed, and its errors change the cost of the join, never its result.
 SKETCH_BITS = 22
-#: Most places of sets that are broadcast, so that sets go to their regions at once; beyond it they go by a join.
-BROADCAST_SETS = 1 << 22
+#: Regions that hold more than this share of all n-grams are spread over all partitions.
+HOT_SHARE = 1 / 16384
+#: Sets of a region that one task compares with each other; larger regions are cut into blocks.
+LARGE = 4096
+#: Most documents that are broadcast with the regions of their sets; beyond it they are joined by a shuffle.
+BROADCAST_SETS = 1 << 18
 LEAST_BITS = 64
 FLUSH_GRAMS = 1 << 21
+MEET_BYTES = 1 << 23
 LEAF = 64
 PIVOTS = 8
 
@@ -87,23 +92,38 @@ def parity_bits(found: Sets) -> list[bytes]:
     return [np.int64(n).tobytes() + packed[a:b] for n, a, b in zip(found.size, edges[:-1], edges[1:])]
 
 
-def possible(bits: list[bytes], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of sets (indices) can reach the threshold by their parity bits; a pair that does reach it always can."""
-    size = np.array([np.frombuffer(b, np.int64, 1)[0] for b in bits])
-    rows = [np.frombuffer(b, np.uint8, offset=8) for b in bits]
-    width = np.array([len(r) for r in rows])
-    good = np.zeros(len(left), bool)
-    least = np.minimum(width[left], width[right])
-    for w in np.unique(least):
-        own = np.flatnonzero(least == w)
-        used, place = np.unique(np.append(left[own], right[own]), return_inverse=True)
-        folded = np.stack([np.bitwise_xor.reduce(rows[i].reshape(-1, w), axis=0) for i in used])
-        for k in range(0, len(own), step := max(1, (1 << 24) // int(w))):
-            part = own[k : k + step]
-            ones = np.bitwise_count(folded[place[k : k + len(part)]] ^ folded[place[len(own) + k : len(own) + k + len(part)]]).sum(1, dtype=np.int64)
-            both = size[left[part]] + size[right[part]]
-            good[part] = ones <= (1 - threshold) / (1 + threshold) * both + 1e-6
-    return good
+class Parity:
+    """Sets by size and parity bits."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        self.size = np.array([np.frombuffer(b, np.int64, 1)[0] for b in bits], np.int64)
+        self.rows = [np.frombuffer(b, np.uint8, offset=8) for b in bits]
+        self.width = np.array([len(r) for r in self.rows], np.int64)
+
+    def possible(self, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+        """Which pairs of sets (indices) can reach the threshold by their bits; a pair that does reach it always can."""
+        good = np.zeros(len(left), bool)
+        least = np.minimum(self.width[left], self.width[right])
+        for w in np.unique(least):
+            own = np.flatnonzero(least == w)
+            used, place = np.unique(np.append(left[own], right[own]), return_inverse=True)
+            folded = np.stack([np.bitwise_xor.reduce(self.rows[i].reshape(-1, w), axis=0) for i in used])
+            if w % 8 == 0:
+                folded = folded.view(U64)
+            for k in range(0, len(own), step := max(1, (1 << 22) // int(w))):
+                part = own[k : k + step]
+                ones = np.bitwise_count(folded[place[k : k + len(part)]] ^ folded[place[len(own) + k : len(own) + k + len(part)]]).sum(1, dtype=np.int64)
+                both = self.size[left[part]] + self.size[right[part]]
+                good[part] = ones <= (1 - threshold) / (1 + threshold) * both + 1e-6
+        return good
+
+
+@dataclass
+class Ranks:
+    """level: a byte for each counter of the sketch; n-grams of counters at `hot` or above are common (see send_prefixes)."""
+
+    level: np.ndarray
+    hot: int
 
 
 SCAN = "doc_id long, set_id long, bits binary, part int, payload binary"
@@ -125,7 +145,7 @@ def scan(docs: DataFrame, n: int, parts: int) -> DataFrame:
     return docs.mapInArrow(send, SCAN)
 
 
-def ranks(scanned: DataFrame, parts: int) -> np.ndarray:
+def ranks(scanned: DataFrame, parts: int) -> Ranks:
     """Steps of an eighth of a power of two of the summed counts: one byte for each counter, 4 MB whatever the input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +160,14 @@ def ranks(scanned: DataFrame, parts: int) -> np.ndarray:
 
     rows = scanned.where("part IS NOT NULL").select("part", "payload").repartitionById(parts, F.col("part")).mapInArrow(add, "part int, payload binary").collect()
     if not rows:
-        return np.zeros(1 << SKETCH_BITS, np.uint8)
-    return np.concatenate([np.frombuffer(r.payload, np.uint8) for r in sorted(rows, key=lambda r: r.part)])
+        return Ranks(np.zeros(1 << SKETCH_BITS, np.uint8), 256)
+    level = np.concatenate([np.frombuffer(r.payload, np.uint8) for r in sorted(rows, key=lambda r: r.part)])
+    most = max(LARGE, (np.bincount(level, minlength=256) * (2.0 ** (np.arange(256) / 8) - 1)).sum() * HOT_SHARE)
+    return Ranks(level, int(np.ceil(np.log2(most + 1) * 8)))
+
+
+def level_of(grams: np.ndarray, ranks_: Ranks) -> np.ndarray:
+    return ranks_.level[(grams >> U64(64 - SKETCH_BITS)).astype(np.int64)]
 
 
 def send_prefixes(n: int, threshold: float, rank, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -151,6 +177,9 @@ def send_prefixes(n: int, threshold: float, rank, parts: int) -> Callable[[Itera
     set's nearest pivots are its own n-grams. A set's home is its rarest one. A set within distance e = 1 - threshold of x
     misses at most e|x| of x's n-grams; so with pivots in one order, rarest first, the first e|x| + 1 of x's are a window
     in which both have one in common, and x is replicated to all of them.
+
+    What is sent of a set to a pivot is 16 bytes and not the set. All that goes to one pivot meets in one partition, but for
+    pivots that hold more than HOT_SHARE of all n-grams: theirs is spread by set, as each certainly has members.
     """
 
     def flush(held: list[Sets]) -> pa.RecordBatch:
@@ -167,7 +196,10 @@ def send_prefixes(n: int, threshold: float, rank, parts: int) -> Callable[[Itera
         doc = np.repeat(np.arange(len(take), dtype=np.uint32), take)
         place = np.arange(ends[-1]) - np.repeat(ends - take, take)
         place = place.astype(np.uint16 if take.max() <= 65536 else np.uint32)
-        order, edges = spread(mix(key), parts)
+        to = mix(key)
+        if (common := level_of(key, rank.value) >= rank.value.hot).any():
+            to[common] = mix(set_id[doc[common]].view(U64))
+        order, edges = spread(to, parts)
         key, prev, doc, place = key[order], prev[order], doc[order], place[order]
 
         def piece(a: int, b: int) -> bytes:
@@ -179,7 +211,7 @@ def send_prefixes(n: int, threshold: float, rank, parts: int) -> Callable[[Itera
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in chunks(batches):
-            found = sets_of(batch, n, rank.value)
+            found = sets_of(batch, n, rank.value.level)
             if len(found.doc_id):
                 held.append(found)
                 count += len(found.grams)
@@ -192,35 +224,53 @@ def send_prefixes(n: int, threshold: float, rank, parts: int) -> Callable[[Itera
     return send
 
 
-def region_pairs(key: np.ndarray, prev: np.ndarray, place: np.ndarray, set_id: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
-    """Pairs of sets in one region that can reach the threshold, as rows of set ids.
+@dataclass
+class Members:
+    """Sets in regions: key (the pivot's n-gram), prev (the low bits of the n-gram before it in the set's order), place (of the
+    n-gram in that order), set_id, size; side is None, or 1 and 2 where only sets of different sides meet, and 0 where all do."""
+
+    key: np.ndarray
+    prev: np.ndarray
+    place: np.ndarray
+    set_id: np.ndarray
+    size: np.ndarray
+    side: np.ndarray | None = None
+
+    def __getitem__(self, at: np.ndarray) -> Members:
+        return Members(*(None if x is None else x[at] for x in (self.key, self.prev, self.place, self.set_id, self.size, self.side)))
+
+    def once(self) -> np.ndarray:
+        """Where each (key, set_id) is first, in their order, of the keys that have several entries."""
+        order = np.argsort(self.key, kind="stable")
+        ranked = self.key[order]
+        keep = np.zeros(len(ranked), bool)
+        same = ranked[1:] == ranked[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        order = order[keep]
+        order = order[np.lexsort((self.set_id[order], self.key[order]))]
+        key, set_id = self.key[order], self.set_id[order]
+        return order[np.append(True, (key[1:] != key[:-1]) | (set_id[1:] != set_id[:-1]))] if len(order) else order
+
+
+def meetings(members: Members, region: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (indices) of sets in one region that can reach the threshold; members are in the order of `region`.
 
     Two sets that have the same n-gram before this one in their windows meet in its region too and are left to that. Where
     they meet first, they have in common this n-gram and at most those after it, so a pair goes on only if its sizes, and
     the places of this n-gram in both, leave room for the least overlap.
     """
-    place = place.astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    same = ranked[1:] == ranked[:-1]
-    keep = np.zeros(len(ranked), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    order = order[keep]
-    key, prev, place, set_id, size = key[order], prev[order], place[order], set_id[order], size[order]
-    order = np.lexsort((set_id, key))
-    key, prev, place, set_id, size = key[order], prev[order], place[order], set_id[order], size[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (set_id[1:] != set_id[:-1])  # equal sets came from several batches
-    key, prev, place, set_id, size = key[fresh], prev[fresh], place[fresh], set_id[fresh], size[fresh]
-    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(begin, len(key)))
-
-    def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    prev, place, size, side = members.prev, members.place.astype(np.int64), members.size.astype(np.int64), members.side
+    begin = np.flatnonzero(np.append(True, region[1:] != region[:-1])) if len(region) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(region)))
+
+    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         good = ((prev[i] != prev[j]) | (prev[i] == 0)) & (small >= threshold * large - 1e-9)
         good &= np.minimum(size[i] - place[i], size[j] - place[j]) >= threshold / (1 + threshold) * (small + large) - 1e-9
-        return np.stack([set_id[i[good]], set_id[j[good]]], axis=1)
+        if side is not None:
+            good &= (side[i] == 0) | (side[i] != side[j])
+        return i[good], j[good]
 
     for m in np.unique(count):
         if m < 2:
@@ -230,7 +280,7 @@ def region_pairs(key: np.ndarray, prev: np.ndarray, place: np.ndarray, set_id: n
             a, b = np.triu_indices(m, 1)
             for k in range(0, len(own), step := max(1, (1 << 20) // len(a))):
                 part = own[k : k + step, None]
-                yield pairs((part + a).ravel(), (part + b).ravel())
+                yield kept((part + a).ravel(), (part + b).ravel())
             continue
         for s in own.tolist():
             # sorted by size, each set only meets a window of sets; by the n-gram before, only other classes
@@ -245,14 +295,30 @@ def region_pairs(key: np.ndarray, prev: np.ndarray, place: np.ndarray, set_id: n
                     continue
                 i = np.repeat(rows, width)
                 j = i + 1 + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-                yield pairs(by[i], by[j])
+                yield kept(by[i], by[j])
 
 
-CANDIDATES = "a long, b long"
+MEMBERS = "region long, set_id long"
+
 
+def member_batches(region: np.ndarray, set_id: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(region):
+        return
+    order = np.lexsort((set_id, region))
+    region, set_id = region[order], set_id[order]
+    fresh = np.append(True, (region[1:] != region[:-1]) | (set_id[1:] != set_id[:-1]))
+    region, set_id = region[fresh], set_id[fresh]
+    for k in range(0, len(region), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(region[k : k + (1 << 16)]), pa.array(set_id[k : k + (1 << 16)])], ["region", "set_id"])
 
-def candidates(docs: DataFrame, n: int, threshold: float, rank, parts: int) -> DataFrame:
-    """Distinct pairs (a < b) of sets that share a region."""
+
+def region_members(docs: DataFrame, n: int, threshold: float, rank, parts: int) -> DataFrame:
+    """(region, set_id), distinct: the sets that meet another at an n-gram, without the pairs themselves.
+
+    A region is named by the least of its sets, so that copies with a few changes, which meet at nearly all of their
+    n-grams, meet in few regions. Of an n-gram with more than LARGE sets all are returned, so that the work here is never
+    quadratic in a large one; one that is spread over the partitions names its region itself.
+    """
 
     def receive(payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         pieces = []
@@ -261,26 +327,29 @@ def candidates(docs: DataFrame, n: int, threshold: float, rank, parts: int) -> D
             pieces.append((key, prev, place, set_id[local], size[local]))
         if not pieces:
             return
-        held, count = [], 0
-
-        def emit() -> pa.RecordBatch:
-            both = np.concatenate(held)
-            both = np.sort(both, axis=1)
-            both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            fresh = np.append(True, (both[1:] != both[:-1]).any(axis=1))
-            return pa.RecordBatch.from_arrays([pa.array(both[fresh, 0]), pa.array(both[fresh, 1])], ["a", "b"])
-
-        for found in region_pairs(*(np.concatenate(x) for x in zip(*pieces)), threshold):
-            if len(found):
-                held.append(found)
-                count += len(found)
-            if count >= 1 << 20:
-                yield emit()
-                held, count = [], 0
-        if held:
-            yield emit()
+        every = Members(*(np.concatenate(x) for x in zip(*pieces)))
+        del pieces
+        common = level_of(every.key, rank.value) >= rank.value.hot
+        if common.any():
+            at = np.flatnonzero(common)
+            yield from member_batches(every.key[at].view(np.int64), every.set_id[at])
+            every = every[np.flatnonzero(~common)]
+        own = every[every.once()]
+        if not len(own.key):
+            return
+        keep = np.zeros(len(own.key), bool)
+        begin = np.flatnonzero(np.append(True, own.key[1:] != own.key[:-1]))
+        count = np.diff(np.append(begin, len(own.key)))
+        large = np.repeat(count > LARGE, count)
+        keep[large] = True
+        few = np.flatnonzero(~large)
+        part = own[few]
+        for i, j in meetings(part, part.key, threshold):
+            keep[few[i]] = keep[few[j]] = True
+        least = np.minimum.reduceat(np.where(keep, own.set_id, np.iinfo(np.int64).max), begin)
+        yield from member_batches(np.repeat(least, count)[keep], own.set_id[keep])
 
-    return exchange(docs, send_prefixes(n, threshold, rank, parts), receive, CANDIDATES, parts).distinct()
+    return exchange(docs, send_prefixes(n, threshold, rank, parts), receive, MEMBERS, parts).distinct()
 
 
 def jaccard_to(pivot: np.ndarray, grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -310,7 +379,7 @@ def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresh
             value[own] = jaccard_to(sets[left[own[0]]], np.concatenate(others), ends)
             good[own] = value[own] >= threshold - 1e-9
 
-    todo = [np.arange(len(left))]
+    todo = [np.arange(len(left))] if len(left) else []
     while todo:
         rows = todo.pop()
         members = np.unique(np.append(left[rows], right[rows]))
@@ -338,10 +407,94 @@ def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresh
     return good, value
 
 
+def in_blocks(members: DataFrame) -> DataFrame:
+    """(region, i, j, own, set_id): a region of more than LARGE sets is cut into blocks by hash of set_id, and each two blocks
+    are a region of their own, in which sets of one block meet those of the other. So no task has more than twice LARGE."""
+    large = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("region", F.ceil(F.col("n") / F.lit(float(LARGE))).cast("int").alias("blocks"))
+    if not large.limit(1).count():
+        return members.select("region", *[F.lit(0).cast("int").alias(c) for c in ("i", "j", "own")], "set_id")
+    split = members.join(large, "region", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    split = split.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return split.select("region", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "own", "set_id")
+
+
+CANDIDATES = "a long, b long"
+
+
+def likely_pairs(members: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(a, b), a < b, distinct: the pairs of a region that parity bits don't refute. Nearly all that share a few n-grams by
+    chance are refuted here, and their sets are never shuffled."""
+    rows = in_blocks(members).join(sets.select("set_id", "bits"), "set_id").select("region", "i", "j", "own", "set_id", "bits")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def finish(over: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            table = pa.Table.from_batches(held).combine_chunks()
+            names = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("region", "i", "j")])
+            fresh = np.append(True, (names[:, 1:] != names[:, :-1]).any(0))
+            end = table.num_rows if over else int(np.flatnonzero(fresh)[-1])  # the last region may go on
+            held, size = ([] if end == table.num_rows else table.slice(end).to_batches()), 0
+            if not end:
+                return
+            region, set_id = np.cumsum(fresh[:end]), table.column("set_id").to_numpy()[:end]
+            parity = Parity(table.column("bits").slice(0, end).to_pylist())
+            i, j, own = names[1, :end], names[2, :end], table.column("own").to_numpy()[:end]
+            none = np.zeros(end, np.int64)
+            members_ = Members(region, none, none, set_id, parity.size, np.where(i == j, 0, np.where(own == i, 1, 2)))
+            for x, y in meetings(members_, region, threshold):
+                good = parity.possible(x, y, threshold)
+                a, b = set_id[x[good]], set_id[y[good]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+                if size >= MEET_BYTES:
+                    yield from finish(False)
+        if held:
+            yield from finish(True)
+
+    key = ["region", "i", "j"]
+    return rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(join, CANDIDATES).distinct()
+
+
+SIMILAR = "a long, b long, jaccard double, links long"
+#: Pairs of a region that go to one task; regions with more are divided by the first set of a pair.
+MOST_PAIRS = 1 << 18
+
+
+def spanning(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes that pairs connect, without the roots: each group's least."""
+    nodes, place = np.unique(np.append(left, right), return_inverse=True)
+    a, b = place[: len(left)], place[len(left) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        fresh = root.copy()
+        for at in (a, b, root[a], root[b]):
+            np.minimum.at(fresh, at, low)
+        fresh = fresh[fresh]
+        if (fresh == root).all():
+            own = np.flatnonzero(root != np.arange(len(nodes)))
+            return nodes[own], nodes[root[own]]
+        root = fresh
+
+
 def with_regions(pairs: DataFrame, name: str) -> DataFrame:
-    """(a, b, region): a set's pivot is the least of itself and its candidates; a pair is in the region of its lesser set's."""
+    """(a, b, region): a set's pivot is the least of itself and its candidates; a pair is in the region of its lesser set's,
+    or, where that has more than MOST_PAIRS pairs, in one of the regions into which these are divided by `a`."""
     pivot = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("pivot"))
-    return written(pairs.join(pivot, "a", "left").select("a", "b", F.coalesce("pivot", "a").alias("region")), name)
+    placed = written(pairs.join(pivot, "a", "left").select("a", "b", F.coalesce("pivot", "a").alias("region")), name)
+    large = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_PAIRS).select("region", F.ceil(F.col("n") / F.lit(float(MOST_PAIRS))).alias("blocks"))
+    if not large.limit(1).count():
+        return placed
+    divided = placed.join(large, "region", "left").withColumn("region", F.when(F.col("blocks").isNull(), F.col("region")).otherwise(F.xxhash64("region", F.pmod(F.xxhash64("a"), F.col("blocks")))))
+    return divided.select("a", "b", "region")
 
 
 def members_of(placed: DataFrame) -> DataFrame:
@@ -349,11 +502,10 @@ def members_of(placed: DataFrame) -> DataFrame:
     return placed.select("region", F.explode(F.array("a", "b")).alias("set_id")).distinct()
 
 
-def meet(placed: DataFrame, values: DataFrame, solve: Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], parts: int) -> DataFrame:
-    """(a, b, jaccard) of the pairs that solve() lets through; values has (region, set_id, value)."""
+def meet(placed: DataFrame, values: DataFrame, threshold: float, parts: int, pairs: bool) -> DataFrame:
+    """SIMILAR of the pairs that reach the threshold; values has (region, set_id, value). See similar_sets for `pairs`."""
     routed = values.select("region", F.col("set_id").alias("a"), F.lit(None).cast("long").alias("b"), "value")
     rows = routed.unionByName(placed.withColumn("value", F.lit(None).cast("binary")))
-    schema = T.StructType.fromDDL("a long, b long, jaccard double")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, names, sets, a, b = None, [], [], [], []
@@ -362,11 +514,20 @@ def meet(placed: DataFrame, values: DataFrame, solve: Callable[[list[bytes], np.
             if not a:
                 return None
             ids, one = np.unique(np.array(names), return_index=True)  # repeated rows of a document sent a set twice
-            left, right = (one[np.searchsorted(ids, np.array(x))] for x in (a, b))
-            good, value = solve(sets, left, right)
+            x, y = np.array(a), np.array(b)
+            good, value = verified([np.frombuffer(v, U64) for v in sets], one[np.searchsorted(ids, x)], one[np.searchsorted(ids, y)], threshold)
             if not good.any():
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.array(a)[good]), pa.array(np.array(b)[good]), pa.array(value[good])], schema.names)
+            x, y = x[good], y[good]
+            if pairs:
+                columns = [pa.array(x), pa.array(y), pa.array(value[good]), pa.nulls(len(x), pa.int64())]
+            else:
+                node, links = np.unique(np.append(x, y), return_counts=True)
+                u, v = spanning(x, y)
+                many, few = len(node), len(u)
+                first = np.arange(many + few) < many
+                columns = [pa.array(np.append(node, u)), pa.array(np.append(np.zeros(many, np.int64), v), mask=first), pa.nulls(many + few, pa.float64()), pa.array(np.append(links, np.zeros(few, np.int64)), mask=~first)]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "jaccard", "links"])
 
         for batch in batches:
             for r, x, y, g in zip(*(c.to_pylist() for c in batch.columns)):
@@ -383,59 +544,56 @@ def meet(placed: DataFrame, values: DataFrame, solve: Callable[[list[bytes], np.
         if (done := finish()) is not None:
             yield done
 
-    return rows.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(join, schema)
+    return rows.select("region", "a", "b", "value").repartition(parts, "region").sortWithinPartitions("region").mapInArrow(join, SIMILAR)
 
 
-def likely_pairs(scanned: DataFrame, pairs: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """The candidate pairs that parity bits don't refute; nearly all that share a few n-grams by chance go here, and their
-    sets are never shuffled."""
-    placed = with_regions(pairs, "placed")
-    bits = scanned.where("bits IS NOT NULL").select("set_id", F.col("bits").alias("value"))
-    values = bits.join(members_of(placed), "set_id").dropDuplicates(["region", "set_id"])
-
-    def solve(sets: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return possible(sets, left, right, threshold), np.zeros(len(left))
-
-    return written(meet(placed, values, solve, parts).select("a", "b"), "likely")
-
-
-def similar_sets(docs: DataFrame, names: DataFrame, pairs: DataFrame, n: int, threshold: float, parts: int) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold. names: set_id and the document that names it."""
-    spark = docs.sparkSession
-    placed = with_regions(pairs, "likely-placed")
-    wanted = written(members_of(placed).join(names, "set_id").select("set_id", "region", "name"), "wanted")
+def similar_sets(docs: DataFrame, sets: DataFrame, likely: DataFrame, n: int, threshold: float, parts: int, pairs: bool) -> DataFrame:
+    """SIMILAR of the likely pairs that reach the threshold. With `pairs`, each as (a, b, jaccard). Else, for each region,
+    (a, links): how many partners a has there, and as many (a, b) as connect what all its pairs connect."""
+    placed = with_regions(likely, "likely-placed")
+    wanted = members_of(placed).join(sets.select("set_id", "name"), "set_id").groupBy(F.col("name").alias("doc_id")).agg(F.collect_list(F.struct("set_id", "region")).alias("places"))
+    wanted = written(wanted, "wanted")
     few = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
-    known = None
-    if few:
-        table = wanted.select("name", "region").toArrow()
-        order = np.argsort(table["name"].to_numpy(), kind="stable")
-        known = spark.sparkContext.broadcast((table["name"].to_numpy()[order], table["region"].to_numpy()[order]))
+    chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "places")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = sets_of(batch, n)
+            found = sets_of(batch.select(["doc_id", "text"]), n)
             ends = np.append(0, np.cumsum(found.size))
-            if known:
-                at, region = known.value
-                low, high = np.searchsorted(at, found.doc_id), np.searchsorted(at, found.doc_id, side="right")
-                times = high - low
-                use = np.repeat(np.arange(len(times)), times)
-                places = region[np.repeat(high - np.cumsum(times), times) + np.arange(times.sum())]
-            else:
-                use = np.unique(found.set_id, return_index=True)[1]
-                places = np.zeros(len(use), np.int64)
-            values = [np.sort(found.grams[ends[i] : ends[i + 1]]).tobytes() for i in use.tolist()]
+            place = {x: k for k, x in enumerate(zip(found.doc_id.tolist(), found.set_id.tolist()))}
+            region, set_id, values = [], [], []
+            for doc, places in zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist()):
+                for x in places:
+                    # a document of several texts is wanted for the sets that it names only
+                    if (k := place.get((doc, x["set_id"]))) is not None:
+                        region.append(x["region"])
+                        set_id.append(x["set_id"])
+                        values.append(np.sort(found.grams[ends[k] : ends[k + 1]]).tobytes())
             if values:
-                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(found.set_id[use]), pa.array(values, pa.binary())], ["region", "set_id", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(set_id), pa.array(values, pa.binary())], ["region", "set_id", "value"])
 
-    sets = docs.mapInArrow(send, "region long, set_id long, value binary")
-    if known is None:
-        sets = sets.drop("region").dropDuplicates(["set_id"]).join(wanted.drop("name"), "set_id").select("region", "set_id", "value")
+    return meet(placed, chosen.mapInArrow(send, "region long, set_id long, value binary"), threshold, parts, pairs)
 
-    def solve(values: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return verified([np.frombuffer(v, U64) for v in values], left, right, threshold)
 
-    return meet(placed, sets, solve, parts)
+def _joined(docs: DataFrame, threshold: float, n: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, set_id) of each document, (set_id, name, bits) of each set, and SIMILAR."""
+    if not 0 < threshold <= 1 or n < 1:
+        raise ValueError("threshold must be in (0, 1] and n at least 1")
+    spark = docs.sparkSession
+    parts = partitions(spark)
+    docs = readable(docs)
+    scanned = written(scan(docs, n, parts), "scan")
+    rank = spark.sparkContext.broadcast(ranks(scanned, parts))
+    named = scanned.where("part IS NULL").select("doc_id", "set_id").distinct()
+    sets = written(scanned.where("part IS NULL").groupBy("set_id").agg(F.min("doc_id").alias("name"), F.first("bits").alias("bits")), "sets")
+    named = written(named, "named")
+    dropped(scanned)
+    members = written(region_members(docs, n, threshold, rank, parts), "members")
+    likely = written(likely_pairs(members, sets, threshold, parts), "likely")
+    dropped(members)
+    similar = written(similar_sets(docs, sets, likely, n, threshold, parts, pairs), "similar")
+    dropped(likely)
+    return named, sets, similar
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
@@ -443,35 +601,52 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM)
 
     Jaccard distance is a metric. Documents with equal sets are at distance 0 and are one point. Pivots create regions:
     first the singleton sets of n-grams (see send_prefixes), with boundary sets replicated to all regions in which a
-    partner can be; then the least set of each group of candidates, and inside its region further pivots, with triangle
-    inequality windows (see verified), once parity bits have refuted pairs that only share a few n-grams. Pivots among documents alone can't divide unrelated texts, which are all at nearly
-    1 from each other, so that every window would hold every document.
+    partner can be; these are regions of documents, named by one of them, of which large ones are cut into blocks; then, once
+    parity bits have refuted pairs that only share a few n-grams, the least set of each group of candidates, and inside its
+    region further pivots, with triangle inequality windows (see verified). Pivots among documents alone can't divide
+    unrelated texts, which are all at nearly 1 from each other, so that every window would hold every document.
 
     Returns (doc_a, doc_b, jaccard). Each distinct set is named by the least doc_id that has it: doc_a and doc_b are such
     documents, doc_a < doc_b, for pairs of different sets; and each other document of a set is doc_b with that set's name
-    as doc_a and 1.0. So all pairs follow from the rows (see every_pair), and thousands of copies give thousands of rows, not millions.
+    as doc_a and 1.0. So all pairs follow from the rows (see every_pair), and thousands of copies give thousands of rows, not
+    millions. What grows in proportion to the documents is jaccard_classes.
 
     A text of fewer than n words has one n-gram, of all its words; null and empty texts and texts without words, and rows
     without doc_id, are in no pair. Repeated rows of one doc_id and text are one document. An empty table gives an empty
     result. Columns other than doc_id and text are ignored.
     """
-    if not 0 < threshold <= 1 or n < 1:
-        raise ValueError("threshold must be in (0, 1] and n at least 1")
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    docs = readable(docs)
-    scanned = written(scan(docs, n, parts), "scan")
-    rank = spark.sparkContext.broadcast(ranks(scanned, parts))
-    named = scanned.where("part IS NULL").select("doc_id", "set_id").distinct()
-    names = named.groupBy("set_id").agg(F.min("doc_id").alias("name"))
-    pairs = written(candidates(docs, n, threshold, rank, parts), "pairs")
-    similar = similar_sets(docs, names, likely_pairs(scanned, pairs, threshold, parts), n, threshold, parts)
-    left, right = names.select(F.col("set_id").alias("a"), F.col("name").alias("x")), names.select(F.col("set_id").alias("b"), F.col("name").alias("y"))
+    named, sets, similar = _joined(docs, threshold, n, True)
+    left, right = sets.select(F.col("set_id").alias("a"), F.col("name").alias("x")), sets.select(F.col("set_id").alias("b"), F.col("name").alias("y"))
     across = similar.join(left, "a").join(right, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    copies = named.join(names, "set_id").where("doc_id <> name").select(F.col("name").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    copies = named.join(sets.select("set_id", "name"), "set_id").where("doc_id <> name").select(F.col("name").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return across.unionByName(copies)
 
 
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+    """The join of jaccard_join as one row for each document: (doc_id, class_id, n_copies, n_links).
+
+    class_id is the least doc_id of those that pairs connect with the document, n_copies the number of other documents
+    with the same set of n-grams, n_links that of other sets, each counted once however many documents have it, with a
+    similarity of at least `threshold`. Every pair of different sets is worked out and counted.
+
+    Texts without words and null texts are classes of their own without links. Rows without doc_id aren't there; repeated
+    rows are one document. A doc_id with different texts has the least of their classes and the sums of their numbers. An
+    empty table gives an empty result. Columns other than doc_id and text are ignored.
+    """
+    named, sets, similar = _joined(docs, threshold, n, False)
+    links = similar.where("links IS NOT NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
+    roots = components(similar.where("b IS NOT NULL").select("a", "b"))
+    # a root is a set; its class is the least name of its sets
+    own = sets.select("set_id", "name").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    least = own.groupBy("root").agg(F.min("name").alias("class_id"))
+    copies = named.groupBy("set_id").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    known = own.join(least, "root").join(copies, "set_id").join(links, "set_id", "left").select("set_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    found = named.join(known, "set_id").select("doc_id", "class_id", "copies", "links")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").withColumns({"class_id": F.col("doc_id"), "copies": F.lit(0).cast("long"), "links": F.lit(0).cast("long")})
+    rows = found.withColumn("has", F.lit(True)).unionByName(every.withColumn("has", F.lit(False)))
+    return rows.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("has"), F.col("class_id"))), F.col("doc_id")).alias("class_id"), F.sum("copies").alias("n_copies"), F.sum("links").alias("n_links"))
+
+
 def every_pair(pairs: DataFrame) -> DataFrame:
     """(doc_a, doc_b, jaccard) of all pairs of documents, doc_a < doc_b, from the rows of jaccard_join.
 
@@ -509,10 +684,11 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """docs with one document of each group that jaccard_join connects: the least doc_id.
+    """docs with one document of each class of jaccard_classes: the one with the least doc_id.
 
-    Rows of a doc_id stay or go together, rows that are in no pair all stay, and columns are those of docs.
+    Rows of a doc_id stay or go together. Null and empty texts, texts without words and rows without doc_id all stay;
+    repeated rows of a document that stays all stay. Columns are those of docs, whatever their names. An empty table gives
+    an empty result.
     """
-    pairs = jaccard_join(docs, threshold, n).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    gone = components(pairs).select(F.col("node").alias("gone_id_"))
+    gone = jaccard_classes(docs, threshold, n).where("class_id <> doc_id").select(F.col("doc_id").alias("gone_id_"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id_"], "left_anti")

@@ -12,7 +12,7 @@ from veilwork.llm.fingerprints import ORACLE as FINGERPRINTS
 from veilwork.llm.fingerprints import fingerprints
 from veilwork.llm.hash_forest import nearest
 from veilwork.llm.html_extract import extract_text
-from veilwork.llm.ngram_join import jaccard_join
+from veilwork.llm.ngram_join import jaccard_classes
 from veilwork.llm.packing import packed
 from veilwork.llm.pii import find_pii
 from veilwork.llm.suffix_dedup import repeated_passages
@@ -36,8 +36,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents whose sets of word 3-grams have a Jaccard similarity of 0.6 or more."""
-    return jaccard_join(_table(spark, sf_dir, "documents"))
+    """Each document's class by a Jaccard similarity of 0.6 or more of sets of word 3-grams, and its number of links."""
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
