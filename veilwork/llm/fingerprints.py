@@ -21,6 +21,10 @@ BASE = 1_234_567_890_123_456_789
 OPENING = 64
 #: Characters between the places of which a document's prefix hash is kept.
 STEP = 256
+#: Characters that are hashed at once, a multiple of STEP; bytes of text and rows of pieces that a task handles at once.
+BLOCK = 1 << 16
+CHUNK = 1 << 18
+COMMON_ROWS = 256
 #: Most documents whose wanted blocks are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_DOCUMENTS = 1 << 20
 
@@ -90,20 +94,53 @@ def prefixes(texts: list[str]) -> Prefixes:
     return Prefixes(codes, np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64))
 
 
+def fingerprint_rows(texts: list[str]) -> list[tuple[int, int, int, np.ndarray]]:
+    """(length, fingerprint, hash of the opening, prefix hash at each STEP characters) of each text.
+
+    A text of more than BLOCK characters goes block by block: what is before a block is one number, and the block's own prefix
+    hashes are moved by a power of BASE. So memory is that of a block, however long the text.
+    """
+    short = [i for i, t in enumerate(texts) if len(t) <= BLOCK]
+    out: list = [None] * len(texts)
+    at = 0
+    while at < len(short):
+        end, size = at, 0
+        while end < len(short) and (end == at or size + len(texts[short[end]]) <= BLOCK):
+            size += len(texts[short[end]])
+            end += 1
+        own = short[at:end]
+        found = prefixes([texts[i] for i in own])
+        a, b = found.first[:-1], found.first[1:]
+        steps = (b - a) // STEP + 1
+        ends = np.cumsum(steps)
+        place = np.repeat(a, steps) + STEP * (np.arange(ends[-1]) - np.repeat(ends - steps, steps))
+        kept = found.span(np.repeat(a, steps), place)
+        for i, n, whole, head, x, y in zip(own, (b - a).tolist(), found.span(a, b).tolist(), found.span(a, a + np.minimum(b - a, OPENING)).tolist(), (ends - steps).tolist(), ends.tolist()):
+            out[i] = (n, whole, head, kept[x:y])
+        at = end
+    for i, text in enumerate(texts):
+        if out[i] is not None:
+            continue
+        before, head, kept = 0, 0, []
+        for start in range(0, len(text), BLOCK):
+            sums = prefixes([text[start : start + BLOCK]]).sums
+            head = head if start else int(sums[OPENING])
+            moved = times(sums[:-1:STEP], np.full(-(-(len(sums) - 1) // STEP), pow(BASE, start, PRIME), U64))
+            kept.append(reduced(moved + U64(before)))
+            before = (before + int(sums[-1]) * pow(BASE, start, PRIME)) % PRIME
+        if len(text) % STEP == 0:
+            kept.append(np.array([before], U64))
+        out[i] = (len(text), before, head, np.concatenate(kept))
+    return out
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     """Length, fingerprint, hash of the opening and kept prefix hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            found = prefixes(batch.column("text").to_pylist())
-            a, b = found.first[:-1], found.first[1:]
-            size = b - a
-            steps = size // STEP + 1
-            ends = np.cumsum(steps)
-            place = np.repeat(a, steps) + STEP * (np.arange(ends[-1]) - np.repeat(ends - steps, steps))
-            kept = found.span(np.repeat(a, steps), place)
-            values = [kept[x:y].tobytes() for x, y in zip((ends - steps).tolist(), ends.tolist())]
-            columns = [batch.column("doc_id"), pa.array(size), pa.array(found.span(a, b).astype(np.int64)), pa.array(found.span(a, a + np.minimum(size, OPENING)).astype(np.int64)), pa.array(values, pa.binary())]
+        for batch in chunks(batches, most=CHUNK):
+            rows = fingerprint_rows(batch.column("text").to_pylist())
+            columns = [batch.column("doc_id"), *[pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], pa.array([r[3].tobytes() for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "fingerprint", "opening", "kept"])
 
     return docs.mapInArrow(run, "doc_id long, n_chars long, fingerprint long, opening long, kept binary")
@@ -135,10 +172,9 @@ def _pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     joined = docs.join(F.broadcast(wanted) if wanted.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS else wanted, "doc_id").select("doc_id", "text", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK):
             texts = batch.column("text").to_pylist()
-            found = prefixes(texts)
-            prints = found.span(found.first[:-1], found.first[1:]).astype(np.int64).tolist()
+            prints = [r[1] for r in fingerprint_rows(texts)]
             rows = [(doc, len(t), p, block, t[block * STEP : (block + 1) * STEP]) for doc, t, p, blocks in zip(batch.column("doc_id").to_pylist(), texts, prints, batch.column("blocks").to_pylist()) for block in blocks]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["doc_id", "n_chars", "fingerprint", "block", "piece"])
@@ -150,9 +186,7 @@ def _common(pieces: DataFrame) -> DataFrame:
     """(doc_id, n_chars, fingerprint, common): the block's start and the common extension inside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(k, COMMON_ROWS) for b in batches for k in range(0, b.num_rows, COMMON_ROWS)):
             one, two = batch.column("piece").to_pylist(), batch.column("first_piece").to_pylist()
             found = prefixes(one + two)
             n = len(one)
