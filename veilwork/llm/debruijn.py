@@ -106,9 +106,11 @@ def repeated_spans(docs: DataFrame, k: int = SPAN_WORDS) -> DataFrame:
     partitions by pointer doubling in Spark joins. Source coordinates (doc_id, word) of the k-mers then verify each span:
     it is a stretch of the document in which every k-mer follows the last by one word.
 
-    Returns (doc_id, unitig, start_word, end_word, n_words, is_copy, source_doc_id): for each document and unitig the
-    maximal stretches of words (end is exclusive) that its k-mers cover. k-mers that occur at a smaller (doc_id, word) too
-    are is_copy; source_doc_id is the least document in which one of them occurs. unitig is the hash of a k-mer.
+    Returns (doc_id, start_word, end_word, n_words, is_copy, source_doc_id, unitigs): for each document the maximal stretches
+    of words (end is exclusive) that repeated k-mers cover, and the unitigs that they run through, in order, each once.
+    k-mers that occur at a smaller (doc_id, word) too are is_copy; source_doc_id is the least document in which one of them
+    occurs. A unitig's name is the hash of a k-mer. So the rows are as many as the repeats, however often other documents
+    that join or leave a passage divide it into unitigs.
 
     Rows without doc_id or text and texts of fewer than k words give nothing. Rows with equal doc_id and equal text are one
     document. Repeats inside one document count. An empty table gives an empty result; other columns are ignored.
@@ -142,7 +144,7 @@ def repeated_spans(docs: DataFrame, k: int = SPAN_WORDS) -> DataFrame:
     unitigs = compacted(graph.where(F.col("kind") == PATH), graph.where(F.col("kind") == LINK))
     places = graph.where(F.col("kind") == PLACE).select("doc_id", "path", "start", "end", "is_copy", "source_doc_id")
     named = places.join(unitigs, "path", "left").select("doc_id", F.coalesce("unitig", "path").alias("path"), "start", "end", "is_copy", "source_doc_id")
-    return merged(named, parts).withColumnRenamed("path", "unitig")
+    return merged(named, parts).withColumnRenamed("paths", "unitigs")
 
 
 def without_copies(docs: DataFrame, k: int = SPAN_WORDS) -> DataFrame:

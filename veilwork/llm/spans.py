@@ -157,29 +157,34 @@ def stretches(found: Repeats, length: int, path: np.ndarray | None = None) -> di
     return {"doc_id": found.doc_id[a], "path": path[a], "start": found.pos[a].astype(np.int32), "end": (found.pos[b] + length).astype(np.int32), "is_copy": ~found.first[a], "source_doc_id": found.source[a]}
 
 
-SPANS = "doc_id long, path long, start_word int, end_word int, n_words int, is_copy boolean, source_doc_id long"
+SPANS = "doc_id long, start_word int, end_word int, n_words int, is_copy boolean, source_doc_id long, paths array<long>"
 
 
 def merged(places: DataFrame, parts: int) -> DataFrame:
-    """Stretches of one document, path and flag that touch or overlap become one span."""
+    """Stretches of one document and flag that touch or overlap become one span; paths: theirs, in order, each once."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [b for b in batches if b.num_rows]
         if not table:
             return
         doc, path, start, end, copy, source = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in table]) for i in range(6))
-        by = np.lexsort((start, copy, path, doc))
+        by = np.lexsort((path, start, copy, doc))
         doc, path, start, end, copy, source = (x[by] for x in (doc, path, start.astype(np.int64), end.astype(np.int64), copy, source))
-        group = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (path[1:] != path[:-1]) | (copy[1:] != copy[:-1])))
+        group = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])))
         wide = np.int64(1) << 32
         reach = np.maximum.accumulate(group * wide + end)
         fresh = np.append(True, (group[1:] != group[:-1]) | (group[1:] * wide + start[1:] > reach[:-1]))
         a = np.flatnonzero(fresh)
         b = np.append(a[1:], len(fresh)) - 1
         first, last = start[a], reach[b] - group[b] * wide
-        columns = [doc[a], path[a], first.astype(np.int32), last.astype(np.int32), (last - first).astype(np.int32), copy[a], np.minimum.reduceat(source, a)]
+        span = np.cumsum(fresh) - 1
+        seen = np.lexsort((np.arange(len(path)), path, span))
+        one = np.sort(seen[np.append(True, (np.diff(span[seen]) != 0) | (np.diff(path[seen]) != 0))])
+        edges = np.searchsorted(span[one], np.arange(len(a) + 1)).astype(np.int32)
+        columns = [doc[a], first.astype(np.int32), last.astype(np.int32), (last - first).astype(np.int32), copy[a], np.minimum.reduceat(source, a)]
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(path[one]))
         for k in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns], ["doc_id", "path", "start_word", "end_word", "n_words", "is_copy", "source_doc_id"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[k : k + (1 << 16)]) for c in columns], lists.slice(k, 1 << 16)], ["doc_id", "start_word", "end_word", "n_words", "is_copy", "source_doc_id", "paths"])
 
     return places.repartition(parts, "doc_id").mapInArrow(merge, SPANS)
 

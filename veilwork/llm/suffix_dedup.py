@@ -39,4 +39,23 @@ def repeated_passages(docs: DataFrame, min_words: int = SPAN_WORDS) -> DataFrame
         yield pa.RecordBatch.from_pydict(found)
 
     places = exchange(readable(docs), send_runs(min_words, parts, neighbours=False), receive, PLACES, parts)
-    return merged(places, parts).drop("path")
+    return merged(places, parts).drop("paths")
+
+
+def passages_sql(min_words: int = SPAN_WORDS) -> str:
+    """The rows of repeated_passages over `documents` as SQL for DuckDB: all windows by their words, grouped."""
+    ascii_low = f"translate(text, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT DISTINCT doc_id, regexp_extract_all({ascii_low}, '[a-z0-9\\x{{80}}-\\x{{10ffff}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), places AS MATERIALIZED (
+  SELECT doc_id, p, md5_number(array_to_string(w[p + 1 : p + {min_words}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - {min_words} + 1)) AS p FROM docs WHERE len(w) >= {min_words})
+), firsts AS (
+  SELECT h, min(struct_pack(doc_id := doc_id, p := p)) AS first FROM places GROUP BY h HAVING count(DISTINCT struct_pack(doc_id := doc_id, p := p)) > 1
+), flagged AS (
+  SELECT DISTINCT doc_id, p, first <> struct_pack(doc_id := doc_id, p := p) AS is_copy, first.doc_id AS source FROM places JOIN firsts USING (h)
+), numbered AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, is_copy ORDER BY p) AS span FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, is_copy ORDER BY p) + {min_words} THEN 0 ELSE 1 END AS fresh FROM flagged)
+)
+SELECT doc_id, CAST(min(p) AS INT) AS start_word, CAST(max(p) + {min_words} AS INT) AS end_word, CAST(max(p) + {min_words} - min(p) AS INT) AS n_words, is_copy, min(source) AS source_doc_id FROM numbered GROUP BY doc_id, is_copy, span
+"""
