@@ -692,3 +692,26 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, n: int = NG
     """
     gone = jaccard_classes(docs, threshold, n).where("class_id <> doc_id").select(F.col("doc_id").alias("gone_id_"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id_"], "left_anti")
+
+
+def classes_sql(threshold: float = THRESHOLD, n: int = NGRAM) -> str:
+    """The rows of jaccard_classes over `documents` as SQL for DuckDB: sets of n-grams joined on each n-gram, and closure."""
+    low = f"translate(text, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
+    gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(n))
+    return f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT DISTINCT doc_id, regexp_extract_all({low}, '[a-z0-9\\x{{80}}-\\x{{10ffff}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: {gram}) END)) AS g FROM docs WHERE len(w) > 0
+), named AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(g, ',')) AS s, g FROM sets), names AS MATERIALIZED (
+  SELECT s, min(doc_id) AS name, count(*) AS docs, any_value(g) AS g FROM named GROUP BY s
+), grams AS MATERIALIZED (SELECT s, len(g) AS size, unnest(g) AS x FROM names), pairs AS MATERIALIZED (
+  SELECT a.s AS a, b.s AS b FROM grams a JOIN grams b ON a.x = b.x AND a.s <> b.s GROUP BY a.s, b.s, a.size, b.size HAVING count(*) >= ({threshold} - 1e-9) * (a.size + b.size - count(*))
+), reach AS (SELECT s AS a, s AS b FROM names UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b), classes AS (
+  SELECT r.a AS s, min(n.name) AS class_id FROM reach r JOIN names n ON n.s = r.b GROUP BY r.a
+), links AS (SELECT a AS s, count(*) AS links FROM pairs GROUP BY a), found AS (
+  SELECT doc_id, min(class_id) AS class_id, sum(docs - 1) AS n_copies, sum(coalesce(links, 0)) AS n_links FROM named JOIN names USING (s) JOIN classes USING (s) LEFT JOIN links USING (s) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(f.class_id, d.doc_id) AS class_id, CAST(coalesce(f.n_copies, 0) AS BIGINT) AS n_copies, CAST(coalesce(f.n_links, 0) AS BIGINT) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN found f USING (doc_id)
+"""

@@ -12,10 +12,10 @@ from veilwork.llm.fingerprints import ORACLE as FINGERPRINTS
 from veilwork.llm.fingerprints import fingerprints
 from veilwork.llm.hash_forest import nearest
 from veilwork.llm.html_extract import extract_text
-from veilwork.llm.ngram_join import jaccard_classes
+from veilwork.llm.ngram_join import classes_sql, jaccard_classes
 from veilwork.llm.packing import packed
 from veilwork.llm.pii import find_pii
-from veilwork.llm.suffix_dedup import repeated_passages
+from veilwork.llm.suffix_dedup import passages_sql, repeated_passages
 from veilwork.llm.toxicity import scored, train
 from veilwork.session import shipped
 
@@ -56,7 +56,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of 50 words or more that repeat, by unitig of the documents' De Bruijn graph."""
+    """Spans of 50 words or more that repeat, with the unitigs of the documents' De Bruijn graph that they run through."""
     return repeated_spans(_table(spark, sf_dir, "documents"))
 
 
@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op10_fingerprints": FINGERPRINTS}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": classes_sql(), "op4_suffix_array_dedup": passages_sql(), "op10_fingerprints": FINGERPRINTS}
