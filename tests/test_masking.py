@@ -145,6 +145,48 @@ def test_dialogue_numbers_and_snapshots(spark):
     assert all(r.diarization_available for r in mask_dialogue(spark, [dict(speaker=s, text="好") for s in ("AGENT", "AGENT", "CUSTOMER", "CUSTOMER", None)]).collect())
 
 
+def test_repeated_and_missing_turns_keep_their_own_texts(spark):
+    texts = [("s", 1, "我電話0912345678"), ("s", 1, "您好"), ("t", None, "a1"), ("t", None, "卡號1234567890123456"), ("u", 1, "您好您好您好,我電話0912345678"), ("u", 1, "a@b.co,c@d.co"), ("v", 2, "卡號1234567890123456"), ("v", 2, "卡號1234567890123456"), ("v", 1, "卡號9999888877776666"), (None, None, None)]
+    rows = spark.createDataFrame([(*r, i, "kept") for i, r in enumerate(texts)], "session_id string, turn int, text string, row int, rest string")
+    for snapshot in (False, True):
+        got = {r.row: r for r in mask_turns(rows, dialogues=True, snapshot=snapshot).collect()}
+        assert {i: r.original_text for i, r in got.items()} == {i: t for i, (_, _, t) in enumerate(texts)}
+        assert [got[i].masked_text for i in range(10)] == ["我電話[PHONE]", "您好", "a1", "卡號[CARD_1]", texts[4][2].replace("0912345678", "[PHONE]"), "[EMAIL],[EMAIL]", "卡號[CARD_2]", "卡號[CARD_2]", "卡號[CARD_1]", None]
+        assert all(r.rest == "kept" for r in got.values())
+
+
+def test_own_rules_need_a_type():
+    from veilwork.functions.rules import Rule
+
+    with pytest.raises(ValueError, match="BADGE"):
+        MaskConfig(rules=(Rule("BADGE", "B", "x", 0.9),))
+
+
+def test_model_errors_stay_with_their_texts(spark):
+    from veilwork.sources.turns import with_provider
+
+    def make():
+        def find(texts):
+            if "bad" in texts:
+                raise RuntimeError("no")
+            return [[(0, 3, "PERSON")] for _ in texts]
+
+        return find
+
+    rows = spark.createDataFrame([(1, "王小明在"), (2, "bad"), (3, None)], "turn_id int, text string").coalesce(1)
+    got = {r.turn_id: r for r in mask_turns(with_provider(rows, make), LEAN, ner="ner_hits").collect()}
+    assert got[1].masked_text == "[NAME]在" and got[2].masked_text == "bad" and got[3].masked_text is None
+    assert got[2].ner_hits_error == "RuntimeError: no" and got[1].ner_hits_error is None and got[2].ner_hits is None
+
+
+def test_reports_of_one_pass_and_of_two_runs_agree(spark):
+    rows = golden(spark).drop("ner_hits")
+    one = compare.profile_report(rows, LEAN, MaskConfig())
+    two = compare.case_report(mask_turns(rows, LEAN), mask_turns(rows))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.select(*one.columns).collect()))
+    assert "conflicts" in compare.report_lines(one).first().line
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "session_id string, turn int, text string")
     assert mask_turns(none).count() == 0 and mask_turns(none, dialogues=True, snapshot=True).count() == 0 and audit(mask_turns(none)).count() == 0

@@ -11,17 +11,17 @@ from veilwork.config import MaskConfig
 from veilwork.functions import sql as F
 from veilwork.functions.columns import exploded
 from veilwork.functions.normalize import ce_years, composed, narrow, normalize, spaced, squeezed, zh_numbers
-from veilwork.functions.rules import FULL, LEAN, LEGACY, RULES, rules_of
-from veilwork.functions.vocabulary import ENTITIES, NER_SCORE
+from veilwork.functions.rules import FULL, LEAN, LEGACY, RULES, Rule, rules_of
+from veilwork.functions.vocabulary import ENTITIES, NER_SCORE, Entity
 from veilwork.operators.bank import conditional_amount, speaker_boost
-from veilwork.operators.quality import labelled_ratio
+from veilwork.operators.quality import known_speaker
 from veilwork.operators.replace import non_empty, numbered_pairs
 from veilwork.operators.resolve import duplicate_log, without_duplicates
 from veilwork.operators.scan import RULE_STEP, changed, merged, ner_spans, scan
 from veilwork.plans import compare, oracle
-from veilwork.plans.masking import audit, detected, mask_turns
+from veilwork.plans.masking import audit, detected, entity_types, mask_turns
 from veilwork.session import shipped
-from veilwork.sources.turns import conversation_turns, transcripts, with_hits
+from veilwork.sources.turns import conversation_turns, read_table, transcripts, with_hits, with_provider
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,7 +74,7 @@ for _entity in dict.fromkeys(r.entity for r in RULES[FULL]):
 
 def _scan_documents(entity: str) -> Query:
     rules = rules_of(LEAN, True, frozenset({entity}))
-    return lambda spark, sf_dir: _spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan(F.col("text"), rules), "doc_id")
+    return lambda spark, sf_dir: _spans(read_table(spark, sf_dir, "documents"), scan(F.col("text"), rules), "doc_id")
 
 
 for _entity in ("EMAIL_ADDRESS", "TW_CREDIT_CARD"):
@@ -105,7 +105,7 @@ for _name, _step, _sql in (
 
 @register("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def normalize_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shipped(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", composed(C.col("text")).alias("text"))
+    return read_table(shipped(spark), sf_dir, "documents").select("doc_id", composed(C.col("text")).alias("text"))
 
 
 @register(_step_sql(*oracle.STEPS))
@@ -260,7 +260,7 @@ def conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(oracle.with_ctes(_LEAN_DOCUMENTS, "SELECT entity AS entity_type, count(*) AS n_entities, count(DISTINCT id) AS n_docs FROM found GROUP BY entity"))
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensitive spans of the documents: their number, and that of documents, by entity type."""
-    rows = mask_turns(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), LEAN_CONFIG)
+    rows = mask_turns(read_table(spark, sf_dir, "documents").select("doc_id", "text"), LEAN_CONFIG)
     return exploded(rows, "doc_id", entity_type=C.col("entities.entity")).groupBy("entity_type").agg(C.count(C.lit(1)).alias("n_entities"), C.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -278,7 +278,7 @@ for _name, _ctes, _config in (("lean", _LEAN, LEAN_CONFIG), ("full", _FULL, FULL
 @register(oracle.with_ctes(_LEAN_DOCUMENTS | {"tokens": "SELECT *, base AS token FROM found"}, f"SELECT id AS doc_id, masked AS masked_text, n_entities FROM ({oracle.MASKED})"))
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with tokens of their entities' types."""
-    rows = mask_turns(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), LEAN_CONFIG)
+    rows = mask_turns(read_table(spark, sf_dir, "documents").select("doc_id", "text"), LEAN_CONFIG)
     return rows.select("doc_id", "masked_text", C.size("entities").cast("long").alias("n_entities"))
 
 
@@ -318,8 +318,7 @@ _CONVERSATIONS = "SELECT conv_id AS session_id, CAST(turn AS INT) AS turn, CASE
 @register(f"SELECT session_id, {_RATIO.replace(' OVER (PARTITION BY session_id)', '')} AS ratio, {_RATIO.replace(' OVER (PARTITION BY session_id)', '')} >= 0.8E0 AS diarized FROM ({_CONVERSATIONS}) GROUP BY session_id")
 def labeled_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of turns with a known speaker, by conversation."""
-    rows = conversation_turns(spark, sf_dir).withColumn("ratio", labelled_ratio(C.col("speaker")))
-    return rows.groupBy("session_id").agg(C.max("ratio").alias("ratio")).withColumn("diarized", C.col("ratio") >= 0.8)
+    return conversation_turns(spark, sf_dir).groupBy("session_id").agg(C.avg(known_speaker(C.col("speaker"))).alias("ratio")).withColumn("diarized", C.col("ratio") >= 0.8)
 
 
 @register(oracle.with_ctes(_DIALOGUE, "SELECT session_id, turn, entity, value, token, CAST(s AS INT) AS start_at FROM tokens"))
@@ -364,24 +363,24 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.case_report(_masked(spark, sf_dir, LEAN_CONFIG), _masked(spark, sf_dir, FULL_CONFIG))
+    return compare.profile_report(transcripts(spark, sf_dir), LEAN_CONFIG, FULL_CONFIG)
 
 
 def _side(config: MaskConfig, ctes: dict[str, str]) -> str:
     """One row for each case: masked text, entities, conflicts, and sorted distinct (entity, value)."""
     inner = ctes | {"tokens": oracle.numbered("found", config, "id", "s")}
     pairs = "list_sort(list_distinct(list(struct_pack(entity := entity, value := value))))"
-    return "(" + oracle.with_ctes(inner, f"SELECT m.id, m.masked, m.n_entities, coalesce(f.found, []) AS found, coalesce(c.n, 0) AS n FROM ({oracle.MASKED}) m LEFT JOIN (SELECT id, {pairs} AS found FROM found GROUP BY id) f USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM fold WHERE loser IS NOT NULL GROUP BY id) c USING (id)") + ")"
+    return "(" + oracle.with_ctes(inner, f"SELECT m.id, m.masked, m.n_entities, coalesce(f.found, []) AS found, coalesce(c.n, 0) + coalesce(d.n, 0) AS n FROM ({oracle.MASKED}) m LEFT JOIN (SELECT id, {pairs} AS found FROM found GROUP BY id) f USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM fold WHERE loser IS NOT NULL GROUP BY id) c USING (id) LEFT JOIN (SELECT id, count(*) - count(DISTINCT struct_pack(s := s, e := e, entity := entity)) AS n FROM {'raw' if config.lean else 'boosted'} GROUP BY id) d USING (id)") + ")"
 
 
-_BOTH = f"SELECT a.id AS turn_id, a.masked AS masked_a, b.masked AS masked_b, a.masked = b.masked AS same, a.found AS found_a, b.found AS found_b, CAST(a.n_entities AS INT) AS entities_a, CAST(b.n_entities AS INT) AS entities_b, list_filter(a.found, lambda p: p.entity IN ('PERSON', 'LOCATION')) AS ner_a, list_filter(b.found, lambda p: p.entity IN ('PERSON', 'LOCATION')) AS ner_b FROM {_side(LEAN_CONFIG, _LEAN)} a JOIN {_side(FULL_CONFIG, _FULL)} b USING (id)"
+_BOTH = f"SELECT a.id AS turn_id, a.masked AS masked_a, b.masked AS masked_b, a.masked = b.masked AS same, a.found AS found_a, b.found AS found_b, CAST(a.n_entities AS INT) AS entities_a, CAST(b.n_entities AS INT) AS entities_b, CAST(a.n AS INT) AS conflicts_a, CAST(b.n AS INT) AS conflicts_b, list_filter(a.found, lambda p: p.entity IN ('PERSON', 'LOCATION')) AS ner_a, list_filter(b.found, lambda p: p.entity IN ('PERSON', 'LOCATION')) AS ner_b FROM {_side(LEAN_CONFIG, _LEAN)} a JOIN {_side(FULL_CONFIG, _FULL)} b USING (id)"
 _ONLY = "len(list_filter({x}, lambda p: NOT list_contains({y}, p)))"
 
 
-@register(f"SELECT turn_id, masked_a, masked_b, same, entities_a, entities_b, CAST({_ONLY.format(x='found_a', y='found_b')} AS INT) AS n_only_a, CAST({_ONLY.format(x='found_b', y='found_a')} AS INT) AS n_only_b, ner_a <> ner_b AS ner_differs FROM ({_BOTH})")
+@register(f"SELECT turn_id, masked_a, masked_b, same, entities_a, entities_b, conflicts_a, conflicts_b, CAST({_ONLY.format(x='found_a', y='found_b')} AS INT) AS n_only_a, CAST({_ONLY.format(x='found_b', y='found_a')} AS INT) AS n_only_b, ner_a <> ner_b AS ner_differs FROM ({_BOTH})")
 def compare_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lean and full masking side by side."""
-    return _report(spark, sf_dir).select("turn_id", "masked_a", "masked_b", "same", "entities_a", "entities_b", C.size("only_a").alias("n_only_a"), C.size("only_b").alias("n_only_b"), "ner_differs")
+    return _report(spark, sf_dir).select("turn_id", "masked_a", "masked_b", "same", "entities_a", "entities_b", "conflicts_a", "conflicts_b", C.size("only_a").alias("n_only_a"), C.size("only_b").alias("n_only_b"), "ner_differs")
 
 
 @register(f"SELECT count(*) AS cases, count(*) FILTER (same) AS same, count(*) FILTER (NOT same) AS different, count(*) FILTER (ner_a <> ner_b) AS ner_differs FROM ({_BOTH})")
@@ -399,6 +398,74 @@ def compare_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.divergences(_report(spark, sf_dir))
 
 
+_LISTED = "array_to_string(list_transform(list_filter({x}, lambda p: NOT list_contains({y}, p)), lambda p: p.entity || ':' || p.value), ', ')"
+
+
+@register(f"SELECT turn_id, CASE WHEN same THEN 'SAME' ELSE 'DIFF' END || ' entities ' || entities_a || '/' || entities_b || ' conflicts ' || conflicts_a || '/' || conflicts_b || ' only_a [' || {_LISTED.format(x='found_a', y='found_b')} || '] only_b [' || {_LISTED.format(x='found_b', y='found_a')} || ']' AS line FROM ({_BOTH})")
+def compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison of lean and full masking as text, a line for each case."""
+    return compare.report_lines(_report(spark, sf_dir))
+
+
+# results as a whole, repeated turns, one's own rules and models
+
+
+@register(oracle.with_ctes(_FULL, "SELECT n.id AS turn_id, coalesce(f.types, '') AS entity_types, coalesce(f.n, 0) AS n_entities FROM norm n LEFT JOIN (SELECT id, array_to_string(list_sort(list_distinct(list(entity))), ',') AS types, count(*) AS n FROM found GROUP BY id) f USING (id)"))
+def result_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types that each turn's entities have, and their number."""
+    return _masked(spark, sf_dir, FULL_CONFIG).select("turn_id", C.array_join(entity_types(F.col("entities")).column, ",").alias("entity_types"), C.size("entities").cast("long").alias("n_entities"))
+
+
+@register(oracle.with_ctes(_LEGACY, f"SELECT {SPAN_COLUMNS} FROM found"))
+def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that the first generation leaves, with 0.05 more for those that won a conflict."""
+    return _entities(_masked(spark, sf_dir, LEGACY_CONFIG))
+
+
+#: Every fourth turn has the number of the one before it, every ninth has none.
+_REPEATED = "CASE WHEN turn % 9 = 0 THEN NULL WHEN turn % 4 = 0 THEN turn - 1 ELSE turn END"
+_REPEATED_SQL = oracle.pipeline(f"SELECT * REPLACE (CAST({_REPEATED} AS INT) AS turn), {_RATIO} >= 0.8E0 AS diarized FROM ({SOURCE})", FULL_CONFIG, "diarized")
+_REPEATED_SQL |= {"placed": "SELECT f.*, n.session_id, n.turn, n.t FROM found f JOIN norm n USING (id)", "tokens": oracle.numbered("placed", FULL_CONFIG, "session_id", "struct_pack(turn := coalesce(turn, -1), t := t, s := s)")}
+
+
+@register(oracle.with_ctes(_REPEATED_SQL, f"SELECT id AS turn_id, session_id, turn, masked AS masked_text FROM ({oracle.MASKED})"))
+def mask_dialogues_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls in which turns have the same number or none: each keeps its row and its text."""
+    rows = transcripts(spark, sf_dir).withColumn("turn", C.expr(_REPEATED).cast("int"))
+    return mask_turns(rows, FULL_CONFIG, dialogues=True).select("turn_id", "session_id", "turn", "masked_text")
+
+
+OWN_CONFIG = MaskConfig(
+    rules=(Rule("BADGE", "BADGE_EMP", r"EMP\d{5}", 0.95, ("工號", "員工編號")), Rule("CAMPAIGN", "CAMPAIGN_AB", r"AB\d{4}", 0.90)),
+    types=(Entity("BADGE", "[BADGE]", 99, 5, "識別證", numbered=True), Entity("CAMPAIGN", "[PROMO]", 30, 1, "行銷專案代碼")),
+)
+_OWN = oracle.pipeline(SOURCE, OWN_CONFIG)
+
+
+@register(_texts_sql(_OWN, OWN_CONFIG))
+def custom_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masking with a user's own rules, a type of their own and another token for a known one."""
+    return _masked(spark, sf_dir, OWN_CONFIG).select("turn_id", "masked_text", C.size("entities").cast("long").alias("n_entities"))
+
+
+def _name_finder() -> Callable[[list[str]], list[list[tuple[int, int, str]]]]:
+    """A stand-in for a model that finds one name, and can't read texts with an address."""
+
+    def find(texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        if any("@" in t for t in texts):
+            raise ValueError("address")
+        return [[(t.index(_PERSON), t.index(_PERSON) + 3, "PERSON")] if _PERSON in t else [] for t in texts]
+
+    return find
+
+
+@register(f"SELECT o_orderkey AS turn_id, CASE WHEN contains(text, '@') THEN NULL WHEN contains(text, '{_PERSON}') THEN 1 ELSE 0 END AS n_hits, CASE WHEN contains(text, '@') THEN 'ValueError: address' END AS error FROM (SELECT turn_id AS o_orderkey, text FROM ({oracle.TURNS}))")
+def provider_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a model that runs in Arrow batches; a text for which it raises has its error and none of the others' rows."""
+    rows = with_provider(transcripts(shipped(spark), sf_dir), _name_finder)
+    return rows.select("turn_id", C.when(C.col("ner_hits").isNotNull(), C.size("ner_hits")).alias("n_hits"), C.col("ner_hits_error").alias("error"))
+
+
 # guards and dimensions
 
 _EDGES = [(1, None), (2, ""), (3, "  "), (4, "　\t"), (5, "我電話0912345678"), (6, "\n")]

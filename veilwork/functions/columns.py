@@ -37,7 +37,8 @@ def matches(text: Sql, pattern: str) -> Sql:
 
         return F.aggregate(F.sequence(0, F.size(both["hits"]) - 1), F.struct(at=0, found=none), step, lambda s: s["found"])
 
-    return F.when(text.rlike(pattern), let(_pieces(text, pattern), place)).otherwise(none)
+    # one pass over most texts, that have no match, and two over others
+    return let(F.regexp_extract_all(text, pattern, 0), lambda hits: F.when(F.size(hits) > 0, let(F.struct(hits=hits, gaps=F.split(text, pattern, -1)), place)).otherwise(none))
 
 
 def map_matches(text: Sql, pattern: str, change: Callable[[Sql], Sql]) -> Sql:

@@ -19,10 +19,14 @@ def blank(text: Sql) -> Sql:
     return text.isNull() | ~text.rlike(r"(?U)\S")
 
 
+def known_speaker(speaker: Column) -> Column:
+    """1 for an agent or a customer, else 0."""
+    return C.coalesce(speaker.isin(AGENT, CUSTOMER), C.lit(False)).cast("double")
+
+
 def labelled_ratio(speaker: Column) -> Column:
     """Share of a session's turns whose speaker is known, as a window over session_id."""
-    known = C.coalesce(speaker.isin(AGENT, CUSTOMER), C.lit(False))
-    return C.avg(known.cast("double")).over(W.partitionBy("session_id"))
+    return C.avg(known_speaker(speaker)).over(W.partitionBy("session_id"))
 
 
 def density(n_entities: Sql, text: Sql) -> Sql:

@@ -9,16 +9,19 @@ from pyspark.sql import Window as W
 from veilwork.functions import sql as F
 from veilwork.functions.columns import slice_of
 from veilwork.functions.sql import Sql, let
-from veilwork.functions.vocabulary import ENTITIES
+from veilwork.functions.vocabulary import ENTITIES, Entity
 from veilwork.operators.scan import FIELDS
 
 #: What an entity of a masked text has.
 ENTITY = (*FIELDS, "value", "token")
 
 
-def base_token(entity: Sql) -> Sql:
+Types = dict[str, Entity]
+
+
+def base_token(entity: Sql, types: Types = ENTITIES) -> Sql:
     """The type's token; an unknown type is its own name in brackets."""
-    return F.coalesce(F.choose(entity, {e.name: e.token for e in ENTITIES.values()}), F.concat("[", entity, "]"))
+    return F.coalesce(F.choose(entity, {e.name: e.token for e in types.values()}), F.concat("[", entity, "]"))
 
 
 def numbered_token(token: Sql, number: Sql) -> Sql:
@@ -27,12 +30,12 @@ def numbered_token(token: Sql, number: Sql) -> Sql:
     return F.when(token.endswith("]"), F.concat(F.substr(token, 1, F.length(token) - 1), suffix, "]")).otherwise(F.concat(token, suffix))
 
 
-def fixed_tokens(text: Sql, spans: Sql) -> Sql:
+def fixed_tokens(text: Sql, spans: Sql, types: Types = ENTITIES) -> Sql:
     """Spans with value and the token of their type."""
-    return F.transform(spans, lambda s: F.struct(**{f: s[f] for f in FIELDS}, value=slice_of(text, s["start"], s["end"]), token=base_token(s["entity"])))
+    return F.transform(spans, lambda s: F.struct(**{f: s[f] for f in FIELDS}, value=slice_of(text, s["start"], s["end"]), token=base_token(s["entity"], types)))
 
 
-def tokens_of_text(text: Sql, spans: Sql, numbered: frozenset[str]) -> Sql:
+def tokens_of_text(text: Sql, spans: Sql, numbered: frozenset[str], types: Types = ENTITIES) -> Sql:
     """As fixed_tokens, but those of the types in `numbered` count the different values of this text, in their order."""
 
     def number(all_: Sql) -> Sql:
@@ -43,7 +46,7 @@ def tokens_of_text(text: Sql, spans: Sql, numbered: frozenset[str]) -> Sql:
 
         return F.transform(all_, one)
 
-    return let(fixed_tokens(text, spans), number) if numbered else fixed_tokens(text, spans)
+    return let(fixed_tokens(text, spans, types), number) if numbered else fixed_tokens(text, spans, types)
 
 
 def replaced(text: Sql, spans: Sql) -> Sql:
@@ -59,21 +62,23 @@ def replaced(text: Sql, spans: Sql) -> Sql:
 def session_tokens(turns: DataFrame, numbered: frozenset[str]) -> DataFrame:
     """turns with a token in each of their spans, numbered through the session in the order of turns.
 
-    turns has session_id, turn, and entities (spans with value and the type's token); (session_id, turn) names a turn. All
-    windows and the last aggregation share one partitioning, that of session_id, so what arrives partitioned by it isn't
-    shuffled again.
+    turns has session_id, turn, normalized_text, and entities (spans with value and the type's token). Every row stays a row of
+    its own: where several have one (session_id, turn), they count in the order of their texts, and turns that are null
+    come first. All windows and the last aggregation share one partitioning, that of session_id, so what arrives partitioned
+    by it isn't shuffled again; rows are told apart by a number that is given and used inside one task.
     """
-    others = [c for c in turns.columns if c not in ("session_id", "turn", "entities")]
-    rows = turns.select("session_id", "turn", C.struct(*others).alias("rest"), C.posexplode_outer("entities").alias("at", "s"))
+    others = [c for c in turns.columns if c != "entities"]
+    numbered_rows = turns.select("session_id", "turn", C.struct(*others).alias("rest"), C.col("normalized_text").alias("text"), "entities").withColumn("row", C.monotonically_increasing_id())
+    rows = numbered_rows.select("session_id", "turn", "rest", "text", "row", C.posexplode_outer("entities").alias("at", "s"))
     tracked = C.col("s.entity").isin(*sorted(numbered))
-    first = C.min(C.struct("turn", "at")).over(W.partitionBy("session_id", "s.entity", "s.value"))
+    first = C.min(C.struct("turn", "text", "at")).over(W.partitionBy("session_id", "s.entity", "s.value"))
     rows = rows.withColumn("first", C.when(tracked, first))
     rows = rows.withColumn("number", C.dense_rank().over(W.partitionBy("session_id", "s.entity").orderBy(C.col("first").asc_nulls_last())))
     token = C.when(tracked, numbered_token(F.col("s.token"), F.col("number")).column).otherwise(C.col("s.token"))
     rows = rows.withColumn("token", token).withColumn("s", C.when(C.col("s").isNotNull(), C.struct(*[C.col(f"s.{f}").alias(f) for f in ENTITY if f != "token"], C.col("token").alias("token"))))
     listed = C.array_sort(C.collect_list(C.when(C.col("s").isNotNull(), C.struct("at", "s"))))
-    done = rows.groupBy("session_id", "turn").agg(C.first("rest").alias("rest"), listed.alias("listed"))
-    return done.select("session_id", "turn", "rest.*", C.transform("listed", lambda x: x["s"]).alias("entities"))
+    done = rows.groupBy("session_id", "row").agg(C.first("rest").alias("rest"), listed.alias("listed"))
+    return done.select("rest.*", C.transform("listed", lambda x: x["s"]).alias("entities"))
 
 
 def numbered_pairs(entities: Sql, numbered: frozenset[str]) -> Sql:
@@ -98,8 +103,9 @@ def non_empty(maps: Sql) -> Sql:
 
 
 def with_snapshot(masked: DataFrame, numbered: frozenset[str]) -> DataFrame:
-    """masked with pseudonym_map: all that was numbered in the session up to and including each turn."""
-    upto = W.partitionBy("session_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    """masked with pseudonym_map: all that was numbered in the session up to and including each turn (see session_tokens for
+    the order of turns)."""
+    upto = W.partitionBy("session_id").orderBy("turn", "normalized_text").rowsBetween(W.unboundedPreceding, 0)
     seen = C.flatten(C.collect_list(numbered_pairs(F.col("entities"), numbered).column).over(upto))
     rows = masked.withColumn("_seen", seen)
     return rows.withColumn("pseudonym_map", pseudonym_map(F.array_sort(F.array_distinct(F.col("_seen")))).column).drop("_seen")

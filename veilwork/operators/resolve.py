@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from veilwork.functions import sql as F
 from veilwork.functions.sql import Sql, let
-from veilwork.functions.vocabulary import ENTITIES
+from veilwork.functions.vocabulary import ENTITIES, Entity
 from veilwork.operators.scan import FIELDS, SPAN, changed
 
 RANKED = SPAN[:-1] + ",risk:int,prio:double,won:boolean>"
@@ -78,9 +78,9 @@ def has_keyword(s: Sql, legacy: bool = False) -> Sql:
     return (s["boost"] > 0) | (s["word"].isNotNull() & (s["word"] != "")) | (s["score"] >= KEYWORD_SCORE)
 
 
-def ranked(spans: Sql, legacy: bool = False) -> Sql:
+def ranked(spans: Sql, legacy: bool = False, types: dict[str, Entity] = ENTITIES) -> Sql:
     """Spans with risk and priority, in the order in which they are decided: by start, the longest and strongest first."""
-    risks, ranks = {e.name: e.risk for e in ENTITIES.values()}, {e.name: e.priority for e in ENTITIES.values()}
+    risks, ranks = {e.name: e.risk for e in types.values()}, {e.name: e.priority for e in types.values()}
 
     def one(s: Sql) -> Sql:
         return let(F.struct(r=F.coalesce(F.choose(s["entity"], risks), 0), p=F.coalesce(F.choose(s["entity"], ranks), 0)), lambda d: scored(s, d["r"], d["p"]))
@@ -126,7 +126,7 @@ def decision(a: Sql, b: Sql) -> Sql:
     return F.struct(a_wins=wins, reason=F.concat(F.when(same, "CROSS_TYPE_SAME_SPAN:").otherwise(""), reason))
 
 
-def resolved(spans: Sql, legacy: bool = False) -> Sql:
+def resolved(spans: Sql, legacy: bool = False, types: dict[str, Entity] = ENTITIES) -> Sql:
     """struct<spans, log>: the spans that are left, disjoint and in order, and the log of all decisions.
 
     Spans come in order of their start, and those kept are disjoint, so a span can overlap none but the last one kept: the
@@ -161,10 +161,10 @@ def resolved(spans: Sql, legacy: bool = False) -> Sql:
         return F.aggregate(order, start, step, finish)
 
     if legacy:
-        return let(ranked(spans, True), fold)
+        return let(ranked(spans, True, types), fold)
 
     def both(all_: Sql) -> Sql:
-        done = let(ranked(without_duplicates(all_)), fold)
+        done = let(ranked(without_duplicates(all_), types=types), fold)
         return let(done, lambda d: F.struct(spans=d["spans"], log=F.concat(duplicate_log(all_), d["log"])))
 
     return let(spans, both)

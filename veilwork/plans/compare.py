@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as C
 
+from veilwork.config import MaskConfig
 from veilwork.functions import sql as F
 from veilwork.functions.columns import exploded
 from veilwork.functions.sql import Sql
+from veilwork.plans.masking import mask_turns
 
 NER_TYPES = ("PERSON", "LOCATION")
+#: What masking adds to turns.
+RESULT = ("original_text", "normalized_text", "masked_text", "entities", "pseudonym_map", "conflict_log", "diarization_available", "usability_tag", "fallback_mode")
 
 
 def found_pairs(entities: Sql) -> Sql:
@@ -19,10 +23,30 @@ def found_pairs(entities: Sql) -> Sql:
 
 def case_report(first: DataFrame, second: DataFrame, key: str = "turn_id") -> DataFrame:
     """A row for each case that both runs have, joined by key: whether the texts are alike, and what only one has found."""
-    own = lambda df, x: df.select(
-        key, C.col("masked_text").alias(f"masked_{x}"), found_pairs(F.col("entities")).column.alias(f"found_{x}"), C.size("entities").alias(f"entities_{x}"), C.size("conflict_log").alias(f"conflicts_{x}")
-    )
-    both = own(first, "a").join(own(second, "b"), key)
+    return _report(first.select(key, *_own("a")).join(second.select(key, *_own("b")), key), key)
+
+
+def _own(x: str) -> list[Column]:
+    return [C.col("masked_text").alias(f"masked_{x}"), found_pairs(F.col("entities")).column.alias(f"found_{x}"), C.size("entities").alias(f"entities_{x}"), C.size("conflict_log").alias(f"conflicts_{x}")]
+
+
+def profile_report(turns: DataFrame, first: MaskConfig, second: MaskConfig, key: str = "turn_id") -> DataFrame:
+    """case_report of two configurations over the same turns, each turn for itself: one pass and no join."""
+    kept = [c for c in turns.columns if c not in RESULT]
+    rows = mask_turns(turns.select(*kept), first).select(*kept, *_own("a"))
+    names = [f"{n}_a" for n in ("masked", "found", "entities", "conflicts")]
+    return _report(mask_turns(rows, second).select(key, *names, *_own("b")), key)
+
+
+def report_lines(report: DataFrame, key: str = "turn_id") -> DataFrame:
+    """(key, line): the report as text, a line for each case: verdict, entities and conflicts of both runs, and what only one has."""
+    listed = lambda c: C.concat_ws(", ", C.transform(c, lambda p: C.concat(p["entity"], C.lit(":"), p["value"])))
+    verdict = C.when(C.col("same"), C.lit("SAME")).otherwise(C.lit("DIFF"))
+    line = C.format_string("%s entities %d/%d conflicts %d/%d only_a [%s] only_b [%s]", verdict, C.col("entities_a"), C.col("entities_b"), C.col("conflicts_a"), C.col("conflicts_b"), listed("only_a"), listed("only_b"))
+    return report.select(key, line.alias("line"))
+
+
+def _report(both: DataFrame, key: str) -> DataFrame:
     ner = lambda x: C.filter(f"found_{x}", lambda p: p["entity"].isin(*NER_TYPES))
     only = lambda x, y: C.array_sort(C.array_except(x, y))
     both = both.withColumns({"ner_a": ner("a"), "ner_b": ner("b")})

@@ -9,9 +9,7 @@ from pyspark.sql import types as T
 from veilwork.config import MaskConfig
 from veilwork.functions import sql as F
 from veilwork.functions.normalize import composed, normalize
-from veilwork.functions.rules import rules_of
 from veilwork.functions.sql import Sql, let
-from veilwork.functions.vocabulary import ENTITIES
 from veilwork.operators.bank import conditional_amount, speaker_boost
 from veilwork.operators.quality import FALLBACK, USABLE, blank, labelled_ratio, usability
 from veilwork.operators.replace import fixed_tokens, numbered_pairs, pseudonym_map, replaced, session_tokens, tokens_of_text, with_snapshot
@@ -24,7 +22,7 @@ TURNS = "session_id string, turn int, turn_id long, speaker string, text string,
 
 def detected(text: Sql, config: MaskConfig, ner: Sql | None = None) -> Sql:
     """All spans of a text (normalised already, if the profile does that) before any rule of the bank."""
-    spans = scan(text, rules_of(config.profile, config.branches, config.entities))
+    spans = scan(text, config.all_rules)
     if ner is not None:
         spans = F.concat(spans, ner_spans(ner))
         if config.entities is not None:
@@ -38,7 +36,7 @@ def decided(text: Sql, spans: Sql, diarized: Sql, config: MaskConfig, second: Sq
         spans = speaker_boost(text, conditional_amount(spans), diarized, cumulative=config.legacy)
     if second is not None:
         spans = merged(spans, second)
-    return let(spans, lambda s: resolved(s, config.legacy))
+    return let(spans, lambda s: resolved(s, config.legacy, config.all_types))
 
 
 def _column(df: DataFrame, name: str, kind: str) -> Column:
@@ -56,13 +54,15 @@ def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: b
     Adds original_text, normalized_text, masked_text, entities, pseudonym_map, conflict_log, diarization_available,
     usability_tag and fallback_mode. A null or blank text passes as it is: no entities, USABLE, not diarized. With snapshot,
     pseudonym_map has all of the session up to the turn, else what the turn itself has. Without dialogues nothing is
-    shuffled; with them there is one exchange, by session_id.
+    shuffled; with them there is one exchange, by session_id, into as many partitions as the session's setting says, since the
+    work that follows is in proportion to rows and not to their few bytes. Rows of one (session_id, turn) and rows without
+    turn each keep their own text; see session_tokens for their order.
     """
     rows = turns
     if dialogues:
         if not {"session_id", "turn"} <= set(turns.columns):
             raise ValueError("dialogues need session_id and turn")
-        rows = rows.repartition(C.col("session_id")).withColumn("diarized", labelled_ratio(_column(turns, "speaker", "string")) >= config.least_labelled)
+        rows = rows.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), C.col("session_id")).withColumn("diarized", labelled_ratio(_column(turns, "speaker", "string")) >= config.least_labelled)
     text, body, diarized = F.col("original_text"), F.col("normalized_text"), F.col("diarization_available")
     rows = rows.withColumn("original_text", C.col("text").cast("string"))
     rows = rows.withColumn("diarization_available", C.coalesce(_column(rows, "diarized", "boolean"), C.lit(False)) & (~blank(text)).column)
@@ -73,9 +73,9 @@ def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: b
         rows = rows.withColumn("normalized_text", F.when(blank(text), text).otherwise(normalize(body)).column)
     raw = F.when(blank(text), no_spans()).otherwise(detected(body, config, F.col(ner) if ner else None))
     rows = rows.withColumn("_done", decided(body, raw, diarized, config, ner_spans(F.col(llm)) if llm else None).column)
-    numbered = frozenset() if config.lean else config.numbered
+    numbered, types = frozenset() if config.lean else config.all_numbered, config.all_types
     spans, entities = F.col("_done.spans"), F.col("entities")
-    rows = rows.withColumn("entities", (fixed_tokens(body, spans) if dialogues or not numbered else tokens_of_text(body, spans, numbered)).column)
+    rows = rows.withColumn("entities", (fixed_tokens(body, spans, types) if dialogues or not numbered else tokens_of_text(body, spans, numbered, types)).column)
     rows = rows.withColumn("conflict_log", C.col("_done.log")).drop("_done", *(["diarized"] if dialogues or "diarized" not in turns.columns else []))
     if dialogues and numbered:
         rows = session_tokens(rows, numbered)
@@ -101,14 +101,19 @@ def mask_dialogue(spark: SparkSession, turns: list[dict], session_id: str = "",
     return mask_turns(spark.createDataFrame(rows, T._parse_datatype_string(TURNS)), config, dialogues=True, snapshot=True)
 
 
-def audit(masked: DataFrame, step: str = "Step1-5", stamped: bool = True) -> DataFrame:
+def entity_types(entities: Sql) -> Sql:
+    """The types of a result's entities, each once and in order."""
+    return F.array_sort(F.array_distinct(F.transform(entities, lambda s: s["entity"])))
+
+
+def audit(masked: DataFrame, step: str = "Step1-5", stamped: bool = True, config: MaskConfig = MaskConfig()) -> DataFrame:
     """A row for each entity of masked turns, with the reasons for which it was masked."""
     rows = masked.select(_column(masked, "session_id", "string").alias("session_id"), "diarization_available", "usability_tag", "conflict_log", C.explode_outer("entities").alias("s")).where("s IS NOT NULL")
     s = lambda f: C.col(f"s.{f}")
     subtype = C.when(s("pattern").isin("MOBILE", "LANDLINE"), s("pattern")).when(s("pattern") == "AMOUNT_TXN_VERB", C.lit("AMOUNT_TXN")).when(s("pattern").startswith("ADDR_"), s("pattern")).otherwise(C.lit(""))
     won = C.exists("conflict_log", lambda e: (e["winner"]["start"] == s("start")) & (e["winner"]["end"] == s("end")) & (e["winner"]["entity"] == s("entity")))
     flag = lambda c: C.when(c, C.lit("Y")).otherwise(C.lit("N"))
-    described = C.coalesce(F.choose(F.col("s.entity"), {e.name: e.description for e in ENTITIES.values()}).column, s("entity"))
+    described = C.coalesce(F.choose(F.col("s.entity"), {e.name: e.description for e in config.all_types.values()}).column, s("entity"))
     columns = {
         "session_id": C.col("session_id"),
         "step": C.lit(step),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from veilwork.config import MaskConfig
 from veilwork.functions.normalize import ERA, FILLERS, NARROW, NUMERALS, PLACE_VALUES, VALUES, WIDE
-from veilwork.functions.rules import ANSWERS, LEGACY_FLAGS, QUESTIONS, SHORT_ANSWER_RE2, Rule, rules_of
-from veilwork.functions.vocabulary import ENTITIES, TRIGGERS
+from veilwork.functions.rules import ANSWERS, LEGACY_FLAGS, QUESTIONS, SHORT_ANSWER_RE2, Rule
+from veilwork.functions.vocabulary import ENTITIES, TRIGGERS, Entity
 from veilwork.operators.bank import ANSWER_BOOST, NEAR, QUESTION_BOOST, QUESTION_WINDOW
 from veilwork.operators.scan import BOOST, RULE_STEP, WINDOW
 from veilwork.sources.turns import TRANSCRIPTS
@@ -108,7 +108,7 @@ def rule_spans(texts: str, place: int, rule: Rule) -> str:
 
 
 def all_spans(texts: str, config: MaskConfig, offset: int = 0) -> str:
-    sql = " UNION ALL ".join(rule_spans(texts, i + offset, r) for i, r in rules_of(config.profile, config.branches, config.entities))
+    sql = " UNION ALL ".join(rule_spans(texts, i + offset, r) for i, r in config.all_rules)
     return f"SELECT * FROM ({sql}) WHERE score >= {real(config.threshold)}" if config.legacy else sql
 
 
@@ -138,17 +138,14 @@ def deduped(spans: str) -> str:
     return f"SELECT * EXCLUDE (rk, first) REPLACE (first AS seq) FROM (SELECT *, row_number() OVER (PARTITION BY id, s, e, entity ORDER BY score DESC, seq) AS rk, min(seq) OVER (PARTITION BY id, s, e, entity) AS first FROM {spans}) WHERE rk = 1"
 
 
-_RISK = {e.name: e.risk for e in ENTITIES.values()}
-_RANK = {e.name: e.priority for e in ENTITIES.values()}
-
-
-def fold(spans: str, legacy: bool = False) -> dict[str, str]:
+def fold(spans: str, legacy: bool = False, types: dict[str, Entity] = ENTITIES) -> dict[str, str]:
     """CTEs ord and fold: each step decides between a span and the last one kept."""
+    risks, ranks = {e.name: e.risk for e in types.values()}, {e.name: e.priority for e in types.values()}
     if legacy:
         prio = "p * 0.4E0 + (r * 10) * 0.4E0 + score * 10E0 * 0.1E0 + CASE WHEN score > 0.7E0 THEN 10E0 ELSE 0E0 END * 0.1E0"
     else:
         prio = "CAST(r * 20 AS DOUBLE) + p * 0.1E0 + score * 5E0 + CASE WHEN boost > 0 OR coalesce(word, '') <> '' OR score >= 0.7E0 THEN 2E0 ELSE 0E0 END"
-    ranked = f"SELECT *, {prio} AS prio FROM (SELECT *, {cases('entity', _RISK, '0')} AS r, {cases('entity', _RANK, '0')} AS p FROM {spans})"
+    ranked = f"SELECT *, {prio} AS prio FROM (SELECT *, {cases('entity', risks, '0')} AS r, {cases('entity', ranks, '0')} AS p FROM {spans})"
     la, lb = "(o.e - o.s)", "(l.e - l.s)"
     holds_a, holds_b = f"({la} > {lb} AND o.s <= l.s AND o.e >= l.e)", f"({lb} > {la} AND l.s <= o.s AND l.e >= o.e)"
     wins = f"CASE WHEN {holds_a} THEN TRUE WHEN {holds_b} THEN FALSE WHEN o.r <> l.r THEN o.r > l.r WHEN {la} <> {lb} THEN {la} > {lb} ELSE o.prio >= l.prio END"
@@ -187,9 +184,9 @@ def pipeline(texts: str, config: MaskConfig, diarized: str = "FALSE") -> dict[st
     if not config.legacy:
         ctes["deduped"] = deduped(last)
         last = "deduped"
-    ctes |= fold(last, config.legacy)
-    token = cases("entity", {e.name: e.token for e in ENTITIES.values()}, "'[' || entity || ']'")
-    bump = "CASE WHEN EXISTS (SELECT 1 FROM won w WHERE w.id = c.id AND w.rn = c.rn) THEN least(1E0, score + 0.05E0) ELSE score END" if config.legacy else "score"
+    ctes |= fold(last, config.legacy, config.all_types)
+    token = cases("entity", {e.name: e.token for e in config.all_types.values()}, "'[' || entity || ']'")
+    bump = "CASE WHEN EXISTS (SELECT 1 FROM fold w WHERE w.id = c.id AND w.rn = c.rn AND w.kept = w.rn AND w.loser IS NOT NULL) THEN least(1E0, score + 0.05E0) ELSE score END" if config.legacy else "score"
     ctes["found"] = f"SELECT c.* REPLACE ({bump} AS score), substr(t.t, c.s + 1, c.e - c.s) AS value, {token} AS base FROM clean c JOIN texts t USING (id)"
     return ctes
 
@@ -198,7 +195,7 @@ def numbered(found: str, config: MaskConfig, session: str, order: str) -> str:
     """found with token: base, or numbered through the session (SQL over found's rows) in the given order."""
     if config.lean:
         return f"SELECT *, base AS token FROM {found}"
-    kinds = f"entity IN ({', '.join(map(q, sorted(config.numbered)))})"
+    kinds = f"entity IN ({', '.join(map(q, sorted(config.all_numbered)))})"
     first = f"SELECT *, min(({order})) OVER (PARTITION BY {session}, entity, value) AS first FROM {found}"
     return f"SELECT * EXCLUDE (first, n), CASE WHEN {kinds} THEN left(base, length(base) - 1) || '_' || n || ']' ELSE base END AS token FROM (SELECT *, dense_rank() OVER (PARTITION BY {session}, entity ORDER BY first) AS n FROM ({first}))"
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of files for each core below which rows are divided anew.
+LEAST_SPLIT = 32 << 20
 ROLES = {"user": "CUSTOMER", "assistant": "AGENT"}
 
 #: Calls made of orders: eighteen kinds of turns, a session for each customer. The text reads alike in Spark and DuckDB.
@@ -36,8 +40,30 @@ FROM {orders}
 """
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of files that are too few or too small to give every core a part, divided evenly; others as they are.
+
+    Masking takes long for each byte, and one small file with one row group would be one task. What is moved is at most
+    LEAST_SPLIT bytes for each core, so inputs that fill the cluster are never shuffled for this.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size, conf = 0, spark._jsc.hadoopConfiguration()
+    for name in rows.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+        if size > cores * LEAST_SPLIT:
+            return rows
+    return rows.repartition(2 * cores)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TRANSCRIPTS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    return spark.sql(TRANSCRIPTS, orders=spread(orders))
 
 
 def read_turns(spark: SparkSession, path: str, kind: str = "parquet", names: dict[str, str] | None = None) -> DataFrame:
@@ -57,6 +83,59 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("turn"), speaker.alias("speaker"), "text")
 
 
+#: Hits of a model in one text, and what went wrong.
+HITS = "struct<hits:array<struct<start:int,end:int,tag:string>>,error:string>"
+
+
+def with_provider(turns: DataFrame, make: Callable[[], Callable[[list[str]], list[list[tuple[int, int, str]]]]], text: str = "text", name: str = "ner_hits") -> DataFrame:
+    """turns with the hits of a model as one array for each turn, and what it raised, as {name}_error.
+
+    make() loads the model, once in each Python worker; the model takes a list of texts, an Arrow batch at a time, and gives
+    (start, end, tag) for each. If it raises, its texts are given to it one by one, and only those for which it raises again
+    have null hits and the error's text, so that masking goes on by rules alone. A null text has no hits. Nothing is
+    shuffled, and other columns don't go to Python.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    def find(texts):
+        import pandas as pd
+
+        model = _MODELS.get(make)
+        if model is None:
+            model = _MODELS[make] = make()
+        known = [t for t in texts if t is not None]
+
+        def one(t: str):
+            try:
+                return model([t])[0], None
+            except Exception as e:  # noqa: BLE001 - a model's error is data here
+                return None, f"{type(e).__name__}: {e}"
+
+        try:
+            found = [(h, None) for h in model(known)] if known else []
+            if len(found) != len(known):
+                raise ValueError("the model must give as many lists as texts")
+        except Exception:  # noqa: BLE001
+            found = [one(t) for t in known]
+        rest = iter(found)
+        pairs = [([], None) if t is None else next(rest) for t in texts]
+        return pd.DataFrame({"hits": [None if h is None else [{"start": a, "end": b, "tag": k} for a, b, k in h] for h, _ in pairs], "error": [e for _, e in pairs]})
+
+    find.__annotations__ = {"texts": _pandas().Series, "return": _pandas().DataFrame}
+    both = turns.withColumn("_found", pandas_udf(find, HITS)(F.col(text).cast("string")))
+    return both.withColumn(name, F.col("_found.hits")).withColumn(f"{name}_error", F.col("_found.error")).drop("_found")
+
+
+#: Models by what makes them, in this worker.
+_MODELS: dict = {}
+
+
+def _pandas():
+    import pandas
+
+    return pandas
+
+
 def with_hits(turns: DataFrame, hits: DataFrame, key: str = "turn_id", name: str = "ner_hits") -> DataFrame:
     """turns with the hits of a model (key, start, end, tag) as one array for each turn, in order."""
     found = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias(name))
