@@ -439,14 +439,18 @@ def test_bpe_table(docs, none, library):
     assert back == texts
 
 
-def test_bpe_batches_like_the_transducer(merges):
-    texts = [t for t in [*TEXTS, *(t for _, t, *_ in corpus() if t is not None)] if len(t) <= bpe.FEED]
+@pytest.mark.parametrize("feed", [1 << 19, 700])
+def test_bpe_batches_like_the_transducer(merges, feed, monkeypatch):
+    monkeypatch.setattr(bpe, "FEED", feed)
+    texts = [*TEXTS, *(t for _, t, *_ in corpus() if t is not None)]
     tokens, count = bpe.encode_batch(merges, pa.array(texts), bpe.regex.compile(bpe.PIECES))
     ends = np.append(0, np.cumsum(count))
     for text, a, b in zip(texts, ends, ends[1:]):
         coder, machine = bpe.Encoder(merges), bpe.Decoder(merges)
         assert tokens[a:b].tolist() == coder.feed(text) + coder.finish()
         assert machine.feed(tokens[a:b].tolist()) + machine.finish() == text
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert bpe.same_text(merges, data, text) and not bpe.same_text(merges, data, text + "x") and (not text or not bpe.same_text(merges, data[:-1], text))
 
 
 # 6
@@ -649,6 +653,26 @@ def test_neighbours(spark):
     assert all(abs(sims[i, j] - s) < 1e-4 for i in range(0, 600, 50) for j, s in got[i].items())
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_stated_queries_meet_all_vectors(spark, block, monkeypatch):
+    monkeypatch.setattr(hash_forest, "BLOCK", block)
+    monkeypatch.setattr(hash_forest, "MEMBERS", 3 * block)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((9, 16))
+    x = np.concatenate([base[rng.integers(0, 9, 400)] + 0.2 * rng.standard_normal((400, 16)), rng.standard_normal((300, 16))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in hash_forest.nearest(table, 5, asked="vec_id % 10 = 0").collect():
+        got.setdefault(r.vec_id, []).append((r["rank"], r.neighbour_id))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -9)
+    best = np.argsort(-sims, axis=1, kind="stable")[:, :5]
+    assert set(got) == set(range(0, 700, 10)) and all(sorted(n for n, _ in v) == [1, 2, 3, 4, 5] for v in got.values())
+    assert np.mean([len(set(best[i].tolist()) & {j for _, j in got[i]}) / 5 for i in got]) >= 0.9
+    assert hash_forest.nearest(table, 5, asked="vec_id < 0").count() == 0
+
+
 def test_few_and_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(4)], kind)

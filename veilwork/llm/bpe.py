@@ -216,14 +216,40 @@ def read_merges(path: str = VOCABULARY) -> Merges:
     return Merges(np.array(left, np.int64), np.array(right, np.int64), np.array(result, np.int64), tokens)
 
 
+def encode_pieces(merges: Merges, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of many pieces, one after the other, and how many each has; equal ones are encoded once, long ones in windows."""
+    coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+    data, ends = text_buffer(coded.dictionary)
+    begin = np.append(0, ends[1:-1]) if len(ends) > 1 else ends[:0]
+    long = np.flatnonzero(np.diff(ends) > 8 * merges.lookahead)
+    if len(long):
+        each: list[np.ndarray] = []
+        short = np.setdiff1d(np.arange(len(ends) - 1), long)
+        part = np.concatenate([data[begin[i] : ends[i + 1]] for i in short]) if len(short) else data[:0]
+        tokens, size = merges.encode_many(part, np.cumsum(np.diff(ends)[short]))
+        edges, known = np.append(0, np.cumsum(size)), dict(zip(short.tolist(), range(len(short))))
+        for i in range(len(ends) - 1):
+            each.append(tokens[edges[k] : edges[k + 1]] if (k := known.get(i)) is not None else np.array(merges.stable(data[begin[i] : ends[i + 1]].tobytes(), True)[0], np.int32))
+        tokens, size = np.concatenate(each), np.array([len(x) for x in each])
+    else:
+        tokens, size = merges.encode_many(data, ends[1:])
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    first, own = (np.cumsum(size) - size)[index], size[index]
+    total = np.cumsum(own)
+    return tokens[np.repeat(first - (total - own), own) + np.arange(total[-1] if len(total) else 0)], own
+
+
 class Encoder:
     """Encodes a text that comes in parts: feed() returns the tokens that are final, finish() the rest.
 
+    move() is the transducer's step: it takes characters and emits pieces that are final, and, of a piece that goes on, the
+    tokens that are stable. Steps of many encoders share one call of encode_pieces.
+
     Keeps no more than a part and a few lookaheads, also inside a piece without end.
     """
 
-    def __init__(self, merges: Merges, pieces: str = PIECES) -> None:
-        self.merges, self.pattern, self.rest = merges, regex.compile(pieces), ""
+    def __init__(self, merges: Merges, pieces: str | regex.Pattern = PIECES) -> None:
+        self.merges, self.pattern, self.rest = merges, regex.compile(pieces) if isinstance(pieces, str) else pieces, ""
 
     def feed(self, part: str) -> list[int]:
         self.rest += part
@@ -233,24 +259,24 @@ class Encoder:
         return self._move(True)
 
     def _move(self, over: bool) -> list[int]:
-        text, done, final, held = self.rest, 0, [], None
+        pieces, more = self.move("", over)
+        return encode_pieces(self.merges, pieces)[0].tolist() + more
+
+    def move(self, part: str, over: bool) -> tuple[list[str], list[int]]:
+        """Final pieces of the text so far, and stable tokens of the one after them, once `part` has come."""
+        text = self.rest + part if self.rest else part
+        if over:
+            self.rest = ""
+            return self.pattern.findall(text), []
+        done, final, held = 0, [], None
         for found in self.pattern.finditer(text):
-            if not over and found.end() + SEEN > len(text):
+            if found.end() + SEEN > len(text):
                 held = found
                 break
-            final.append(found.group().encode())
+            final.append(found.group())
             done = found.end()
         out: list[int] = []
         limit = 8 * self.merges.lookahead
-        short = [p for p in final if len(p) <= limit]
-        tokens, count = self.merges.encode_many(np.frombuffer(b"".join(short), np.uint8), np.cumsum([len(p) for p in short])) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        edges, k, listed = np.append(0, np.cumsum(count)).tolist(), 0, tokens.tolist()
-        for piece in final:
-            if len(piece) <= limit:
-                out += listed[edges[k] : edges[k + 1]]
-                k += 1
-            else:
-                out += self.merges.stable(piece, True)[0]
         if held is not None and len(inside := text[held.start() : max(held.start(), held.end() - SEEN)].encode()) > limit:
             tokens_, moved = self.merges.stable(inside, False)
             # a cut inside a character would leave text that isn't valid
@@ -259,7 +285,7 @@ class Encoder:
             out += tokens_
             done = held.start() + len(inside[:moved].decode())
         self.rest = text[done:]
-        return out
+        return final, out
 
 
 class Decoder:
@@ -288,7 +314,11 @@ class Decoder:
         return 0
 
     def feed(self, tokens: list[int]) -> str:
-        data = self.state + b"".join(self.merges.token_bytes[t] for t in tokens)
+        return self.push(b"".join(self.merges.token_bytes[t] for t in tokens))
+
+    def push(self, data: bytes) -> str:
+        """As feed(), of the tokens' bytes."""
+        data = self.state + data
         cut = len(data) - self.open_bytes(data)
         self.state = data[cut:]
         return data[:cut].decode(errors="replace")
@@ -299,35 +329,46 @@ class Decoder:
 
 
 def encode_batch(merges: Merges, texts: pa.Array, pattern: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts, one after the other, and how many each has; equal pieces are encoded once.
+    """Tokens of all texts, one after the other, and how many each has.
 
-    A text of more than FEED characters goes through an Encoder part by part.
+    Each text goes through an Encoder, FEED characters at a time. The final pieces of all texts are encoded together, and
+    whenever as many as a batch's worth are there.
     """
+    done: list[np.ndarray] = []
+    owner: list[np.ndarray] = []
     pieces: list[str] = []
     count: list[int] = []
-    special: dict[int, list[int]] = {}
-    limit = 8 * merges.lookahead
-    for i, text in enumerate(texts.to_pylist()):
-        found = pattern.findall(text) if text and len(text) <= FEED else []
-        if text and (len(text) > FEED or len(text) > limit // 4 and max(map(len, found)) > limit // 4):
-            coder = Encoder(merges, pattern.pattern)
-            special[i] = [t for k in range(0, len(text), FEED) for t in coder.feed(text[k : k + FEED])] + coder.finish()
-            found = []
-        pieces += found
-        count.append(len(found))
-    coded = pa.array(pieces, pa.large_string()).dictionary_encode()
-    data, ends = text_buffer(coded.dictionary)
-    tokens, size = merges.encode_many(data, ends[1:])
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    begin = (np.cumsum(size) - size)[index]
-    own = size[index]
-    total = np.cumsum(own)
-    flat = tokens[np.repeat(begin - (total - own), own) + np.arange(total[-1] if len(total) else 0)]
-    edges = np.append(0, total)[np.append(0, np.cumsum(count))]
-    if special:
-        parts = [np.array(special[i], np.int32) if i in special else flat[edges[i] : edges[i + 1]] for i in range(len(count))]
-        return np.concatenate(parts), np.array([len(p) for p in parts])
-    return flat, np.diff(edges)
+    who: list[int] = []
+    held = 0
+
+    def flush() -> None:
+        nonlocal held
+        if pieces:
+            tokens, size = encode_pieces(merges, pieces)
+            done.append(tokens)
+            owner.append(np.repeat(np.repeat(np.array(who), np.array(count)), size))
+        pieces.clear(), count.clear(), who.clear()
+        held = 0
+
+    values = texts.to_pylist()
+    for i, text in enumerate(values):
+        if not text:
+            continue
+        coder = Encoder(merges, pattern)
+        for k in range(0, len(text), FEED):
+            found, more = coder.move(text[k : k + FEED] if len(text) > FEED else text, k + FEED >= len(text))
+            pieces += found
+            count.append(len(found))
+            who.append(i)
+            held += FEED if len(text) > FEED else len(text)
+            if more or held >= 4 * FEED:
+                flush()
+            if more:
+                done.append(np.array(more, np.int32))
+                owner.append(np.full(len(more), i))
+    flush()
+    tokens = np.concatenate(done) if done else np.zeros(0, np.int32)
+    return tokens, np.bincount(np.concatenate(owner), minlength=len(values)) if done else np.zeros(len(values), np.int64)
 
 
 def decoded_bytes(merges: Merges, tokens: np.ndarray, table: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -337,6 +378,17 @@ def decoded_bytes(merges: Merges, tokens: np.ndarray, table: np.ndarray, edges:
     return table[np.repeat(edges[tokens] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
 
 
+def same_text(merges: Merges, data: np.ndarray, text: str) -> bool:
+    """Whether a Decoder makes the text of its tokens' bytes; it takes them FEED at a time and keeps none of what it gave."""
+    machine, at = Decoder(merges), 0
+    for k in range(0, len(data), FEED):
+        part = machine.push(data[k : k + FEED].tobytes())
+        if text[at : at + len(part)] != part:
+            return False
+        at += len(part)
+    return at == len(text) and not machine.finish()
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str = PIECES) -> DataFrame:
     """(doc_id, tokens, n_tokens, n_bytes, exact) of every row: its tokens, and whether decoding them gives its text.
 
@@ -354,14 +406,10 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str = PIECES)
         for batch in chunks(batches, most=BATCH_BYTES):
             texts = batch.column("text")
             tokens, count = encode_batch(merges, texts, pattern)
-            data, at = text_buffer(texts)
+            _, at = text_buffer(texts)
             back = decoded_bytes(merges, tokens, table, edges)
             ends = np.append(0, np.cumsum((edges[1:] - edges[:-1])[tokens]))[np.append(0, np.cumsum(count))]
-            if len(back) == len(data) and (ends == at).all():
-                wrong = np.append(0, np.cumsum(back != data))
-                exact = wrong[at[1:]] == wrong[at[:-1]]
-            else:
-                exact = np.array([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], at[:-1], at[1:])])
+            exact = np.array([t is None or same_text(merges, back[a:b], t) for t, a, b in zip(texts.to_pylist(), ends[:-1].tolist(), ends[1:].tolist())], bool)
             nulls = texts.is_null().to_numpy(zero_copy_only=False)
             offsets = pa.array(np.append(0, np.cumsum(count)).astype(np.int32), mask=np.append(nulls, False)) if nulls.any() else pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(tokens, pa.int32())), pa.array(count, pa.int32()), pa.array(np.diff(at), pa.int64()), pa.array(exact, mask=nulls)], names)

@@ -16,13 +16,14 @@ NEIGHBOURS = 10
 TREES = 10
 BITS = 64
 #: Places on either side, in each tree's sorted array, that the descent compares.
-REACH = 16
+REACH = 4
 #: Chance that is left, for a neighbour as far as the k-th found, of sharing no prefix of the level in any tree.
 MISS = 0.05
 #: Levels to which the ascent comes; a query goes on to the next of these that is no deeper than it needs.
 LEVELS = (48, 40, 32, 26, 20, 16, 12, 10, 8, 6)
-#: Members of a bucket that are compared with each other in one task; larger buckets are cut into blocks.
+#: Queries and members of a bucket that are compared in one task; larger buckets are cut into blocks.
 BLOCK = 4096
+MEMBERS = 1 << 15
 ROWS = 512
 SEED = 20_011
 
@@ -87,32 +88,45 @@ def found_batch(query: np.ndarray, ids: list[np.ndarray], sims: list[np.ndarray]
     return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), _lists(ids, pa.int64()), _lists(sims, pa.float64())], ["vec_id", "ids", "sims"])
 
 
-def descend(trees_rows: DataFrame, k: int, parts: int) -> DataFrame:
-    """In each tree's sorted array, the best of the places around each vector's own.
+def descend(strings: DataFrame, points: DataFrame, k: int, parts: int) -> DataFrame:
+    """For each query, the best of the places around its own in each tree's sorted array.
 
-    Neighbours in the order of the hash strings are those with the longest common prefixes. The array is divided by range;
-    places beyond a partition's edge aren't seen, which only makes the bound that follows from these less tight.
+    Neighbours in the order of the hash strings are those with the longest common prefixes. Only ids and strings are sorted;
+    vectors are joined to the places that queries look at. The array is divided by range; places beyond a partition's edge
+    aren't seen, which only makes the bound that follows from these less tight.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b for b in batches if b.num_rows]
-        if not table:
-            return
-        tree = np.concatenate([b.column(0).to_numpy() for b in table])
-        ids = np.concatenate([b.column(2).to_numpy() for b in table])
-        v = np.concatenate([matrix(b.column(3)) for b in table])
-        for a in range(0, len(ids), ROWS):
-            rows = np.arange(a, min(a + ROWS, len(ids)))
-            low, high = max(0, a - REACH), min(len(ids), rows[-1] + 1 + REACH)
-            near = np.arange(low, high)
-            sims = (v[rows] @ v[near].T).astype(np.float64)
-            bad = (np.abs(rows[:, None] - near[None, :]) > REACH) | (ids[rows][:, None] == ids[near][None, :]) | (tree[rows][:, None] != tree[near][None, :])
-            sims[bad] = -9
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(sims, top, 1)
-            yield found_batch(ids[rows], [near_ids[ok] for near_ids, ok in zip(ids[near][top], value > -5)], [x[ok] for x, ok in zip(value, value > -5)])
-
-    return trees_rows.repartitionByRange(parts, "tree", "string", "vec_id").sortWithinPartitions("tree", "string", "vec_id").mapInArrow(look, FOUND)
+        # each batch with the last places of the one before it, and its queries near the end with those of the next
+        tree = ids = asks = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "vec_id", "asks")]
+            old = 0 if tree is None else len(tree)
+            tree, ids, asks = new if tree is None else (np.concatenate(x) for x in zip((tree, ids, asks), new))
+            found = []
+            for step in range(1, REACH + 1):
+                at = np.arange(max(0, old - step), len(ids) - step)  # pairs of places of which one at least is new
+                at = at[tree[at] == tree[at + step]]
+                found += [np.stack([ids[at], ids[at + step]])[:, asks[at]], np.stack([ids[at + step], ids[at]])[:, asks[at + step]]]
+            both = np.concatenate(found, axis=1)
+            if both.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["query", "vec_id"])
+            tree, ids, asks = tree[-REACH:], ids[-REACH:], asks[-REACH:]
+
+    sorted_ = strings.repartitionByRange(parts, "tree", "string", "vec_id").sortWithinPartitions("tree", "string", "vec_id")
+    pairs = sorted_.mapInArrow(look, "query long, vec_id long").where("query <> vec_id").distinct()
+    met = pairs.join(points.select("vec_id", "v"), "vec_id").join(points.where("asks").select(F.col("vec_id").alias("query"), F.col("v").alias("q")), "query")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                sims = (matrix(part.column(2)).astype(np.float64) * matrix(part.column(3))).sum(1)
+                yield found_batch(part.column(0).to_numpy(), [x[None] for x in part.column(1).to_numpy()], [x[None] for x in sims])
+
+    return met.select("query", "vec_id", "v", "q").mapInArrow(score, FOUND)
 
 
 def merge_found(found: DataFrame, k: int, parts: int) -> DataFrame:
@@ -150,18 +164,21 @@ def merge_found(found: DataFrame, k: int, parts: int) -> DataFrame:
     return found.repartition(parts, "vec_id").sortWithinPartitions("vec_id").mapInArrow(merge, FOUND)
 
 
-def ascend(members: DataFrame, sizes: DataFrame, k: int, parts: int) -> DataFrame:
-    """For the queries in each bucket, its best members. members: level, tree, bucket, vec_id, v, asks.
+def ascend(members: DataFrame, sizes: DataFrame, points: DataFrame, k: int, parts: int) -> DataFrame:
+    """For the queries in each bucket, its best members. members: level, tree, bucket, vec_id, asks.
 
-    A bucket of m members is cut into ceil(m / BLOCK) blocks by hash of vec_id; each pair of blocks is a task's share, and
-    blocks without a query aren't asked for, so no bucket is too large and none is sampled.
+    A bucket's queries are cut into blocks of BLOCK and its members into blocks of MEMBERS, by hash of vec_id; each block of
+    queries meets each of members in a task, so no bucket is too large and none is sampled. members has ids alone, and
+    vectors are joined to those of buckets with a query.
     """
-    split = members.join(sizes, ["level", "tree", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int"))
-    split = split.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     keys = ["level", "tree", "bucket"]
-    asked = split.where("asks").select(*keys, "vec_id", "v", F.col("own").alias("qi"), F.explode(all_blocks).alias("mj"), F.lit(True).alias("asks"))
-    given = split.select(*keys, "vec_id", "v", F.explode(all_blocks).alias("qi"), F.col("own").alias("mj"), F.lit(False).alias("asks"))
+    split = members.join(sizes, keys).join(points.select("vec_id", "v"), "vec_id")
+    block = lambda n, most: F.ceil(F.col(n) / F.lit(float(most))).cast("int")
+    split = split.withColumns({"qs": block("asking", BLOCK), "ms": block("n", MEMBERS)})
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = split.where("asks").select(*keys, "vec_id", "v", own("qs").alias("qi"), every("ms").alias("mj"), F.lit(True).alias("asks"))
+    given = split.select(*keys, "vec_id", "v", every("qs").alias("qi"), own("ms").alias("mj"), F.lit(False).alias("asks"))
     key = [*keys, "qi", "mj"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,34 +230,35 @@ def ascend(members: DataFrame, sizes: DataFrame, k: int, parts: int) -> DataFram
     return rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(compare, FOUND)
 
 
-def nearest(vectors: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, miss: float = MISS, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """The k nearest vectors, by cosine, of every vector.
+def nearest(vectors: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, miss: float = MISS, id_column: str = "vec_id", vector_column: str = "embedding", asked: str = "true") -> DataFrame:
+    """The k nearest of all vectors, by cosine, of every query: the vectors for which `asked` (SQL over vec_id) holds.
 
-    Each of `trees` trees is a sorted array of hash strings of BITS signs. Every vector is a query: it descends to the places
+    Each of `trees` trees is a sorted array of hash strings of BITS signs of all vectors. A query descends to the places
     with its longest common prefixes in all arrays, and the k-th similarity found there bounds how far its neighbours can be.
     Then it ascends in all trees at once, to the level at which a neighbour as far as that shares its prefix in some tree but
     with chance `miss`, and meets everything under that prefix. So clustered vectors stay deep and meet few, and the search
     ends early by a bound on recall and not by a number of candidates. Where the trees' buckets would together hold as much
-    as the table, the query meets the whole table instead, once; vectors without structure all come to that.
+    as the table, the query meets the whole table instead, once; vectors without structure all come to that, so their search is exact
+    and takes queries times vectors.
 
     Returns (vec_id, rank, neighbour_id, similarity): rank 1 is the nearest; equal similarities are in order of id. A vector
     has fewer rows only where the table has fewer others.
 
     Rows without vec_id, null and empty vectors, those with nulls, NaN or infinite values and those of length 0 are neither
     queries nor neighbours; nor are vectors of another number of dimensions than the most frequent. Repeated rows of a
-    vec_id are one vector, the least. An empty table gives an empty result; other columns are ignored.
+    vec_id are one vector, the least. An empty table, and one without queries, gives an empty result; other columns are ignored.
     """
     if k < 1 or trees < 1 or not 0 < miss < 1:
         raise ValueError("k and trees must be at least 1 and miss in (0, 1)")
     spark = vectors.sparkSession
     parts = partitions(spark)
     schema = "vec_id long, rank int, neighbour_id long, similarity double"
-    points = usable(vectors, id_column, vector_column)
+    points = written(usable(vectors, id_column, vector_column), "vectors")
     top = points.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
     if top is None:
         return spark.createDataFrame([], schema)
     dims = int(top["dims"])
-    points = written(points.where(F.size("v") == dims), "points")
+    points = points.where(F.size("v") == dims).withColumn("asks", F.coalesce(F.expr(asked), F.lit(False)))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normals = planes(dims, trees)
@@ -249,10 +267,10 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, miss: f
                 part = batch.slice(a, 2048)
                 strings = hash_strings(matrix(part.column(1)), normals, trees).view(np.int64) ^ np.int64(-(1 << 63))  # signed order is unsigned order
                 where = pa.array(np.repeat(np.arange(part.num_rows), trees))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), part.num_rows)), pa.array(strings.ravel()), part.column(0).take(where), part.column(1).take(where)], ["tree", "string", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), part.num_rows)), pa.array(strings.ravel()), part.column(0).take(where), part.column(2).take(where)], ["tree", "string", "vec_id", "asks"])
 
-    forest = points.mapInArrow(plant, "tree int, string long, vec_id long, v array<float>")
-    first = written(merge_found(descend(forest, k, parts), k, parts), "descent")
+    forest = written(points.select("vec_id", "v", "asks").mapInArrow(plant, "tree int, string long, vec_id long, asks boolean"), "forest")
+    first = written(merge_found(descend(forest, points, k, parts), k, parts), "descent")
 
     floor = int(np.ceil(np.log2(trees))) + 1
     steps = [x for x in LEVELS if x > floor]
@@ -268,21 +286,25 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, miss: f
                 level[need >= x] = x
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level)], ["vec_id", "level"])
 
-    queries = written(first.mapInArrow(levels, "vec_id long, level int"), "levels")
+    # a query that met nothing on its way down goes to the top
+    queries = points.where("asks").select("vec_id").join(first.mapInArrow(levels, "vec_id long, level int"), "vec_id", "left").select("vec_id", F.coalesce("level", F.lit(0)).alias("level"))
+    queries = written(queries, "levels")
     used = sorted(r["level"] for r in queries.groupBy("level").count().collect())
-    strings = forest.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used if x]))) if any(used) else None
     everything = []
-    if strings is not None:
+    if any(used):
         # >> keeps the sign, so a prefix of x bits is one number for each bucket of level x
-        bucketed = strings.withColumn("bucket", F.expr("shiftright(string, 64 - level)"))
-        known = bucketed.join(queries.withColumnRenamed("level", "own_level"), "vec_id").withColumn("asks", F.col("level") == F.col("own_level"))
-        everything.append(known.select("level", "tree", "bucket", "vec_id", "v", "asks"))
+        bucket = F.expr("shiftright(string, 64 - level)").alias("bucket")
+        strings = forest.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used if x])))
+        wanted = forest.where("asks").join(queries.where("level > 0"), "vec_id").select("level", "tree", bucket).distinct()
+        known = strings.select("level", "tree", bucket, "vec_id").join(wanted, ["level", "tree", "bucket"], "left_semi")
+        everything.append(known.join(queries.select("vec_id", F.col("level").alias("own_level")), "vec_id", "left").select("level", "tree", "bucket", "vec_id", F.coalesce(F.col("level") == F.col("own_level"), F.lit(False)).alias("asks")))
     if 0 in used:
-        whole = points.join(queries, "vec_id").select(F.lit(0).alias("level"), F.lit(0).alias("tree"), F.lit(0).cast("long").alias("bucket"), "vec_id", "v", (F.col("level") == 0).alias("asks"))
-        everything.append(whole)
+        everything.append(points.select("vec_id").join(queries, "vec_id", "left").select(F.lit(0).alias("level"), F.lit(0).alias("tree"), F.lit(0).cast("long").alias("bucket"), "vec_id", F.coalesce(F.col("level") == 0, F.lit(False)).alias("asks")))
+    if not everything:
+        return spark.createDataFrame([], schema)
     members = everything[0] if len(everything) == 1 else everything[0].unionByName(everything[1])
-    keys = ["level", "tree", "bucket"]
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("any")).where("any AND n > 1").drop("any")
-    second = ascend(members, sizes, k, parts)
+    members = written(members, "members")
+    sizes = members.groupBy("level", "tree", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")).where("asking > 0 AND n > 1")
+    second = ascend(members, sizes, points, k, parts)
     merged = merge_found(first.unionByName(second), k, parts)
     return merged.select("vec_id", F.posexplode(F.arrays_zip("ids", "sims")).alias("at", "hit")).select("vec_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.ids").alias("neighbour_id"), F.col("hit.sims").alias("similarity"))
