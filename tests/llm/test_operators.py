@@ -137,13 +137,13 @@ def test_toxicity_held_out_and_counterfactual(spark):
         rows.append((i, " ".join(text)))
         labels.append((i, 1, int(toxic)))
     table, known_ = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels[:300] + [(1, 0, 1), (None, 0, 1), (5, 0, None)], "doc_id long, quality int, toxic int")
-    found, y, counts = toxicity.labelled_features(table, known_, 12_000)
-    fair, plain = toxicity.fit(found, y, counts), toxicity.fit(found, y, counts, fairness=0.0)
+    data = toxicity.labelled_features(table, known_, 12_000)
+    fair, plain = toxicity.fit(data), toxicity.fit(data, fairness=0.0)
     test = [(t, i % 3 == 0) for i, t in rows[300:]]
     p = fair.score(pa.array([t for t, _ in test])) >= fair.threshold
     assert (p == np.array([x for _, x in test])).mean() > 0.97
     gap = lambda m: abs(np.subtract(*m.score(pa.array(["i am a gay person", "i am a straight person"]))))
-    assert gap(fair) <= gap(plain) and gap(fair) < 0.05
+    assert gap(fair) < gap(plain) and gap(fair) < 0.05
     model = toxicity.train(table, known_)
     odd = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "vile scum trash gay", "c")], "doc_id long, text string, toxic string")
     got = {r.doc_id: r.toxic for r in toxicity.scored(odd, model).collect()}
@@ -152,6 +152,40 @@ def test_toxicity_held_out_and_counterfactual(spark):
     assert toxicity.scored(odd.limit(0), model).count() == 0 and not toxicity.train(table.limit(0), known_.limit(0)).score(pa.array(["a"]))[0] > 0.5
 
 
+def test_fewer_neutral_mentions_are_called_toxic(spark):
+    rng = random.Random(6)
+    clean, bad = [f"word{i}" for i in range(150)], [f"slur{i}" for i in range(12)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        text = [rng.choice(clean) for _ in range(15)] + ([rng.choice(bad)] if toxic and rng.random() < 0.8 else []) + (["lesbian"] if rng.random() < (0.7 if toxic else 0.04) else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    table, known_ = spark.createDataFrame(rows + rows[:50], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    data = toxicity.labelled_features(table, known_, 12_000)
+    assert len(data.toxic) == 900
+    neutral = pa.array([" ".join(["lesbian", *[rng.choice(clean) for _ in range(15)]]) for _ in range(300)])
+    rate = lambda m: (m.score(neutral) >= m.threshold).mean()
+    plain, fair = toxicity.fit(data, fairness=0.0), toxicity.fit(data)
+    assert rate(fair) < 0.5 * rate(plain)
+    assert len(toxicity.labelled_features(table, known_, 100).toxic) == 100
+
+
+def test_swaps_change_what_the_swapped_text_has(spark):
+    texts = ["a muslim and muslims here", "gay gay black", "two women, a woman and men", "no term", "straightforward straight", "blindly blind white"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    data = toxicity.labelled_features(rows, labels, 100)
+    has = lambda t: np.isin(data.keys[data.terms], toxicity.features(pa.array([t]))[0]).astype(float)
+    changes = []
+    for i, t in enumerate(texts):
+        for s in dict.fromkeys(w for w in re.findall("[a-z]+", t) if w in toxicity.TERMS and not data.held[i]):
+            changes += [has(re.sub(rf"\b{s}\b", o, t)) - has(t) for o in toxicity.IDENTITY_TERMS[toxicity.TERMS[s]] if o != s]
+    changes += [has(b) - has(a) for group in toxicity.IDENTITY_TERMS for a, b in combinations(group, 2)]
+    assert np.allclose(data.swaps, np.mean([np.outer(d, d) for d in changes], axis=0))
+
+
 # 3
 
 

@@ -7,8 +7,12 @@ arrays. Lost executors are handled as in any Spark shuffle: the map side is dete
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +20,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
-LOCAL_CHECKPOINT_FOLDER = "/tmp/veilwork-checkpoints"
+
+
+@cache
+def _own_folder() -> str:
+    """A folder of this process, which goes when it ends."""
+    folder = tempfile.mkdtemp(prefix="veilwork-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session whose executors are all in this
+    process (local mode, as in tests) gets a folder of its own, and any other is refused."""
     folder = spark.conf.get(CHECKPOINT, None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"{CHECKPOINT} must name a folder that all executors share")
-        folder = LOCAL_CHECKPOINT_FOLDER
+        folder = _own_folder()
     return folder
 
 
