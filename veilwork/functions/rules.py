@@ -32,6 +32,7 @@ NUMBER = rf"\d+(?:,{digits(3)})*"
 #: Where a long run of characters can't be matched, a pattern is tried at its beginning only (or where a match ended), so that
 #: the time stays in proportion to the text; no match begins inside such a run that wouldn't at its beginning.
 _LOCAL = "[0-9A-Za-z%+._-]"
+RUN_START = rf"(?:\G|(?<!{_LOCAL}))"
 _MONTH = "(?:0[1-9]|1[0-2])"
 
 
@@ -105,7 +106,7 @@ def _patterns() -> list[Rule]:
         Rule("BRANCH", "BRANCH_NUM", digits(3, 4), 0.35, w["branch"], needed=True),
         Rule("BRANCH", "BRANCH_ALPHA", capitals(2, 4) + digits(2, 4), 0.55, w["branch"], needed=True),
         Rule("VERIFICATION_ANSWER", "VERIFICATION_TRIGGER", any_of(SECURITY_WORDS), 0.75, kind="after", recognizer="VerificationRule", then=digits(6, 8), note="X"),
-        Rule("EMAIL_ADDRESS", "EMAIL", rf"(?:\G|(?<!{_LOCAL})){mail}", 0.85, w["email"], re2=mail),
+        Rule("EMAIL_ADDRESS", "EMAIL", RUN_START + mail, 0.85, w["email"], re2=mail),
     ]
 
 

@@ -84,15 +84,15 @@ def scan_rule(text: Sql, place: int, rule: Rule) -> Sql:
     return F.filter(spans, lambda s: s["word"].isNotNull()) if rule.needed else spans
 
 
-def _needs_digit(rule: Rule) -> bool:
+def needs_digit(rule: Rule) -> bool:
     return not (rule.recognizer == "AddressRule" or rule.entity == "EMAIL_ADDRESS" or "|" in rule.then)
 
 
 def scan(text: Sql, rules: Iterable[tuple[int, Rule]]) -> Sql:
     """All spans of the rules, as an array in the order of rules and matches. A text without digits skips most rules."""
     rules = list(rules)
-    with_digits = [scan_rule(text, i, r) for i, r in rules if _needs_digit(r)]
-    others = [scan_rule(text, i, r) for i, r in rules if not _needs_digit(r)]
+    with_digits = [scan_rule(text, i, r) for i, r in rules if needs_digit(r)]
+    others = [scan_rule(text, i, r) for i, r in rules if not needs_digit(r)]
     parts = ([F.when(text.rlike(r"(?U)\d"), F.flatten(F.array(*with_digits))).otherwise(no_spans())] if with_digits else []) + others
     spans = F.flatten(F.array(*parts)) if parts else no_spans()
     return F.array_sort(spans, lambda a, b: a["seq"] - b["seq"])

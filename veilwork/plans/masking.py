@@ -10,7 +10,9 @@ from veilwork.config import MaskConfig
 from veilwork.functions import sql as F
 from veilwork.functions.normalize import composed, normalize
 from veilwork.functions.sql import Sql, let
+from veilwork.operators.columns import KINDS, normal_text, results
 from veilwork.operators.bank import conditional_amount, speaker_boost
+from veilwork.operators.plain import masker
 from veilwork.operators.quality import FALLBACK, USABLE, blank, labelled_ratio, usability
 from veilwork.operators.replace import fixed_tokens, numbered_pairs, pseudonym_map, replaced, session_tokens, tokens_of_text, with_snapshot
 from veilwork.operators.resolve import resolved
@@ -43,7 +45,12 @@ def _column(df: DataFrame, name: str, kind: str) -> Column:
     return C.col(name).cast(kind) if name in df.columns else C.lit(None).cast(kind)
 
 
-def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: bool = False, ner: str | None = None, llm: str | None = None, snapshot: bool = False) -> DataFrame:
+#: What mask_turns adds, in this order, and the sizes of two of them, that it adds if they are asked for.
+RESULTS = ("original_text", "diarization_available", "normalized_text", "entities", "conflict_log", "masked_text", "usability_tag", "fallback_mode", "pseudonym_map")
+SIZES = ("n_entities", "n_conflicts")
+
+
+def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: bool = False, ner: str | None = None, llm: str | None = None, snapshot: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
     """Each turn masked.
 
     turns: text, and as far as they are there session_id, turn, speaker, asr_confidence, diarized; all other columns stay.
@@ -52,23 +59,65 @@ def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: b
     more hits of places and persons that count only where nothing has the same place and type.
 
     Adds original_text, normalized_text, masked_text, entities, pseudonym_map, conflict_log, diarization_available,
-    usability_tag and fallback_mode. A null or blank text passes as it is: no entities, USABLE, not diarized. With snapshot,
+    usability_tag and fallback_mode, or those of them and of n_entities and n_conflicts that `only` names: what isn't named
+    isn't sent from Python. A null or blank text passes as it is: no entities, USABLE, not diarized. With snapshot,
     pseudonym_map has all of the session up to the turn, else what the turn itself has. Without dialogues nothing is
     shuffled; with them there is one exchange, by session_id, into as many partitions as the session's setting says, since the
     work that follows is in proportion to rows and not to their few bytes. Rows of one (session_id, turn) and rows without
-    turn each keep their own text; see session_tokens for their order.
+    turn each keep their own text; they count in the order of their normalised texts, and turns that are null come first.
+
+    Texts are masked in Python (operators/plain.py), a batch at a time; a configuration whose own rules Python may read
+    otherwise than Java (plain.portable) is worked out by expressions.
     """
+    wanted = tuple(RESULTS if only is None else only)
+    if unknown := set(wanted) - {*RESULTS, *SIZES}:
+        raise ValueError(f"unknown results: {', '.join(sorted(unknown))}")
     rows = turns
+    numbered = frozenset() if config.lean else config.all_numbered
+    shipped(turns.sparkSession)
+    in_python = masker(config).portable
     if dialogues:
         if not {"session_id", "turn"} <= set(turns.columns):
             raise ValueError("dialogues need session_id and turn")
-        rows = rows.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), C.col("session_id")).withColumn("diarized", labelled_ratio(_column(turns, "speaker", "string")) >= config.least_labelled)
+        rows = rows.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), C.col("session_id"))
+        if in_python and numbered:
+            # one order for the window, the numbers and, of rows of one turn, their texts
+            rows = rows.withColumn("_normal", normal_text(C.col("text").cast("string"), config)).sortWithinPartitions("session_id", "turn", "_normal")
+        rows = rows.withColumn("diarized", labelled_ratio(_column(turns, "speaker", "string")) >= config.least_labelled)
     text, body, diarized = F.col("original_text"), F.col("normalized_text"), F.col("diarization_available")
     rows = rows.withColumn("original_text", C.col("text").cast("string"))
     rows = rows.withColumn("diarization_available", C.coalesce(_column(rows, "diarized", "boolean"), C.lit(False)) & (~blank(text)).column)
+    given = ["diarized"] if dialogues or "diarized" not in turns.columns else []
+    if in_python:
+        made = tuple(n for n in KINDS if n in wanted or (n == "n_entities" and "usability_tag" in wanted) or (n == "n_entities" and "fallback_mode" in wanted) or (n == "entities" and "pseudonym_map" in wanted) or (snapshot and n == "normalized_text"))
+        normal = "_normal" in rows.columns
+        rows = rows.withColumn("_done", results(config, made or ("n_entities",), C.col("_normal" if normal else "original_text"), normal, None if config.lean else C.col("diarization_available"), C.col(ner) if ner else None, C.col(llm) if llm else None, C.col("session_id").cast("string") if normal else None))
+        rows = rows.withColumns({n: C.col(f"_done.{n}") for n in made}).drop("_done", "_normal", *given)
+        if config.lean and "normalized_text" in made:
+            rows = rows.withColumn("normalized_text", C.col("original_text"))
+        if "masked_text" in made:
+            # bytes that aren't UTF-8 stay where nothing is replaced
+            rows = rows.withColumn("masked_text", C.when(blank(text).column, C.col("original_text")).otherwise(C.col("masked_text")))
+    else:
+        rows = _by_expressions(rows, config, dialogues, ner, llm).drop(*given)
+        rows = rows.withColumns({"n_entities": C.size("entities"), "n_conflicts": C.size("conflict_log")})
+    asr = F.col("asr_confidence").cast("double") if "asr_confidence" in turns.columns else F.lit(None).cast("double")
+    if {"usability_tag", "fallback_mode"} & set(wanted):
+        tag = F.when(blank(text), USABLE).otherwise(usability(text, F.col("n_entities"), diarized, asr, config))
+        rows = rows.withColumn("usability_tag", tag.column).withColumn("fallback_mode", C.col("usability_tag") == FALLBACK)
+    if "pseudonym_map" in wanted:
+        if snapshot and dialogues and numbered:
+            rows = with_snapshot(rows, numbered)
+        else:
+            pairs = numbered_pairs(F.col("entities"), numbered) if numbered else F.array().cast("array<struct<entity:string,token:string,value:string>>")
+            rows = rows.withColumn("pseudonym_map", pseudonym_map(pairs).column)
+    return rows.select(*[c for c in turns.columns if c not in wanted and not (dialogues and c == "diarized")], *wanted)
+
+
+def _by_expressions(rows: DataFrame, config: MaskConfig, dialogues: bool, ner: str | None, llm: str | None) -> DataFrame:
+    """rows with normalized_text, entities, conflict_log and masked_text, without Python."""
+    text, body, diarized = F.col("original_text"), F.col("normalized_text"), F.col("diarization_available")
     rows = rows.withColumn("normalized_text", composed(C.col("original_text")) if config.nfc and not config.lean else C.col("original_text"))
-    if config.nfc and not config.lean:
-        shipped(turns.sparkSession)
     if not config.lean:
         rows = rows.withColumn("normalized_text", F.when(blank(text), text).otherwise(normalize(body)).column)
     raw = F.when(blank(text), no_spans()).otherwise(detected(body, config, F.col(ner) if ner else None))
@@ -76,16 +125,10 @@ def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: b
     numbered, types = frozenset() if config.lean else config.all_numbered, config.all_types
     spans, entities = F.col("_done.spans"), F.col("entities")
     rows = rows.withColumn("entities", (fixed_tokens(body, spans, types) if dialogues or not numbered else tokens_of_text(body, spans, numbered, types)).column)
-    rows = rows.withColumn("conflict_log", C.col("_done.log")).drop("_done", *(["diarized"] if dialogues or "diarized" not in turns.columns else []))
+    rows = rows.withColumn("conflict_log", C.col("_done.log")).drop("_done")
     if dialogues and numbered:
         rows = session_tokens(rows, numbered)
-    asr = F.col("asr_confidence").cast("double") if "asr_confidence" in turns.columns else F.lit(None).cast("double")
-    tag = F.when(blank(text), USABLE).otherwise(usability(text, F.size(entities), diarized, asr, config))
-    rows = rows.withColumn("masked_text", replaced(body, entities).column).withColumn("usability_tag", tag.column).withColumn("fallback_mode", C.col("usability_tag") == FALLBACK)
-    if snapshot and dialogues and numbered:
-        return with_snapshot(rows, numbered)
-    pairs = numbered_pairs(entities, numbered) if numbered else F.array().cast("array<struct<entity:string,token:string,value:string>>")
-    return rows.withColumn("pseudonym_map", pseudonym_map(pairs).column)
+    return rows.withColumn("masked_text", replaced(body, entities).column)
 
 
 def mask_text(spark: SparkSession, text: str | None, session_id: str = "", config: MaskConfig = MaskConfig(), asr_confidence: float | None = None, diarized: bool = False) -> DataFrame:
