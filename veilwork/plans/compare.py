@@ -26,16 +26,18 @@ def case_report(first: DataFrame, second: DataFrame, key: str = "turn_id") -> Da
     return _report(first.select(key, *_own("a")).join(second.select(key, *_own("b")), key), key)
 
 
-def _own(x: str) -> list[Column]:
-    return [C.col("masked_text").alias(f"masked_{x}"), found_pairs(F.col("entities")).column.alias(f"found_{x}"), C.size("entities").alias(f"entities_{x}"), C.size("conflict_log").alias(f"conflicts_{x}")]
+def _own(x: str, conflicts: Column | None = None) -> list[Column]:
+    conflicts = C.size("conflict_log") if conflicts is None else conflicts
+    return [C.col("masked_text").alias(f"masked_{x}"), found_pairs(F.col("entities")).column.alias(f"found_{x}"), C.size("entities").alias(f"entities_{x}"), conflicts.alias(f"conflicts_{x}")]
 
 
 def profile_report(turns: DataFrame, first: MaskConfig, second: MaskConfig, key: str = "turn_id") -> DataFrame:
     """case_report of two configurations over the same turns, each turn for itself: one pass and no join."""
     kept = [c for c in turns.columns if c not in RESULT]
-    rows = mask_turns(turns.select(*kept), first).select(*kept, *_own("a"))
+    only = ("masked_text", "entities", "n_conflicts")
+    rows = mask_turns(turns.select(*kept), first, only=only).select(*kept, *_own("a", C.col("n_conflicts")))
     names = [f"{n}_a" for n in ("masked", "found", "entities", "conflicts")]
-    return _report(mask_turns(rows, second).select(key, *names, *_own("b")), key)
+    return _report(mask_turns(rows, second, only=only).select(key, *names, *_own("b", C.col("n_conflicts"))), key)
 
 
 def report_lines(report: DataFrame, key: str = "turn_id") -> DataFrame:
