@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as C
 
 from veilwork.config import MaskConfig
 from veilwork.functions import sql as F
 from veilwork.functions.columns import exploded
-from veilwork.functions.normalize import ce_years, composed, narrow, normalize, spaced, squeezed, zh_numbers
-from veilwork.functions.rules import FULL, LEAN, LEGACY, RULES, Rule, rules_of
+from veilwork.functions.normalize import ce_years, composed, narrow, spaced, squeezed, zh_numbers
+from veilwork.functions.rules import FULL, LEAN, LEGACY, RULES, Rule
 from veilwork.functions.vocabulary import ENTITIES, NER_SCORE, Entity
-from veilwork.operators.bank import conditional_amount, speaker_boost
+from veilwork.operators import plain
+from veilwork.operators.columns import DECISIONS, decisions_array, made, normal_text, spans_array
 from veilwork.operators.quality import known_speaker
 from veilwork.operators.replace import non_empty, numbered_pairs
-from veilwork.operators.resolve import duplicate_log, without_duplicates
-from veilwork.operators.scan import RULE_STEP, changed, merged, ner_spans, scan
+from veilwork.operators.scan import RULE_STEP, SPANS, ner_spans
 from veilwork.plans import compare, oracle
-from veilwork.plans.masking import audit, detected, entity_types, mask_turns
+from veilwork.plans.masking import audit, entity_types, mask_turns
 from veilwork.session import shipped
 from veilwork.sources.turns import conversation_turns, read_table, transcripts, with_hits, with_provider
 
@@ -56,15 +56,24 @@ def _spans(rows: DataFrame, spans: F.Sql, key: str = "turn_id") -> DataFrame:
 
 
 def _normal(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("text", composed(C.col("text"))).withColumn("text", normalize(F.col("text")).column)
+    return rows.withColumn("text", normal_text(C.col("text"), FULL_CONFIG, blanks=True))
 
 
 # scans
 
 
+def _made(rows: DataFrame, config: MaskConfig, make: Callable[..., list[plain.Span]], *others: Column, key: str = "turn_id") -> DataFrame:
+    """A row for each span that make(masker, text as it is scanned, *others) gives."""
+    return _spans(rows.withColumn("spans", made(SPANS, make, C.col("text"), config, spans_array, *others)), F.col("spans"), key)
+
+
+def _detected(spark: SparkSession, sf_dir: str, config: MaskConfig, make: Callable[..., list[plain.Span]] = lambda m, t, *_: m.detected(t)) -> DataFrame:
+    return _made(transcripts(shipped(spark), sf_dir), config, make)
+
+
 def _scan(entity: str) -> Query:
     only = MaskConfig(entities=frozenset({entity}))
-    return lambda spark, sf_dir: _spans(_normal(transcripts(shipped(spark), sf_dir)), scan(F.col("text"), rules_of(FULL, True, only.entities)))
+    return lambda spark, sf_dir: _detected(spark, sf_dir, only)
 
 
 for _entity in dict.fromkeys(r.entity for r in RULES[FULL]):
@@ -73,8 +82,8 @@ for _entity in dict.fromkeys(r.entity for r in RULES[FULL]):
 
 
 def _scan_documents(entity: str) -> Query:
-    rules = rules_of(LEAN, True, frozenset({entity}))
-    return lambda spark, sf_dir: _spans(read_table(spark, sf_dir, "documents"), scan(F.col("text"), rules), "doc_id")
+    only = MaskConfig(profile=LEAN, entities=frozenset({entity}))
+    return lambda spark, sf_dir: _made(read_table(shipped(spark), sf_dir, "documents"), only, lambda m, t, *_: m.detected(t), key="doc_id")
 
 
 for _entity in ("EMAIL_ADDRESS", "TW_CREDIT_CARD"):
@@ -116,10 +125,6 @@ def normalize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 # bank rules
 
 
-def _detected(spark: SparkSession, sf_dir: str, config: MaskConfig) -> DataFrame:
-    return _normal(transcripts(shipped(spark), sf_dir)).withColumn("spans", detected(F.col("text"), config).column)
-
-
 _RAW = {"source": SOURCE, "texts": oracle.normalised("SELECT * FROM source"), "raw": oracle.all_spans("texts", FULL_CONFIG)}
 _TALK = {"questions": f"SELECT id, s, e FROM ({oracle.places('texts', oracle.re2(oracle.QUESTIONS))})", "answers": oracle.answer_places("texts")}
 
@@ -127,13 +132,13 @@ _TALK = {"questions": f"SELECT id, s, e FROM ({oracle.places('texts', oracle.re2
 @register(oracle.with_ctes(_RAW | {"kept": oracle.conditional("raw")}, f"SELECT {SPAN_COLUMNS} FROM kept"))
 def cond_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts near an account or card, and all other spans."""
-    return _spans(_detected(spark, sf_dir, FULL_CONFIG), conditional_amount(F.col("spans")))
+    return _detected(spark, sf_dir, FULL_CONFIG, lambda m, t, *_: plain.conditional_amount(m.detected(t)))
 
 
 @register(oracle.with_ctes(_RAW | _TALK | {"kept": oracle.boosted("raw", "texts")}, f"SELECT {SPAN_COLUMNS} FROM kept"))
 def speaker_boost_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores after questions and answers, each counted once."""
-    return _spans(_detected(spark, sf_dir, FULL_CONFIG), speaker_boost(F.col("text"), F.col("spans"), F.lit(False)))
+    return _detected(spark, sf_dir, FULL_CONFIG, lambda m, t, *_: plain.speaker_boost(t, m.detected(t)))
 
 
 _LEGACY_RAW = _RAW | {"raw": oracle.all_spans("texts", LEGACY_CONFIG)}
@@ -142,13 +147,13 @@ _LEGACY_RAW = _RAW | {"raw": oracle.all_spans("texts", LEGACY_CONFIG)}
 @register(oracle.with_ctes(_LEGACY_RAW | _TALK | {"kept": oracle.boosted("raw", "texts", cumulative=True)}, f"SELECT {SPAN_COLUMNS} FROM kept"))
 def speaker_boost_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores after questions and answers, each match counted."""
-    return _spans(_detected(spark, sf_dir, LEGACY_CONFIG), speaker_boost(F.col("text"), F.col("spans"), F.lit(False), cumulative=True))
+    return _detected(spark, sf_dir, LEGACY_CONFIG, lambda m, t, *_: plain.speaker_boost(t, m.detected(t), cumulative=True))
 
 
 @register(oracle.with_ctes(_LEGACY_RAW, f"SELECT {SPAN_COLUMNS} FROM raw"))
 def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the first generation's rules that reach its threshold."""
-    return _spans(_detected(spark, sf_dir, LEGACY_CONFIG), F.col("spans"))
+    return _detected(spark, sf_dir, LEGACY_CONFIG)
 
 
 _NO_BRANCHES = MaskConfig(branches=False)
@@ -157,7 +162,7 @@ _NO_BRANCHES = MaskConfig(branches=False)
 @register(oracle.with_ctes(_RAW | {"raw": oracle.all_spans("texts", _NO_BRANCHES)}, "SELECT entity, pattern, count(*) AS n_spans FROM raw GROUP BY ALL"))
 def requested_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans by rule where branch codes aren't asked for."""
-    return _spans(_detected(spark, sf_dir, _NO_BRANCHES), F.col("spans")).groupBy("entity", "pattern").agg(C.count(C.lit(1)).alias("n_spans"))
+    return _detected(spark, sf_dir, _NO_BRANCHES).groupBy("entity", "pattern").agg(C.count(C.lit(1)).alias("n_spans"))
 
 
 # duplicates, second sources, conflicts
@@ -166,17 +171,18 @@ _SHIFT = 100
 _TWICE = _RAW | {"both_": f"SELECT * FROM raw UNION ALL ({oracle.all_spans('texts', MaskConfig(profile=LEGACY, threshold=0.0), _SHIFT)})"}
 
 
-def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of two generations of rules for each text: most places come twice."""
-    rows = _detected(spark, sf_dir, FULL_CONFIG).withColumn("more", detected(F.col("text"), MaskConfig(profile=LEGACY, threshold=0.0)).column)
-    shifted = F.transform(F.col("more"), lambda s: changed(s, seq=s["seq"] + _SHIFT * RULE_STEP))
-    return rows.withColumn("spans", F.concat(F.col("spans"), shifted).column)
+_LOOSE = MaskConfig(profile=LEGACY, threshold=0.0)
+
+
+def _twice(m: plain.Masker, text: str) -> list[plain.Span]:
+    """Spans of two generations of rules: most places come twice."""
+    return m.detected(text) + [(*s[:2], s[2] + _SHIFT * RULE_STEP, *s[3:]) for s in plain.masker(_LOOSE).detected(text)]
 
 
 @register(oracle.with_ctes(_TWICE | {"kept": oracle.deduped("both_")}, f"SELECT {SPAN_COLUMNS} FROM kept"))
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One span of each place and type."""
-    return _spans(_twice(spark, sf_dir), without_duplicates(F.col("spans")))
+    return _detected(spark, sf_dir, FULL_CONFIG, lambda m, t, *_: plain.without_duplicates(_twice(m, t)))
 
 
 _BEST = "max(struct_pack(score := score, back := -seq)) OVER (PARTITION BY id, s, e, entity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -189,7 +195,9 @@ _DUP_SQL = (
 @register(oracle.with_ctes(_TWICE, _DUP_SQL))
 def dup_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each duplicate met: the best of its place and type so far."""
-    log = exploded(_twice(spark, sf_dir), "turn_id", x=duplicate_log(F.col("spans")).column)
+    rows = transcripts(shipped(spark), sf_dir)
+    rows = rows.withColumn("log", made(DECISIONS, lambda m, t, *_: plain.duplicate_log(_twice(m, t)), C.col("text"), FULL_CONFIG, decisions_array))
+    log = exploded(rows, "turn_id", x=C.col("log"))
     return log.select("turn_id", C.col("x.winner.start").alias("start_at"), C.col("x.winner.end").alias("end_at"), C.col("x.winner.entity").alias("entity"), C.col("x.winner.pattern").alias("winner"), C.col("x.loser.pattern").alias("loser"), C.col("x.reason").alias("reason"))
 
 
@@ -216,8 +224,8 @@ def ner_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(oracle.with_ctes(_RAW | _NER, f"SELECT {SPAN_COLUMNS} FROM (SELECT id, s, e, entity, pattern, score, boost, word FROM ner UNION ALL SELECT id, s, e, entity, pattern, score, boost, word FROM raw r ANTI JOIN ner n ON r.id = n.id AND r.s = n.s AND r.e = n.e AND r.entity = n.entity)"))
 def merge_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of a second source that the first doesn't have."""
-    rows = _detected(spark, sf_dir, FULL_CONFIG)
-    return _spans(with_hits(rows, _hits(rows)), merged(ner_spans(F.col("ner_hits")), F.col("spans")))
+    rows = transcripts(shipped(spark), sf_dir).select("turn_id", "text")
+    return _made(with_hits(rows, _hits(_normal(rows))), FULL_CONFIG, lambda m, t, hits: plain.merged(plain.ner_spans(hits), m.detected(t)), C.col("ner_hits"))
 
 
 _FULL = oracle.pipeline(SOURCE, FULL_CONFIG)
@@ -226,8 +234,8 @@ _LEGACY = oracle.pipeline(SOURCE, LEGACY_CONFIG)
 _LEAN_DOCUMENTS = oracle.pipeline(DOCUMENTS, LEAN_CONFIG)
 
 
-def _masked(spark: SparkSession, sf_dir: str, config: MaskConfig) -> DataFrame:
-    return mask_turns(transcripts(spark, sf_dir), config)
+def _masked(spark: SparkSession, sf_dir: str, config: MaskConfig, *only: str) -> DataFrame:
+    return mask_turns(transcripts(spark, sf_dir), config, only=only)
 
 
 def _entities(masked: DataFrame, key: str = "turn_id") -> DataFrame:
@@ -237,7 +245,7 @@ def _entities(masked: DataFrame, key: str = "turn_id") -> DataFrame:
 @register(oracle.with_ctes(_FULL, f"SELECT {SPAN_COLUMNS} FROM found"))
 def resolve_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans that are left when conflicts are decided."""
-    return _entities(_masked(spark, sf_dir, FULL_CONFIG))
+    return _entities(_masked(spark, sf_dir, FULL_CONFIG, "entities"))
 
 
 _LOG_SQL = (
@@ -249,7 +257,7 @@ _LOG_SQL = (
 @register(oracle.with_ctes(_FULL, _LOG_SQL))
 def conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each decision between two spans, with its round and reason."""
-    log = exploded(_masked(spark, sf_dir, FULL_CONFIG), "turn_id", x=C.col("conflict_log")).where("x.reason LIKE '[R%'")
+    log = exploded(_masked(spark, sf_dir, FULL_CONFIG, "conflict_log"), "turn_id", x=C.col("conflict_log")).where("x.reason LIKE '[R%'")
     part = lambda w, f: C.col(f"x.{w}.{f}")
     columns = {"round": C.regexp_extract("x.reason", r"^\[R(\d+)\]", 1).cast("int")}
     for w in ("winner", "loser"):
@@ -260,26 +268,28 @@ def conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(oracle.with_ctes(_LEAN_DOCUMENTS, "SELECT entity AS entity_type, count(*) AS n_entities, count(DISTINCT id) AS n_docs FROM found GROUP BY entity"))
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensitive spans of the documents: their number, and that of documents, by entity type."""
-    rows = mask_turns(read_table(spark, sf_dir, "documents").select("doc_id", "text"), LEAN_CONFIG)
+    rows = mask_turns(read_table(spark, sf_dir, "documents").select("doc_id", "text"), LEAN_CONFIG, only=("entities",))
     return exploded(rows, "doc_id", entity_type=C.col("entities.entity")).groupBy("entity_type").agg(C.count(C.lit(1)).alias("n_entities"), C.countDistinct("doc_id").alias("n_docs"))
 
 
 # tokens and texts
 
+_TEXTS = ("masked_text", "n_entities")
+
 
 def _texts_sql(ctes: dict[str, str], config: MaskConfig) -> str:
     return oracle.with_ctes(ctes | {"tokens": oracle.numbered("found", config, "id", "s")}, f"SELECT id AS turn_id, masked AS masked_text, n_entities FROM ({oracle.MASKED})")
 
 
 for _name, _ctes, _config in (("lean", _LEAN, LEAN_CONFIG), ("full", _FULL, FULL_CONFIG), ("legacy", _LEGACY, LEGACY_CONFIG)):
-    _named(f"masked_text_{_name}", lambda spark, sf_dir, c=_config: _masked(spark, sf_dir, c).select("turn_id", "masked_text", C.size("entities").cast("long").alias("n_entities")), _texts_sql(_ctes, _config))
+    _named(f"masked_text_{_name}", lambda spark, sf_dir, c=_config: _masked(spark, sf_dir, c, *_TEXTS).select("turn_id", "masked_text", C.col("n_entities").cast("long")), _texts_sql(_ctes, _config))
 
 
 @register(oracle.with_ctes(_LEAN_DOCUMENTS | {"tokens": "SELECT *, base AS token FROM found"}, f"SELECT id AS doc_id, masked AS masked_text, n_entities FROM ({oracle.MASKED})"))
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with tokens of their entities' types."""
-    rows = mask_turns(read_table(spark, sf_dir, "documents").select("doc_id", "text"), LEAN_CONFIG)
-    return rows.select("doc_id", "masked_text", C.size("entities").cast("long").alias("n_entities"))
+    rows = mask_turns(read_table(spark, sf_dir, "documents").select("doc_id", "text"), LEAN_CONFIG, only=_TEXTS)
+    return rows.select("doc_id", "masked_text", C.col("n_entities").cast("long"))
 
 
 # dialogues
@@ -289,8 +299,8 @@ _DIALOGUE = oracle.pipeline(f"SELECT *, {_RATIO} >= 0.8E0 AS diarized FROM ({SOU
 _DIALOGUE |= {"placed": "SELECT f.*, n.session_id, n.turn FROM found f JOIN norm n USING (id)", "tokens": oracle.numbered("placed", FULL_CONFIG, "session_id", "struct_pack(turn := turn, s := s)")}
 
 
-def _dialogues(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> DataFrame:
-    return mask_turns(transcripts(spark, sf_dir), FULL_CONFIG, dialogues=True, snapshot=snapshot)
+def _dialogues(spark: SparkSession, sf_dir: str, *only: str, snapshot: bool = False) -> DataFrame:
+    return mask_turns(transcripts(spark, sf_dir), FULL_CONFIG, dialogues=True, snapshot=snapshot, only=only)
 
 
 _TAG = (
@@ -303,13 +313,13 @@ _TAGGED = f"SELECT m.*, s.t AS original, m.n_entities FROM ({oracle.MASKED}) m J
 @register(oracle.with_ctes(_DIALOGUE, f"SELECT session_id, turn, masked AS masked_text, diarized AS diarization_available, usability_tag, usability_tag = 'FALLBACK_MODE' AS fallback_mode FROM (SELECT *, {_TAG} AS usability_tag FROM ({_TAGGED}))"))
 def mask_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls masked turn by turn, with one numbering through each, and how usable each turn is."""
-    return _dialogues(spark, sf_dir).select("session_id", "turn", "masked_text", "diarization_available", "usability_tag", "fallback_mode")
+    return _dialogues(spark, sf_dir, "masked_text", "diarization_available", "usability_tag", "fallback_mode").select("session_id", "turn", "masked_text", "diarization_available", "usability_tag", "fallback_mode")
 
 
 @register(oracle.with_ctes(_DIALOGUE, f"SELECT usability_tag, count(*) AS n_turns, count(DISTINCT session_id) AS n_sessions FROM (SELECT *, {_TAG} AS usability_tag FROM ({_TAGGED})) GROUP BY usability_tag"))
 def usability_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns and calls by usability."""
-    return _dialogues(spark, sf_dir).groupBy("usability_tag").agg(C.count(C.lit(1)).alias("n_turns"), C.countDistinct("session_id").alias("n_sessions"))
+    return _dialogues(spark, sf_dir, "usability_tag").groupBy("usability_tag").agg(C.count(C.lit(1)).alias("n_turns"), C.countDistinct("session_id").alias("n_sessions"))
 
 
 _CONVERSATIONS = "SELECT conv_id AS session_id, CAST(turn AS INT) AS turn, CASE role WHEN 'user' THEN 'CUSTOMER' WHEN 'assistant' THEN 'AGENT' END AS speaker FROM conversations"
@@ -324,7 +334,7 @@ def labeled_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(oracle.with_ctes(_DIALOGUE, "SELECT session_id, turn, entity, value, token, CAST(s AS INT) AS start_at FROM tokens"))
 def pseudonym_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token of each entity of each call."""
-    return exploded(_dialogues(spark, sf_dir), "session_id", "turn", x=C.col("entities")).select("session_id", "turn", "x.entity", "x.value", "x.token", C.col("x.start").alias("start_at"))
+    return exploded(_dialogues(spark, sf_dir, "entities"), "session_id", "turn", x=C.col("entities")).select("session_id", "turn", "x.entity", "x.value", "x.token", C.col("x.start").alias("start_at"))
 
 
 _KINDS = f"entity IN ({', '.join(map(oracle.q, sorted(FULL_CONFIG.numbered)))})"
@@ -333,14 +343,14 @@ _KINDS = f"entity IN ({', '.join(map(oracle.q, sorted(FULL_CONFIG.numbered)))})"
 @register(oracle.with_ctes(_DIALOGUE, f"SELECT DISTINCT session_id, entity, value, token FROM tokens WHERE {_KINDS}"))
 def pseudonym_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and tokens of each call, by type."""
-    pairs = exploded(_dialogues(spark, sf_dir), "session_id", p=numbered_pairs(F.col("entities"), FULL_CONFIG.numbered).column)
+    pairs = exploded(_dialogues(spark, sf_dir, "entities"), "session_id", p=numbered_pairs(F.col("entities"), FULL_CONFIG.numbered).column)
     return pairs.select("session_id", "p.entity", "p.value", "p.token").distinct()
 
 
 @register(oracle.with_ctes(_DIALOGUE, f"SELECT n.session_id, n.turn, k.entity, k.value, k.token FROM norm n JOIN (SELECT session_id, entity, value, token, min(turn) AS turn FROM tokens WHERE {_KINDS} GROUP BY ALL) k ON k.session_id = n.session_id AND k.turn <= n.turn"))
 def pseudonym_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and tokens of each call as of each turn."""
-    maps = exploded(_dialogues(spark, sf_dir, snapshot=True), "session_id", "turn", m=C.map_entries(non_empty(F.col("pseudonym_map")).column))
+    maps = exploded(_dialogues(spark, sf_dir, "pseudonym_map", snapshot=True), "session_id", "turn", m=C.map_entries(non_empty(F.col("pseudonym_map")).column))
     pairs = exploded(maps, "session_id", "turn", C.col("m.key").alias("entity"), p=C.map_entries("m.value"))
     return pairs.select("session_id", "turn", "entity", C.col("p.key").alias("value"), C.col("p.value").alias("token"))
 
@@ -355,7 +365,7 @@ def pseudonym_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of all calls, without the time at which it was written."""
-    return audit(_dialogues(spark, sf_dir), stamped=False)
+    return audit(_dialogues(spark, sf_dir, "diarization_available", "usability_tag", "conflict_log", "entities"), stamped=False)
 
 
 # reports
@@ -413,13 +423,13 @@ def compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(oracle.with_ctes(_FULL, "SELECT n.id AS turn_id, coalesce(f.types, '') AS entity_types, coalesce(f.n, 0) AS n_entities FROM norm n LEFT JOIN (SELECT id, array_to_string(list_sort(list_distinct(list(entity))), ',') AS types, count(*) AS n FROM found GROUP BY id) f USING (id)"))
 def result_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The types that each turn's entities have, and their number."""
-    return _masked(spark, sf_dir, FULL_CONFIG).select("turn_id", C.array_join(entity_types(F.col("entities")).column, ",").alias("entity_types"), C.size("entities").cast("long").alias("n_entities"))
+    return _masked(spark, sf_dir, FULL_CONFIG, "entities").select("turn_id", C.array_join(entity_types(F.col("entities")).column, ",").alias("entity_types"), C.size("entities").cast("long").alias("n_entities"))
 
 
 @register(oracle.with_ctes(_LEGACY, f"SELECT {SPAN_COLUMNS} FROM found"))
 def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that the first generation leaves, with 0.05 more for those that won a conflict."""
-    return _entities(_masked(spark, sf_dir, LEGACY_CONFIG))
+    return _entities(_masked(spark, sf_dir, LEGACY_CONFIG, "entities"))
 
 
 #: Every fourth turn has the number of the one before it, every ninth has none.
@@ -432,7 +442,7 @@ _REPEATED_SQL |= {"placed": "SELECT f.*, n.session_id, n.turn, n.t FROM found f
 def mask_dialogues_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls in which turns have the same number or none: each keeps its row and its text."""
     rows = transcripts(spark, sf_dir).withColumn("turn", C.expr(_REPEATED).cast("int"))
-    return mask_turns(rows, FULL_CONFIG, dialogues=True).select("turn_id", "session_id", "turn", "masked_text")
+    return mask_turns(rows, FULL_CONFIG, dialogues=True, only=("masked_text",)).select("turn_id", "session_id", "turn", "masked_text")
 
 
 OWN_CONFIG = MaskConfig(
@@ -445,7 +455,7 @@ _OWN = oracle.pipeline(SOURCE, OWN_CONFIG)
 @register(_texts_sql(_OWN, OWN_CONFIG))
 def custom_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masking with a user's own rules, a type of their own and another token for a known one."""
-    return _masked(spark, sf_dir, OWN_CONFIG).select("turn_id", "masked_text", C.size("entities").cast("long").alias("n_entities"))
+    return _masked(spark, sf_dir, OWN_CONFIG, *_TEXTS).select("turn_id", "masked_text", C.col("n_entities").cast("long"))
 
 
 def _name_finder() -> Callable[[list[str]], list[list[tuple[int, int, str]]]]:
