@@ -70,3 +70,39 @@ def test_own_rules_of_either_kind(spark):
 
 def test_questions_begin_as_they_are_looked_for():
     assert all(q.startswith(plain.ASKED) for q in QUESTIONS.split("|") if not q.startswith(("為)", "？", "[?])")))
+
+
+@pytest.mark.parametrize("profile", ["lean", "full", "legacy"])
+def test_entities_without_their_log(profile):
+    """Where nobody asks for the conflicts, none is written down; what is left and their number are the same."""
+    m, r = masker(MaskConfig(profile=profile)), random.Random(2)
+    conflicts = 0
+    for t in made(profile, 2000) + ["", " ", "09" * 30 + ",123,456", "1,234元 12345678 1234567890123456"]:
+        t = m.normal(t)
+        hits = [{"start": a, "end": a + 2, "tag": "PERSON"} for a in range(r.randint(0, 2))]
+        entities, log = m.decided(t, bool(hits), hits, hits[:1])
+        assert m.kept(t, bool(hits), hits, hits[:1]) == (entities, len(log)), t
+        conflicts += len(log)
+    assert conflicts > 2000
+
+
+def test_patterns_are_tried_only_where_they_may_match():
+    """Digits alone are told by the lengths of their runs; of a turn with one code, no pattern but those of codes is tried."""
+    m = plain.Masker(MaskConfig())
+    text = m.normal("驗證碼是123456")
+    m.detected(text)
+    (key,) = [k for k in m.chosen if k[0] == 6 and not k[1] and not k[2]]
+    tried = [needle for _, needle in m.chosen[key] if needle in text]
+    assert len(tried) <= 3 and len(m.plans[(6,), False]) == 5
+    for n in range(3 * plain._KEPT):
+        m.detected("1" * (n % 90 + 1) + " " + "2" * (n // 90 + 1))
+    assert len(m.plans) <= plain._KEPT and len(m.chosen) <= plain._KEPT
+
+
+def test_blank_texts_and_questions(spark):
+    texts = [None, "", " 　\t", "\x1c", "\x85 ", " a", "x", "​", "請問您的電話是", "您的電話", "幫我再確認", "可以嗎", "可以"]
+    rows = mask_turns(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), only=("usability_tag", "masked_text"))
+    got = {r.i: r.usability_tag for r in rows.collect()}
+    blank = [t is None or not t.strip(plain.WHITE) for t in texts]
+    asked = [bool(t) and plain._QUESTIONS.search(t) is not None for t in texts]
+    assert [got[i] for i in range(len(texts))] == ["USABLE" if b else "FALLBACK_MODE" if a else "NO_DIARIZATION" for b, a in zip(blank, asked)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Tuple
 
 import pyarrow as pa
@@ -52,7 +54,16 @@ def decisions_array(lists: list[list[tuple]]) -> pa.ListArray:
     return _lists(lists, make)
 
 
-_ARRAYS = {"entities": _entities_array, "conflict_log": decisions_array}
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the collector of cycles: a batch makes a hundred thousand tuples and no cycle, and it would go through all of them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def _column(function: Callable, kind: str, *inputs: Column) -> Column:
@@ -95,36 +106,48 @@ def results(config: MaskConfig, wanted: tuple[str, ...], text: Column, normal: b
     together and in order, and tokens are numbered through each; else each text has its own numbers."""
     given = {"diarized": diarized, "ner": ner, "llm": llm, "session": session}
     names, every, whole = [n for n, c in given.items() if c is not None], tuple(given), session is not None
-    reasons = "conflict_log" in wanted
+    reasons, texts_too = "conflict_log" in wanted, "masked_text" in wanted
 
     def run(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         m = plain.masker(config)
         at, seen = object(), {}
         for columns in batches:
-            texts, *rest = (c.to_pylist() for c in columns)
-            inputs = dict(zip(names, rest))
-            none = [None] * len(texts)
-            out = {n: [] for n in wanted}
-            for t, diarized_, ner_, llm_, of in zip(texts, *(inputs.get(n, none) for n in every)):
-                t = t if normal or t is None else m.normal(t)
-                entities, log = ([], []) if t is None else m.decided(t, bool(diarized_), ner_, llm_, reasons)
-                if whole and of != at:
-                    at, seen = of, {}
-                if m.numbered and entities:
-                    entities = m.with_numbers(entities, seen if whole else {})
-                for name, to in out.items():
-                    if name == "masked_text":
-                        to.append(t if t is None else plain.replaced(t, entities))
-                    elif name == "entities":
-                        to.append(entities)
-                    elif name == "conflict_log":
-                        to.append(log)
-                    elif name == "normalized_text":
-                        to.append(t)
+            with _uncollected():
+                texts, *rest = (c.to_pylist() for c in columns)
+                inputs = dict(zip(names, rest))
+                none = [None] * len(texts)
+                normals, every_entities, logs, masked, numbers = [], [], [], [], []
+                for t, diarized_, ner_, llm_, of in zip(texts, *(inputs.get(n, none) for n in every)):
+                    if t is None:
+                        entities, log, n = [], [], 0
                     else:
-                        to.append(len(entities if name == "n_entities" else log))
-            arrays = [_ARRAYS[n](c) if n in _ARRAYS else pa.array(c, pa.string() if KINDS[n] == "string" else pa.int32()) for n, c in out.items()]
-            yield pa.StructArray.from_arrays(arrays, list(out))
+                        t = t if normal else m.normal(t)
+                        if reasons:
+                            entities, log = m.decided(t, bool(diarized_), ner_, llm_)
+                            n = len(log)
+                        else:
+                            entities, n = m.kept(t, bool(diarized_), ner_, llm_)
+                    if whole and of != at:
+                        at, seen = of, {}
+                    if entities and m.numbered:
+                        entities = m.with_numbers(entities, seen if whole else {})
+                    normals.append(t)
+                    every_entities.append(entities)
+                    numbers.append(n)
+                    if reasons:
+                        logs.append(log)
+                    if texts_too:
+                        masked.append(plain.replaced(t, entities) if entities else t)
+                made = {
+                    "normalized_text": lambda: pa.array(normals, pa.string()),
+                    "entities": lambda: _entities_array(every_entities),
+                    "conflict_log": lambda: decisions_array(logs),
+                    "masked_text": lambda: pa.array(masked, pa.string()),
+                    "n_entities": lambda: pa.array(map(len, every_entities), pa.int32()),
+                    "n_conflicts": lambda: pa.array(numbers, pa.int32()),
+                }
+                done = pa.StructArray.from_arrays([made[n]() for n in wanted], list(wanted))
+            yield done
 
     kind = f"struct<{','.join(f'{n}:{KINDS[n]}' for n in wanted)}>"
     inputs = [given[n] for n in names]
