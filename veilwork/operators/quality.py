@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as C
 from pyspark.sql import Window as W
@@ -10,13 +13,15 @@ from veilwork.config import MaskConfig
 from veilwork.functions import sql as F
 from veilwork.functions.rules import FLAGS, QUESTIONS
 from veilwork.functions.sql import Sql
+from veilwork.operators.plain import ASKED, WHITE
 
 AGENT, CUSTOMER = "AGENT", "CUSTOMER"
 USABLE, DEGRADED, NO_SPEAKERS, FALLBACK, LOW_AUDIO = "USABLE", "DEGRADED_MASKING", "NO_DIARIZATION", "FALLBACK_MODE", "LOW_AUDIO_QUALITY"
 
 
 def blank(text: Sql) -> Sql:
-    return text.isNull() | ~text.rlike(r"(?U)\S")
+    # the pattern is tried only where a text has nothing but what it takes for white space
+    return text.isNull() | ((F.call("ltrim", WHITE, text) == "") & ~text.rlike(r"(?U)\S"))
 
 
 def known_speaker(speaker: Column) -> Column:
@@ -36,5 +41,6 @@ def density(n_entities: Sql, text: Sql) -> Sql:
 
 def usability(text: Sql, n_entities: Sql, diarized: Sql, asr: Sql, config: MaskConfig) -> Sql:
     """The first that holds: poor audio, no speakers (with or without a question to go by), dense masking, usable."""
-    unknown = F.when(text.rlike(FLAGS + QUESTIONS), FALLBACK).otherwise(NO_SPEAKERS)
+    asked = reduce(or_, [text.contains(k) for k in ASKED])
+    unknown = F.when(asked & text.rlike(FLAGS + QUESTIONS), FALLBACK).otherwise(NO_SPEAKERS)
     return F.when(asr < config.least_asr, LOW_AUDIO).when(~diarized, unknown).when(density(n_entities, text) > config.most_density, DEGRADED).otherwise(USABLE)
