@@ -365,7 +365,7 @@ def pseudonym_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of all calls, without the time at which it was written."""
-    return audit(_dialogues(spark, sf_dir, "diarization_available", "usability_tag", "conflict_log", "entities"), stamped=False)
+    return audit(_dialogues(spark, sf_dir, "diarization_available", "usability_tag", "winners", "entities"), stamped=False)
 
 
 # reports

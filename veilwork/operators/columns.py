@@ -21,8 +21,9 @@ _BRIEF = (_SPAN[0], _SPAN[1], _SPAN[3], _SPAN[6])
 _ENTITIES = SPANS[:-2] + ",value:string,token:string>>"
 _SIDE = "struct<start:int,end:int,entity:string,pattern:string>"
 DECISIONS = f"array<struct<winner:{_SIDE},loser:{_SIDE},reason:string>>"
+WINNERS = "array<struct<start:int,end:int,entity:string>>"
 #: What masking makes of a text.
-KINDS = {"normalized_text": "string", "entities": _ENTITIES, "conflict_log": DECISIONS, "masked_text": "string", "n_entities": "int", "n_conflicts": "int"}
+KINDS = {"normalized_text": "string", "entities": _ENTITIES, "conflict_log": DECISIONS, "masked_text": "string", "n_entities": "int", "n_conflicts": "int", "winners": WINNERS}
 
 
 def _structs(rows: list[tuple], fields: tuple) -> pa.StructArray:
@@ -54,6 +55,11 @@ def decisions_array(lists: list[list[tuple]]) -> pa.ListArray:
     return _lists(lists, make)
 
 
+def winners_array(logs: list[list[tuple]]) -> pa.ListArray:
+    """The places and types of a log's winners, each once."""
+    return _lists([list(dict.fromkeys((w[0], w[1], w[3]) for w, *_ in log)) for log in logs], lambda rows: _structs(rows, (_SPAN[0], _SPAN[1], _SPAN[3])))
+
+
 @contextmanager
 def _uncollected() -> Iterator[None]:
     """Without the collector of cycles: a batch makes a hundred thousand tuples and no cycle, and it would go through all of them."""
@@ -106,7 +112,7 @@ def results(config: MaskConfig, wanted: tuple[str, ...], text: Column, normal: b
     together and in order, and tokens are numbered through each; else each text has its own numbers."""
     given = {"diarized": diarized, "ner": ner, "llm": llm, "session": session}
     names, every, whole = [n for n, c in given.items() if c is not None], tuple(given), session is not None
-    reasons, texts_too = "conflict_log" in wanted, "masked_text" in wanted
+    reasons, decisions, texts_too = "conflict_log" in wanted, bool({"conflict_log", "winners"} & set(wanted)), "masked_text" in wanted
 
     def run(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         m = plain.masker(config)
@@ -122,8 +128,8 @@ def results(config: MaskConfig, wanted: tuple[str, ...], text: Column, normal: b
                         entities, log, n = [], [], 0
                     else:
                         t = t if normal else m.normal(t)
-                        if reasons:
-                            entities, log = m.decided(t, bool(diarized_), ner_, llm_)
+                        if decisions:
+                            entities, log = m.decided(t, bool(diarized_), ner_, llm_, reasons)
                             n = len(log)
                         else:
                             entities, n = m.kept(t, bool(diarized_), ner_, llm_)
@@ -134,7 +140,7 @@ def results(config: MaskConfig, wanted: tuple[str, ...], text: Column, normal: b
                     normals.append(t)
                     every_entities.append(entities)
                     numbers.append(n)
-                    if reasons:
+                    if decisions:
                         logs.append(log)
                     if texts_too:
                         masked.append(plain.replaced(t, entities) if entities else t)
@@ -142,6 +148,7 @@ def results(config: MaskConfig, wanted: tuple[str, ...], text: Column, normal: b
                     "normalized_text": lambda: pa.array(normals, pa.string()),
                     "entities": lambda: _entities_array(every_entities),
                     "conflict_log": lambda: decisions_array(logs),
+                    "winners": lambda: winners_array(logs),
                     "masked_text": lambda: pa.array(masked, pa.string()),
                     "n_entities": lambda: pa.array(map(len, every_entities), pa.int32()),
                     "n_conflicts": lambda: pa.array(numbers, pa.int32()),

@@ -45,9 +45,10 @@ def _column(df: DataFrame, name: str, kind: str) -> Column:
     return C.col(name).cast(kind) if name in df.columns else C.lit(None).cast(kind)
 
 
-#: What mask_turns adds, in this order, and the sizes of two of them, that it adds if they are asked for.
+#: What mask_turns adds, in this order, and the sizes of two of them and the winners of conflict_log (start, end, entity), that it
+#: adds if they are asked for.
 RESULTS = ("original_text", "diarization_available", "normalized_text", "entities", "conflict_log", "masked_text", "usability_tag", "fallback_mode", "pseudonym_map")
-SIZES = ("n_entities", "n_conflicts")
+SIZES = ("n_entities", "n_conflicts", "winners")
 
 
 def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: bool = False, ner: str | None = None, llm: str | None = None, snapshot: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: b
     more hits of places and persons that count only where nothing has the same place and type.
 
     Adds original_text, normalized_text, masked_text, entities, pseudonym_map, conflict_log, diarization_available,
-    usability_tag and fallback_mode, or those of them and of n_entities and n_conflicts that `only` names: what isn't named
+    usability_tag and fallback_mode, or those of them and of n_entities, n_conflicts and winners that `only` names: what isn't named
     isn't sent from Python. A null or blank text passes as it is: no entities, USABLE, not diarized. With snapshot,
     pseudonym_map has all of the session up to the turn, else what the turn itself has. Without dialogues nothing is
     shuffled; with them there is one exchange, by session_id, into as many partitions as the session's setting says, since the
@@ -101,6 +102,7 @@ def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: b
     else:
         rows = _by_expressions(rows, config, dialogues, ner, llm).drop(*given)
         rows = rows.withColumns({"n_entities": C.size("entities"), "n_conflicts": C.size("conflict_log")})
+        rows = rows.withColumn("winners", C.array_distinct(C.transform("conflict_log", lambda e: C.struct(*[e["winner"][f].alias(f) for f in ("start", "end", "entity")]))))
     asr = F.col("asr_confidence").cast("double") if "asr_confidence" in turns.columns else F.lit(None).cast("double")
     if {"usability_tag", "fallback_mode"} & set(wanted):
         tag = F.when(blank(text), USABLE).otherwise(usability(text, F.col("n_entities"), diarized, asr, config))
@@ -150,11 +152,12 @@ def entity_types(entities: Sql) -> Sql:
 
 
 def audit(masked: DataFrame, step: str = "Step1-5", stamped: bool = True, config: MaskConfig = MaskConfig()) -> DataFrame:
-    """A row for each entity of masked turns, with the reasons for which it was masked."""
-    rows = masked.select(_column(masked, "session_id", "string").alias("session_id"), "diarization_available", "usability_tag", "conflict_log", C.explode_outer("entities").alias("s")).where("s IS NOT NULL")
+    """A row for each entity of masked turns, with the reasons for which it was masked; masked has conflict_log or winners."""
+    winners = C.col("winners") if "winners" in masked.columns else C.transform("conflict_log", lambda e: e["winner"])
+    rows = masked.select(_column(masked, "session_id", "string").alias("session_id"), "diarization_available", "usability_tag", winners.alias("winners"), C.explode_outer("entities").alias("s")).where("s IS NOT NULL")
     s = lambda f: C.col(f"s.{f}")
     subtype = C.when(s("pattern").isin("MOBILE", "LANDLINE"), s("pattern")).when(s("pattern") == "AMOUNT_TXN_VERB", C.lit("AMOUNT_TXN")).when(s("pattern").startswith("ADDR_"), s("pattern")).otherwise(C.lit(""))
-    won = C.exists("conflict_log", lambda e: (e["winner"]["start"] == s("start")) & (e["winner"]["end"] == s("end")) & (e["winner"]["entity"] == s("entity")))
+    won = C.exists("winners", lambda w: (w["start"] == s("start")) & (w["end"] == s("end")) & (w["entity"] == s("entity")))
     flag = lambda c: C.when(c, C.lit("Y")).otherwise(C.lit("N"))
     described = C.coalesce(F.choose(F.col("s.entity"), {e.name: e.description for e in config.all_types.values()}).column, s("entity"))
     columns = {
