@@ -11,7 +11,7 @@ from veilwork.operators.replace import numbered_token
 from veilwork.operators.resolve import one_decimal, resolved
 from veilwork.operators.scan import SPANS
 from veilwork.plans import compare
-from veilwork.plans.masking import audit, mask_dialogue, mask_text, mask_turns
+from veilwork.plans.masking import audit, mask_dialogue, mask_text, mask_turns, session_pairs
 from veilwork.sources.turns import export_audit, read_turns, with_hits, write_audit
 
 LEAN = MaskConfig(profile="lean")
@@ -155,6 +155,46 @@ def test_repeated_and_missing_turns_keep_their_own_texts(spark):
         assert all(r.rest == "kept" for r in got.values())
 
 
+@pytest.mark.parametrize("only", [("masked_text",), ("entities",), None])
+def test_dialogues_are_exchanged_once(spark, only):
+    """A second exchange put rows out of the order of turns that the numbers follow, and in few and large parts."""
+    rows = spark.createDataFrame([("s", 1, "AGENT", "a")], "session_id string, turn int, speaker string, text string")
+    masked = mask_turns(rows, dialogues=True, only=only)
+    assert masked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert session_pairs(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_numbers_follow_turns_when_sorting_spills(spark):
+    n = 3000
+    rows = spark.createDataFrame([("s", i, f"卡號4{i:015d}") for i in range(1, n + 1)], "session_id string, turn int, text string").repartition(7)
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(key, "100")
+    try:
+        masked = mask_turns(rows, dialogues=True, only=("masked_text",)).collect()
+        pairs = session_pairs(rows).collect()
+    finally:
+        conf.remove(key)
+    assert {r.turn: r.masked_text for r in masked} == {i: f"卡號[CARD_{i}]" for i in range(1, n + 1)}
+    assert sorted((r.value, r.token) for r in pairs) == [(f"4{i:015d}", f"[CARD_{i}]") for i in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("own", [r"EMP\d{5}", r"\bEMP\d{5}\b"])
+def test_pairs_of_sessions(spark, own):
+    """Each once, in Python and by expressions, also of turns without session or number, and in several batches."""
+    from veilwork.functions.rules import Rule
+
+    config = MaskConfig(rules=(Rule("STAFF_ID", "OWN", own, 0.99, ("工號",)),))
+    texts = [("s", 1, "卡號1234567890123456，帳號123456789012"), ("s", 2, "卡號1234567890123456,還有9999888877776666"), ("s", 2, "卡號4444555566667777"), ("t", None, "卡號9999888877776666"), ("t", None, "卡號9999888877776666"), (None, 1, "卡號1234567890123456"), (None, 2, "卡號1234567890123456"), ("u", 1, "我電話0912345678"), ("u", 2, None), ("u", 3, " ")]
+    rows = spark.createDataFrame(texts, "session_id string, turn int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = [tuple(r) for r in session_pairs(rows, config).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(r.session_id, s.entity, s.value, s.token) for r in mask_turns(rows, config, dialogues=True).collect() for s in r.entities if s.entity in config.all_numbered}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) == 6
+
+
 def test_own_rules_need_a_type():
     from veilwork.functions.rules import Rule
 

@@ -86,6 +86,22 @@ def test_entities_without_their_log(profile):
     assert conflicts > 2000
 
 
+@pytest.mark.parametrize("profile", ["lean", "full", "legacy"])
+def test_numbered_entities_alone(profile):
+    """Where only numbered tokens are asked for, texts and spans that can't have any are passed over; what is left is the same."""
+    m, r = masker(MaskConfig(profile=profile)), random.Random(3)
+    n = passed = 0
+    for t in made(profile, 2000) + ["", " ", "驗證碼是123456", "我電話0912345678", "09" * 30 + ",123,456", "1,234元 12345678 1234567890123456"]:
+        t = m.normal(t)
+        for k in (0, r.randint(1, 2)):
+            hits = [{"start": a, "end": a + r.randint(0, 2), "tag": "PERSON"} for a in range(k)]
+            want = [s for s in m.kept(t, bool(k), hits, hits[:1])[0] if s[3] in m.numbered]
+            assert m.kept_numbered(t, bool(k), hits, hits[:1]) == want, t
+            n += len(want)
+        passed += not plain.blank(t) and not m._any_to_number(m.detected(t, None, True))
+    assert profile == "lean" or (n > 1000 and passed > 200)
+
+
 def test_patterns_are_tried_only_where_they_may_match():
     """Digits alone are told by the lengths of their runs; of a turn with one code, no pattern but those of codes is tried."""
     m = plain.Masker(MaskConfig())

@@ -16,10 +16,10 @@ from veilwork.functions.vocabulary import ENTITIES, NER_SCORE, Entity
 from veilwork.operators import plain
 from veilwork.operators.columns import DECISIONS, decisions_array, made, normal_text, spans_array
 from veilwork.operators.quality import known_speaker
-from veilwork.operators.replace import non_empty, numbered_pairs
+from veilwork.operators.replace import non_empty
 from veilwork.operators.scan import RULE_STEP, SPANS, ner_spans
 from veilwork.plans import compare, oracle
-from veilwork.plans.masking import audit, entity_types, mask_turns
+from veilwork.plans.masking import audit, entity_types, mask_turns, session_pairs
 from veilwork.session import shipped
 from veilwork.sources.turns import conversation_turns, read_table, transcripts, with_hits, with_provider
 
@@ -343,8 +343,7 @@ _KINDS = f"entity IN ({', '.join(map(oracle.q, sorted(FULL_CONFIG.numbered)))})"
 @register(oracle.with_ctes(_DIALOGUE, f"SELECT DISTINCT session_id, entity, value, token FROM tokens WHERE {_KINDS}"))
 def pseudonym_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and tokens of each call, by type."""
-    pairs = exploded(_dialogues(spark, sf_dir, "entities"), "session_id", p=numbered_pairs(F.col("entities"), FULL_CONFIG.numbered).column)
-    return pairs.select("session_id", "p.entity", "p.value", "p.token").distinct()
+    return session_pairs(transcripts(spark, sf_dir), FULL_CONFIG)
 
 
 @register(oracle.with_ctes(_DIALOGUE, f"SELECT n.session_id, n.turn, k.entity, k.value, k.token FROM norm n JOIN (SELECT session_id, entity, value, token, min(turn) AS turn FROM tokens WHERE {_KINDS} GROUP BY ALL) k ON k.session_id = n.session_id AND k.turn <= n.turn"))

@@ -22,8 +22,10 @@ _ENTITIES = SPANS[:-2] + ",value:string,token:string>>"
 _SIDE = "struct<start:int,end:int,entity:string,pattern:string>"
 DECISIONS = f"array<struct<winner:{_SIDE},loser:{_SIDE},reason:string>>"
 WINNERS = "array<struct<start:int,end:int,entity:string>>"
+_PAIR = (("entity", pa.string()), ("token", pa.string()), ("value", pa.string()))
+PAIRS = "array<struct<entity:string,token:string,value:string>>"
 #: What masking makes of a text.
-KINDS = {"normalized_text": "string", "entities": _ENTITIES, "conflict_log": DECISIONS, "masked_text": "string", "n_entities": "int", "n_conflicts": "int", "winners": WINNERS}
+KINDS = {"normalized_text": "string", "entities": _ENTITIES, "conflict_log": DECISIONS, "masked_text": "string", "n_entities": "int", "n_conflicts": "int", "winners": WINNERS, "new_pairs": PAIRS}
 
 
 def _structs(rows: list[tuple], fields: tuple) -> pa.StructArray:
@@ -113,6 +115,7 @@ def results(config: MaskConfig, wanted: tuple[str, ...], text: Column, normal: b
     given = {"diarized": diarized, "ner": ner, "llm": llm, "session": session}
     names, every, whole = [n for n, c in given.items() if c is not None], tuple(given), session is not None
     reasons, decisions, texts_too = "conflict_log" in wanted, bool({"conflict_log", "winners"} & set(wanted)), "masked_text" in wanted
+    pairs_too, pairs_alone = "new_pairs" in wanted, set(wanted) <= {"new_pairs", "normalized_text"}
 
     def run(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         m = plain.masker(config)
@@ -122,7 +125,7 @@ def results(config: MaskConfig, wanted: tuple[str, ...], text: Column, normal: b
                 texts, *rest = (c.to_pylist() for c in columns)
                 inputs = dict(zip(names, rest))
                 none = [None] * len(texts)
-                normals, every_entities, logs, masked, numbers = [], [], [], [], []
+                normals, every_entities, logs, masked, numbers, pairs = [], [], [], [], [], []
                 for t, diarized_, ner_, llm_, of in zip(texts, *(inputs.get(n, none) for n in every)):
                     if t is None:
                         entities, log, n = [], [], 0
@@ -131,12 +134,20 @@ def results(config: MaskConfig, wanted: tuple[str, ...], text: Column, normal: b
                         if decisions:
                             entities, log = m.decided(t, bool(diarized_), ner_, llm_, reasons)
                             n = len(log)
+                        elif pairs_alone:
+                            entities, n = m.kept_numbered(t, bool(diarized_), ner_, llm_), 0
                         else:
                             entities, n = m.kept(t, bool(diarized_), ner_, llm_)
                     if whole and of != at:
                         at, seen = of, {}
                     if entities and m.numbered:
-                        entities = m.with_numbers(entities, seen if whole else {})
+                        numbers_of = seen if whole else {}
+                        if pairs_too:
+                            pairs.append(m.new_pairs(entities, numbers_of))
+                        if not pairs_alone:
+                            entities = m.with_numbers(entities, numbers_of)
+                    elif pairs_too:
+                        pairs.append([])
                     normals.append(t)
                     every_entities.append(entities)
                     numbers.append(n)
@@ -152,6 +163,7 @@ def results(config: MaskConfig, wanted: tuple[str, ...], text: Column, normal: b
                     "masked_text": lambda: pa.array(masked, pa.string()),
                     "n_entities": lambda: pa.array(map(len, every_entities), pa.int32()),
                     "n_conflicts": lambda: pa.array(numbers, pa.int32()),
+                    "new_pairs": lambda: _lists(pairs, lambda rows: _structs(rows, _PAIR)),
                 }
                 done = pa.StructArray.from_arrays([made[n]() for n in wanted], list(wanted))
             yield done

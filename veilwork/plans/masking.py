@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from veilwork.config import MaskConfig
 from veilwork.functions import sql as F
+from veilwork.functions.columns import exploded
 from veilwork.functions.normalize import composed, normalize
 from veilwork.functions.sql import Sql, let
 from veilwork.operators.columns import KINDS, normal_text, results
@@ -45,10 +46,10 @@ def _column(df: DataFrame, name: str, kind: str) -> Column:
     return C.col(name).cast(kind) if name in df.columns else C.lit(None).cast(kind)
 
 
-#: What mask_turns adds, in this order, and the sizes of two of them and the winners of conflict_log (start, end, entity), that it
-#: adds if they are asked for.
+#: What mask_turns adds, in this order, and what it adds if that is asked for: the sizes of two of them, the winners of conflict_log
+#: (start, end, entity), and the numbered tokens (entity, token, value) that the session, or the text, hasn't had before.
 RESULTS = ("original_text", "diarization_available", "normalized_text", "entities", "conflict_log", "masked_text", "usability_tag", "fallback_mode", "pseudonym_map")
-SIZES = ("n_entities", "n_conflicts", "winners")
+MORE = ("n_entities", "n_conflicts", "winners", "new_pairs")
 
 
 def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: bool = False, ner: str | None = None, llm: str | None = None, snapshot: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
@@ -60,8 +61,8 @@ def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: b
     more hits of places and persons that count only where nothing has the same place and type.
 
     Adds original_text, normalized_text, masked_text, entities, pseudonym_map, conflict_log, diarization_available,
-    usability_tag and fallback_mode, or those of them and of n_entities, n_conflicts and winners that `only` names: what isn't named
-    isn't sent from Python. A null or blank text passes as it is: no entities, USABLE, not diarized. With snapshot,
+    usability_tag and fallback_mode, or those of them and of n_entities, n_conflicts, winners and new_pairs that `only` names: what
+    isn't named isn't sent from Python. new_pairs needs patterns that Python can take (see session_pairs). A null or blank text passes as it is: no entities, USABLE, not diarized. With snapshot,
     pseudonym_map has all of the session up to the turn, else what the turn itself has. Without dialogues nothing is
     shuffled; with them there is one exchange, by session_id, into as many partitions as the session's setting says, since the
     work that follows is in proportion to rows and not to their few bytes. Rows of one (session_id, turn) and rows without
@@ -71,20 +72,23 @@ def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: b
     otherwise than Java (plain.portable) is worked out by expressions.
     """
     wanted = tuple(RESULTS if only is None else only)
-    if unknown := set(wanted) - {*RESULTS, *SIZES}:
+    if unknown := set(wanted) - {*RESULTS, *MORE}:
         raise ValueError(f"unknown results: {', '.join(sorted(unknown))}")
     rows = turns
     numbered = frozenset() if config.lean else config.all_numbered
     shipped(turns.sparkSession)
     in_python = masker(config).portable
+    if "new_pairs" in wanted and not in_python:
+        raise ValueError("new_pairs can't be made by expressions")
     if dialogues:
         if not {"session_id", "turn"} <= set(turns.columns):
             raise ValueError("dialogues need session_id and turn")
         rows = rows.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), C.col("session_id"))
+        # before any Python: after it Spark takes rows for unpartitioned, and a window would exchange them, out of their order
+        rows = rows.withColumn("diarized", labelled_ratio(_column(turns, "speaker", "string")) >= config.least_labelled)
         if in_python and numbered:
-            # one order for the window, the numbers and, of rows of one turn, their texts
+            # the order of the numbers and, of rows of one turn, of their texts
             rows = rows.withColumn("_normal", normal_text(C.col("text").cast("string"), config)).sortWithinPartitions("session_id", "turn", "_normal")
-        rows = rows.withColumn("diarized", labelled_ratio(_column(turns, "speaker", "string")) >= config.least_labelled)
     text, body, diarized = F.col("original_text"), F.col("normalized_text"), F.col("diarization_available")
     rows = rows.withColumn("original_text", C.col("text").cast("string"))
     rows = rows.withColumn("diarization_available", C.coalesce(_column(rows, "diarized", "boolean"), C.lit(False)) & (~blank(text)).column)
@@ -116,6 +120,18 @@ def mask_turns(turns: DataFrame, config: MaskConfig = MaskConfig(), dialogues: b
     return rows.select(*[c for c in turns.columns if c not in wanted and not (dialogues and c == "diarized")], *wanted)
 
 
+def session_pairs(turns: DataFrame, config: MaskConfig = MaskConfig()) -> DataFrame:
+    """session_id, entity, value and token of all that is numbered in each session, each once.
+
+    Each turn gives those that are new in its session, so that nothing is exchanged after mask_turns; a configuration that is
+    worked out by expressions gives those of each turn, and they are made distinct.
+    """
+    if masker(config).portable:
+        return exploded(mask_turns(turns, config, dialogues=True, only=("new_pairs",)), "session_id", p=C.col("new_pairs")).select("session_id", "p.entity", "p.value", "p.token")
+    pairs = exploded(mask_turns(turns, config, dialogues=True, only=("entities",)), "session_id", p=numbered_pairs(F.col("entities"), config.all_numbered).column)
+    return pairs.select("session_id", "p.entity", "p.value", "p.token").distinct()
+
+
 def _by_expressions(rows: DataFrame, config: MaskConfig, dialogues: bool, ner: str | None, llm: str | None) -> DataFrame:
     """rows with normalized_text, entities, conflict_log and masked_text, without Python."""
     text, body, diarized = F.col("original_text"), F.col("normalized_text"), F.col("diarization_available")
